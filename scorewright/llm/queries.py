@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .line_dedup import ORACLE_OP5, op5_line_dedup
+from .packing import op6_best_fit_packing
 from .pii import op9_pii
 from .quality_rules import ORACLE_OP4, op4_quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
     "op5_line_dedup": op5_line_dedup,
+    "op6_best_fit_packing": op6_best_fit_packing,
     "op9_pii": op9_pii,
 }
 
