@@ -51,8 +51,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .groupBy(F.col("__id").alias("__drop_id"), F.col("__text").alias("__drop_text"))
         .agg(F.collect_set("__pos").alias("__drops"))
     )
-    here = docs.withColumns({"__lines": lines_of(F.col(text_col)), "__text": F.xxhash64(F.col(text_col))})
+    here = docs.withColumn("__text", F.xxhash64(F.col(text_col)))
     joined = here.join(drops.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("__drop_id")) & (F.col("__text") == F.col("__drop_text")), "left")
+    joined = joined.withColumn("__lines", lines_of(F.col(text_col)))  # after the exchange, which moves each text once
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__drops")), lambda i: F.col("__lines")[i])
     return joined.withColumns(
         {
