@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .line_dedup import ORACLE_OP5, op5_line_dedup
+from .near_dedup import ORACLE_OP3, op3_minhash_near_dedup
 from .packing import op6_best_fit_packing
 from .pii import op9_pii
 from .quality_rules import ORACLE_OP4, op4_quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op5_line_dedup": op5_line_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
@@ -19,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_minhash_near_dedup": ORACLE_OP3,
     "op4_quality_rules": ORACLE_OP4,
     "op5_line_dedup": ORACLE_OP5,
 }
