@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .embedding_dedup import ORACLE_OP8, op8_embedding_near_dedup
 from .line_dedup import ORACLE_OP5, op5_line_dedup
 from .near_dedup import ORACLE_OP3, op3_minhash_near_dedup
 from .packing import op6_best_fit_packing
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
     "op5_line_dedup": op5_line_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_pii": op9_pii,
 }
 
@@ -24,4 +26,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_minhash_near_dedup": ORACLE_OP3,
     "op4_quality_rules": ORACLE_OP4,
     "op5_line_dedup": ORACLE_OP5,
+    "op8_embedding_near_dedup": ORACLE_OP8,
 }
