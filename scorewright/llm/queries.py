@@ -12,12 +12,14 @@ from .near_dedup import ORACLE_OP3, op3_minhash_near_dedup
 from .packing import op6_best_fit_packing
 from .pii import op9_pii
 from .quality_rules import ORACLE_OP4, op4_quality_rules
+from .revisits import ORACLE_OP7, op7_warc_revisits
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op5_line_dedup": op5_line_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_warc_revisits": op7_warc_revisits,
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_pii": op9_pii,
 }
@@ -26,5 +28,6 @@ ORACLE_SQL: dict[str, str] = {
     "op3_minhash_near_dedup": ORACLE_OP3,
     "op4_quality_rules": ORACLE_OP4,
     "op5_line_dedup": ORACLE_OP5,
+    "op7_warc_revisits": ORACLE_OP7,
     "op8_embedding_near_dedup": ORACLE_OP8,
 }
