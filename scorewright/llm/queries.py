@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .cotraining import op1_cotraining
 from .embedding_dedup import ORACLE_OP8, op8_embedding_near_dedup
 from .line_dedup import ORACLE_OP5, op5_line_dedup
 from .near_dedup import ORACLE_OP3, op3_minhash_near_dedup
@@ -15,6 +16,7 @@ from .quality_rules import ORACLE_OP4, op4_quality_rules
 from .revisits import ORACLE_OP7, op7_warc_revisits
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_cotraining": op1_cotraining,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op5_line_dedup": op5_line_dedup,
