@@ -131,10 +131,8 @@ def disclosing(found: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
     pairs = checkpoint(pairs.where(F.col("__n_pair") >= MIN_CONTEXTS))
     terms = pairs.select("__term").distinct()
     words = F.array_distinct(F.transform(F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(r"\p{L}{3,}+"), F.lit(0)), lambda w: F.xxhash64(w)))
-    each = docs.select(F.explode(words).alias("__term"))
-    if few(pairs):
-        each = each.join(F.broadcast(terms), "__term", "left_semi")
-    in_docs = each.groupBy("__term").agg(F.count(F.lit(1)).alias("__n_term"))
+    counted = docs.select(F.explode(words).alias("__term")).groupBy("__term").agg(F.count(F.lit(1)).alias("__n_term"))
+    in_docs = counted.join(terms, "__term", "left_semi")
     total = F.lit(float(found.count()))
     share = F.log2(total * F.col("__n_pair") / (F.col("__n_entity") * F.greatest("__n_term", "__n_pair"))) / F.log2(total / F.col("__n_entity"))
     out = pairs.join(entities, "__entity").join(in_docs, "__term").where(F.col("__n_entity") < total)
