@@ -11,6 +11,7 @@ from .embedding_dedup import ORACLE_OP8, op8_embedding_near_dedup
 from .line_dedup import ORACLE_OP5, op5_line_dedup
 from .near_dedup import ORACLE_OP3, op3_minhash_near_dedup
 from .packing import op6_best_fit_packing
+from .piece_lattice import op10_piece_lattice
 from .pii import op9_pii
 from .quality_rules import ORACLE_OP4, op4_quality_rules
 from .revisits import ORACLE_OP7, op7_warc_revisits
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_warc_revisits": op7_warc_revisits,
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_pii": op9_pii,
+    "op10_piece_lattice": op10_piece_lattice,
 }
 
 ORACLE_SQL: dict[str, str] = {
