@@ -15,9 +15,11 @@ from .piece_lattice import op10_piece_lattice
 from .pii import op9_pii
 from .quality_rules import ORACLE_OP4, op4_quality_rules
 from .revisits import ORACLE_OP7, op7_warc_revisits
+from .suffix_dedup import ORACLE_OP2, op2_suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_cotraining": op1_cotraining,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op5_line_dedup": op5_line_dedup,
@@ -29,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_suffix_dedup": ORACLE_OP2,
     "op3_minhash_near_dedup": ORACLE_OP3,
     "op4_quality_rules": ORACLE_OP4,
     "op5_line_dedup": ORACLE_OP5,
