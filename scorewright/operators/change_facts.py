@@ -76,7 +76,7 @@ def test_matches(features: DataFrame) -> DataFrame:
 
 def change_facts(files: DataFrame) -> DataFrame:
     """All facts of all changes."""
-    f = file_features(files).persist()
+    f = file_features(files).persist()  # the Python stage runs once for all rules
     m = test_matches(f)
     weakness = "CASE rule " + " ".join(f"WHEN '{k}' THEN 'BGW-{w}'" for k, (w, _) in RULES.items()) + " END"
     kind = "CASE WHEN rule IN (" + ", ".join(f"'{k}'" for k, (_, x) in RULES.items() if x == "observation") + ") THEN 'observation' ELSE 'fact' END"
