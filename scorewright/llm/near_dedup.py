@@ -16,9 +16,13 @@ SHINGLE = 5
 SLOTS, ROWS, BANDS = 128, 5, 25
 #: A pair of this similarity meets in some band with probability 1 - (1 - 0.8**5)**25 = 0.99995.
 NUM, DEN = 4, 5
+#: The last round's sketches: four bits of each of so many slots. At the similarity a slot of two sketches agrees with
+#: probability 0.8 + 0.2 / 16; all but one in a hundred thousand such pairs differ in at most MOST_DIFFERENT slots.
+SKETCH, MOST_DIFFERENT = 1024, 245
 #: Sets of at most so many ids (8 bytes each) are broadcast to choose which texts move; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 U = np.uint64
+DOC_BITS = 20
 GOLDEN = U(0x9E3779B97F4A7C15)
 
 
@@ -51,12 +55,12 @@ def shingles(words: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def counted(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(doc, hash, weight) of the distinct shingles, by doc and hash."""
-    order = np.lexsort((h, doc))
-    doc, h = doc[order], h[order]
-    first = np.concatenate([[True], (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])]) if len(doc) else np.zeros(0, bool)
-    at = np.flatnonzero(first)
-    return doc[at], h[at], np.diff(np.append(at, len(doc)))
+    """(doc, hash, weight) of the distinct shingles, by doc and hash, of fewer than 2**DOC_BITS docs; the hash keeps the other bits."""
+    bits = U(DOC_BITS)
+    key = (doc.astype(U) << (U(64) - bits)) | (h >> bits)
+    key.sort()
+    at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    return (key[at] >> (U(64) - bits)).astype(np.int64), mix((key[at] << bits) + GOLDEN), np.diff(np.append(at, len(key)))
 
 
 def bag_min_hash(doc: np.ndarray, h: np.ndarray, w: np.ndarray, n_docs: int, slots: int = SLOTS) -> np.ndarray:
@@ -90,7 +94,6 @@ def bag_min_hash(doc: np.ndarray, h: np.ndarray, w: np.ndarray, n_docs: int, slo
         rate = np.where(lev == 0, 1, base)
         d, room = doc[own], w[own] - base
         limit, x, i = bound[d], np.zeros(len(own)), 0
-        got: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         while len(key):
             i += 1
             u = mix(key + times(i))
@@ -100,12 +103,10 @@ def bag_min_hash(doc: np.ndarray, h: np.ndarray, w: np.ndarray, n_docs: int, slo
                 key, u, x, rate, d, room, limit = key[live], u[live], x[live], rate[live], d[live], room[live], limit[live]
             v = mix(u ^ GOLDEN)
             counts = ((v >> U(20)) % rate.astype(U)).astype(np.int64) < room
-            got.append((d[counts] * slots + (v[counts] & U(slots - 1)).astype(np.int64), x[counts], u[counts]))
-        cell, when, name = (np.concatenate(c) for c in zip(*got, strict=True))
-        order = np.lexsort((when, cell))
-        cell, when, name = cell[order], when[order], name[order]
-        first = np.concatenate([[True], cell[1:] != cell[:-1]]) if len(cell) else np.zeros(0, bool)
-        best[cell[first]], ids[cell[first]] = when[first], name[first]
+            cell, when = d[counts] * slots + (v[counts] & U(slots - 1)).astype(np.int64), x[counts]
+            np.minimum.at(best, cell, when)
+            won = best[cell] == when
+            ids[cell[won]] = u[counts][won]
         empty = np.isinf(best.reshape(n_docs, slots)[todo]).any(axis=1)
         todo = todo[empty]
         bound[todo] *= 2
@@ -130,15 +131,14 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             words = pa.chunked_array([whole.column(1)]).combine_chunks()
             ends = np.cumsum(pa.compute.list_value_length(words).to_numpy(zero_copy_only=False))
             at = 0
-            while at < whole.num_rows:  # about half a million words at a time, or one document
-                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 500_000)))
+            while at < whole.num_rows:  # about 300,000 words at a time, or one document
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 300_000)))
                 part = whole.slice(at, to - at)
                 at = to
                 doc, h = shingles(part.column(1))
                 weight = np.bincount(doc, minlength=part.num_rows)
-                c1, c2 = np.zeros(part.num_rows, U), np.zeros(part.num_rows, U)
-                np.add.at(c1, doc, mix(h + U(1)))
-                np.add.at(c2, doc, mix(h ^ U(0xD6E8FEB86659FD93)))
+                edge = np.searchsorted(doc, np.arange(part.num_rows + 1))
+                c1, c2 = (np.diff(np.concatenate([[U(0)], np.cumsum(x)])[edge]) for x in (mix(h + U(1)), mix(h ^ U(0xD6E8FEB86659FD93))))
                 sig = bag_min_hash(*counted(doc, h), part.num_rows)
                 bands = np.empty((part.num_rows, BANDS), U)
                 for b in range(BANDS):
@@ -159,19 +159,26 @@ def overlap(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> Da
     Only texts of documents in a pair move. A document in many pairs is one row on its side of the join, whose
     other side Spark can split.
     """
-    ids = checkpoint(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    small = ids.count() <= BROADCAST_ROWS
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    texts = texts.join(F.broadcast(ids) if small else ids, "id", "left_semi").dropDuplicates(["id"])
+    ids = checkpoint(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+    texts = texts_of(ids, docs, id_col, text_col)
     one = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     two = one.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        recent: dict[int, np.ndarray] = {}  # a hub's pairs come together, and its members come again with other hubs
+
+        def once(doc: int, words: pa.ListArray) -> np.ndarray:
+            if doc not in recent:
+                if len(recent) >= 256:
+                    recent.clear()
+                recent[doc] = numbered(shingles(words)[1])
+            return recent[doc]
+
         for batch in batches:
             keep = []
             for at in range(batch.num_rows):
-                (_, x), (_, y) = shingles(batch.column(2).slice(at, 1)), shingles(batch.column(3).slice(at, 1))
-                both = np.concatenate([numbered(x), numbered(y)])
+                x, y = (once(batch.column(c)[at].as_py(), batch.column(c + 2).slice(at, 1)) for c in (0, 1))
+                both = np.concatenate([x, y])
                 both.sort()
                 same = int((both[1:] == both[:-1]).sum())
                 keep.append(DEN * same >= NUM * (len(x) + len(y) - same))
@@ -181,6 +188,48 @@ def overlap(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> Da
     return checkpoint(two.select("a", "b", word_hashes(F.col("text_a")).alias("x"), word_hashes(F.col("text_b")).alias("y")).mapInArrow(run, "a long, b long"))
 
 
+def texts_of(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text) of the documents that ids, a written table, names; a small set of ids is broadcast, so only their texts move."""
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "id", "left_semi").dropDuplicates(["id"])
+
+
+def sketches(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """A written table (id, weight, s0, s1, ...) of longer signatures in four bits a slot, for the documents of ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                doc, h = shingles(part.column(1))
+                sig = bag_min_hash(*counted(doc, h), part.num_rows, SKETCH)
+                small = ((sig & U(15)).reshape(part.num_rows, SKETCH // 16, 16) << (np.arange(16, dtype=U) * U(4))).sum(axis=2, dtype=U).view(np.int64)
+                weight = np.bincount(doc, minlength=part.num_rows)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(weight, pa.int64()), *(pa.array(np.ascontiguousarray(c)) for c in small.T)], names=["id", "weight", *names])
+
+    names = [f"s{k}" for k in range(SKETCH // 16)]
+    ids = checkpoint(ids.distinct())
+    at = texts_of(ids, docs, id_col, text_col).select("id", word_hashes(F.col("text")).alias("words"))
+    return checkpoint(at.mapInArrow(run, "id long, weight long, " + ", ".join(f"{n} long" for n in names)))
+
+
+def different(x: str, y: str) -> F.Column:
+    """In how many slots the sketches of two sides of a join differ: nibbles that are not zero after an exclusive or."""
+    total = F.lit(0)
+    for k in range(SKETCH // 16):
+        z = F.col(f"{x}.s{k}").bitwiseXOR(F.col(f"{y}.s{k}"))
+        z = z.bitwiseOR(F.shiftrightunsigned(z, 1))
+        z = z.bitwiseOR(F.shiftrightunsigned(z, 2)).bitwiseAND(F.lit(0x1111111111111111))
+        total = total + F.bit_count(z)
+    return total
+
+
+def first_met(x: str, y: str) -> F.Column:
+    """Whether the band of a join is the first that its two sides share, so that each pair comes once."""
+    met = F.array_position(F.zip_with(F.col(f"{x}.bands"), F.col(f"{y}.bands"), lambda a, b: a == b), True)
+    return F.get(F.col(f"{x}.bands"), (met - 1).cast("int")) == F.col(f"{x}.band")
+
+
 def numbered(h: np.ndarray) -> np.ndarray:
     """A multiset as a set: each occurrence hashed with its number among its equals."""
     h = np.sort(h)
@@ -192,43 +241,39 @@ def numbered(h: np.ndarray) -> np.ndarray:
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A written table (id, class_id) of every id that has a word, class_id the smallest id linked directly or by others.
 
-    Equal multisets are one representative from the start. Then three rounds of verification, each on fewer pairs:
-    a document with the hub of its bands, the one that shares the most of them; the remaining hubs of its
-    bands; last, documents of still different classes that share a band. Every pair that shares a band ends in
-    one class or is compared, and no group's pairs are listed while a hub joins the group.
+    Equal multisets are one representative from the start. Then two rounds of verification: a document with the
+    hub of each of its bands, the one in the band that meets the most documents over all bands; then
+    documents of still different classes that share a band and whose weights and sketches allow the
+    similarity. Every pair that shares a band ends in one class, is compared, or is ruled out by weights or
+    sketches; only pairs that pass both are listed, each once.
     Null ids and texts without a word are in no class. Rows with one id are one document, read as any of them.
     """
     sig = signatures(docs, id_col, text_col)
     reps = checkpoint(sig.groupBy("c1", "c2").agg(F.min("id").alias("id")))
     member = checkpoint(sig.select("id", "c1", "c2").join(reps.withColumnRenamed("id", "rep"), ["c1", "c2"]).select("id", "rep"))
-    each = checkpoint(sig.join(reps.select("id"), "id", "left_semi").dropDuplicates(["id"]).select("id", "weight", F.explode("bands").alias("band")).distinct())
+    own = sig.join(reps.select("id"), "id", "left_semi").dropDuplicates(["id"])
+    each = own.select("id", F.explode("bands").alias("band"))
     full = checkpoint(each.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1))
-    met = checkpoint(each.join(full, "band"))
+    met = each.join(full, "band")
     score = checkpoint(met.groupBy("id").agg(F.sum("n").alias("score")))
-    scored = checkpoint(met.join(score, "id").select("band", "id", "weight", F.struct("score", (-F.col("id")).alias("neg")).alias("rank")))
-    hub = checkpoint(scored.groupBy("band").agg(F.max("rank").alias("hub")))
-    at = checkpoint(scored.join(hub, "band").select("band", "id", "weight", "rank", "hub"))
-    far = at.where(F.col("hub.neg") != -F.col("id"))
+    met = checkpoint(met.select("band", "id"))
+    hub = checkpoint(met.join(score, "id").groupBy("band").agg(F.max(F.struct("score", (-F.col("id")).alias("neg"))).alias("hub")).select("band", (-F.col("hub.neg")).alias("hub")))
+    far = checkpoint(met.join(hub, "band").where("id <> hub").select("id", "hub").distinct())
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    first = far.groupBy("id").agg(F.max("hub").alias("hub")).select(*pair(F.col("id"), -F.col("hub.neg"))).distinct()
-    links = overlap(checkpoint(first), docs, id_col, text_col)
-    tested = first = checkpoint(first)
+    tested = checkpoint(far.select(*pair(F.col("id"), F.col("hub"))).distinct())
+    links = overlap(tested, docs, id_col, text_col)
     comp = components(links)
 
     def label(df: DataFrame, col: str) -> DataFrame:
         named = comp.select(F.col("node").alias(col), F.col("comp").alias(f"comp_{col}"))
         return df.join(named, col, "left").withColumn(f"comp_{col}", F.coalesce(f"comp_{col}", col))
 
-    second = checkpoint(far.select(*pair(F.col("id"), -F.col("hub.neg"))).distinct())
-    second = checkpoint(label(label(second, "a"), "b").where("comp_a <> comp_b").select("a", "b").join(tested, ["a", "b"], "left_anti"))
-    links = checkpoint(links.union(overlap(second, docs, id_col, text_col)))
-    tested = checkpoint(tested.union(second))
-    comp = components(links)
-    placed = checkpoint(label(at.select("band", "id", "weight"), "id"))
+    placed = checkpoint(label(met, "id"))
     mixed = placed.groupBy("band").agg(F.min("comp_id").alias("lo"), F.max("comp_id").alias("hi")).where("lo <> hi").select("band")
     open_ = checkpoint(placed.join(mixed, "band", "left_semi"))
+    open_ = checkpoint(open_.join(sketches(open_.select("id"), docs, id_col, text_col), "id").join(own.select("id", "bands"), "id"))
     x, y = open_.alias("x"), open_.alias("y")
-    third = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.comp_id") != F.col("y.comp_id")) & (DEN * F.least("x.weight", "y.weight") >= NUM * F.greatest("x.weight", "y.weight")))
+    third = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.comp_id") != F.col("y.comp_id")) & (DEN * F.least("x.weight", "y.weight") >= NUM * F.greatest("x.weight", "y.weight")) & (different("x", "y") <= MOST_DIFFERENT) & first_met("x", "y"))
     third = checkpoint(third.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"))
     links = checkpoint(links.union(overlap(third, docs, id_col, text_col)))
     comp = components(links)

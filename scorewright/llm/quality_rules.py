@@ -62,17 +62,17 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     full = F.filter(F.split(text, "\n", -1), lambda x: F.char_length(F.translate(x, " \t\n\x0b\x0c\r", "")) > 0)
     at = docs.withColumns({"__words": words_of(F.col(text_col)), "__full": full})
-    at = at.withColumns(
-        {
-            "__n_words": F.size("__words").cast("long"),
-            "__word_chars": F.char_length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long"),
-            "__n_symbols": (F.char_length(text) - F.char_length(F.translate(text, "#*$%&|<>", ""))).cast("long"),
-            "__n_dup_lines": (F.size("__full") - F.size(F.array_distinct("__full"))).cast("long"),
-            "__n_text_lines": F.size("__full").cast("long"),
-            "__n_repeat_words": let(F.col("__words"), repeated_words).cast("long"),
-        }
-    )
-    at = at.drop("__words", "__full")
+    counts = {
+        "__n_words": F.size("__words"),
+        "__word_chars": F.char_length(F.translate(text, " \t\n\x0b\x0c\r", "")),
+        "__n_symbols": F.char_length(text) - F.char_length(F.translate(text, "#*$%&|<>", "")),
+        "__n_dup_lines": F.size("__full") - F.size(F.array_distinct("__full")),
+        "__n_text_lines": F.size("__full"),
+        "__n_repeat_words": let(F.col("__words"), repeated_words),
+    }
+    # A generator of one row: a filter on the counts is not pushed below it, where each use would count again.
+    once = F.inline(F.array(F.struct(*(c.cast("long").alias(k) for k, c in counts.items()))))
+    at = at.select(*(c for c in docs.columns if c not in counts), once)
     return at.withColumn("__base_failed", (F.col("__n_words") < 10) | (100 * F.col("__n_repeat_words") > 20 * F.col("__n_words")))
 
 
