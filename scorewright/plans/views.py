@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: One SELECT for each view. All of it is plain SQL that either engine reads, so views never differ between the two.
 VIEWS = {
-    "v_results": """SELECT (l_orderkey * 100000 + l_partkey) * 1000 + l_suppkey % 1000 AS line, CAST(l_orderkey AS VARCHAR(20)) AS task_id, l_returnflag AS model,
+    "v_results": """SELECT ((l_orderkey * 100000 + l_partkey) * 1000 + l_suppkey % 1000) * 100000 + CAST(round(l_extendedprice * 100) AS BIGINT) % 100000 AS line, CAST(l_orderkey AS VARCHAR(20)) AS task_id, l_returnflag AS model,
         CASE WHEN l_tax = 0.08 THEN NULL ELSE l_discount * 10 END AS score, CAST(1.0 AS DOUBLE) AS max_score,
         CASE WHEN l_suppkey % 7 = 0 THEN NULL ELSE CAST(l_suppkey AS VARCHAR(20)) END AS cluster, CAST(l_linenumber AS BIGINT) AS sample FROM lineitem""",
     "v_results_bin": """SELECT doc_id AS line, CAST(doc_id AS VARCHAR(20)) AS task_id, 'quality' AS model, CAST(quality AS DOUBLE) AS score, CAST(1.0 AS DOUBLE) AS max_score,
