@@ -87,6 +87,13 @@ def grams(raw: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(32))
 
 
+def spread(g: np.ndarray) -> np.ndarray:
+    """Hashes again, over the whole range: anchors are least hashes, which crowd at its lower end."""
+    x = g * _TURN
+    x = (x ^ (x >> U(32))) * U(0xBF58476D1CE4E5B9)
+    return x ^ (x >> U(29))
+
+
 def runs(raw: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, start, windows, doc): successive windows inside a document that share their anchor."""
     ends = np.cumsum(sizes)
@@ -107,7 +114,7 @@ def runs(raw: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
             continue
         anchor, doc = (low[ok] & U((1 << 20) - 1)).astype(np.int64), doc[ok]
         head = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (ok[1:] != ok[:-1] + 1)]))
-        out.append((g[anchor[head]] >> U(24), start[ok[head]], np.diff(np.append(head, len(ok))), doc[head]))
+        out.append((spread(g[anchor[head]]) >> U(24), start[ok[head]], np.diff(np.append(head, len(ok))), doc[head]))
     if not out:
         return np.zeros(0, U), *(np.zeros(0, np.int64) for _ in range(3))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
