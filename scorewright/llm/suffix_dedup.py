@@ -2,8 +2,9 @@
 
 A string of LENGTH bytes counts. Each such window has an anchor, the least hash among its GRAM-byte grams, so equal
 windows have equal anchors. Windows of an anchor that only one document has are unique and go no further. The others,
-with the bytes they need, meet by anchor in a fixed number of parts of the hash space. A part's segments are made
-distinct, cut in shards, each shard's suffixes sorted once, and the shards' transforms merged by refining their
+with the bytes they need, meet by anchor in a fixed number of parts of the hash space; a hot anchor's windows meet by
+their whole bytes instead, so no part gathers them. A part's segments are made distinct. An anchor of one distinct segment
+has nothing to tell apart: its windows are the segment's. Other anchors' segments are cut in shards, each shard's suffixes sorted once, and the shards' transforms merged by refining their
 interleave letter by letter, without sorting suffixes of different shards against each other. A letter is STEP bytes, so
 LENGTH / STEP refinements order all suffixes by LENGTH bytes; places where blocks split on the way are the common
 prefixes, and the blocks left are the repeated intervals. An interval's least document takes the string.
@@ -33,6 +34,10 @@ BLOCK = 4_000_000
 #: Bytes of text for each part of the hash space, and the least number of parts.
 PART, LEAST_PARTS = 8_000_000, 64
 SHARDS = 8
+#: An anchor found more often than this is hot: its windows go to parts one by one, by a hash of the whole window.
+HOT = 10_000
+#: Bytes of segments that are merged at once; anchors are kept whole, and none but a hot one has more.
+BATCH = 1_000_000
 U = np.uint64
 _BYTES = np.random.default_rng(11).integers(1, 2**63, 256).astype(U) | U(1)
 _TURN = U(0x9E3779B97F4A7C15)
@@ -77,13 +82,13 @@ def blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def grams(raw: np.ndarray) -> np.ndarray:
-    """A hash of the GRAM bytes from each place."""
+    """A hash of the GRAM bytes from each place along the last axis."""
     mix = lambda x: (x ^ (x >> U(29))) * U(0xBF58476D1CE4E5B9)
     h = _BYTES[raw]
     for k in (1, 2, 4, 8):
         h4 = h if k == 4 else None if k < 4 else h4
-        h = mix(h[:-k] * _TURN + h[k:])
-    h = mix(h[: len(h) - 4] * _TURN + h4[16:])
+        h = mix(h[..., :-k] * _TURN + h[..., k:])
+    h = mix(h[..., :-4] * _TURN + h4[..., 16:])
     return h ^ (h >> U(32))
 
 
@@ -131,7 +136,7 @@ def opened(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray,
 
 
 def anchors(held: DataFrame, parts: int) -> DataFrame:
-    """(part, block, hashes, twice): a block's distinct anchors in a part, and which of them two of its documents have."""
+    """(part, block, hashes, twice, counts): a block's distinct anchors in a part, which of them two of its documents have, and how often they come."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,13 +146,14 @@ def anchors(held: DataFrame, parts: int) -> DataFrame:
                 h, doc = h[order], doc[order]
                 first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
                 twice = doc[first] != doc[np.append(first[1:], len(h)) - 1] if len(h) else np.zeros(0, bool)
+                counts = np.diff(np.append(first, len(h)))
                 h = h[first]
                 cut = by_part(h, parts)
                 full = [p for p in range(parts) if cut[p + 1] > cut[p]]
-                cols = [full, [block] * len(full), [squeeze(h[cut[p] : cut[p + 1]]) for p in full], [np.packbits(twice[cut[p] : cut[p + 1]]).tobytes() for p in full]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["part", "block", "hashes", "twice"])
+                cols = [full, [block] * len(full), [squeeze(h[cut[p] : cut[p + 1]]) for p in full], [np.packbits(twice[cut[p] : cut[p + 1]]).tobytes() for p in full], [squeeze(counts[cut[p] : cut[p + 1]]) for p in full]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["part", "block", "hashes", "twice", "counts"])
 
-    return held.mapInArrow(run, "part int, block long, hashes binary, twice binary")
+    return held.mapInArrow(run, "part int, block long, hashes binary, twice binary, counts binary")
 
 
 def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
@@ -158,30 +164,53 @@ def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]
 
 
 def shared(rows: DataFrame, parts: int) -> DataFrame:
-    """(block, part, bits): which of a block's anchors in a part more than one document has."""
+    """(block, part, bits, hot): which of a block's anchors in a part more than one document has, and which are hot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, group in grouped(batches):
             own = [unsqueeze(r["hashes"]) for r in group]
             twice = [np.unpackbits(np.frombuffer(r["twice"], np.uint8), count=len(h)).astype(bool) for r, h in zip(group, own, strict=True)]
-            every = np.sort(np.concatenate(own + [h[t] for h, t in zip(own, twice, strict=True)]))
-            many = np.unique(every[1:][every[1:] == every[:-1]])
-            bits = [np.packbits(many[np.minimum(np.searchsorted(many, h), max(len(many) - 1, 0))] == h).tobytes() if len(many) else bytes(-(-len(h) // 8)) for h in own]
-            yield pa.RecordBatch.from_arrays([pa.array([r["block"] for r in group], pa.int64()), pa.array([part] * len(group), pa.int32()), pa.array(bits, pa.binary())], names=["block", "part", "bits"])
-
-    return rows.repartition(parts, "part").sortWithinPartitions("part", "block").mapInArrow(run, "block long, part int, bits binary")
+            every = np.concatenate(own)
+            order = np.argsort(every, kind="stable")
+            every = every[order]
+            head = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+            total = lambda x: np.add.reduceat(np.concatenate(x)[order].astype(np.int64), head)  # noqa: E731, B023
+            many = (np.diff(np.append(head, len(every))) > 1) | (total(twice) > 0)
+            hot = total([unsqueeze(r["counts"]) for r in group]) > HOT
+            at = [np.searchsorted(every[head], h) for h in own]
+            bits, heat = ([np.packbits(x[k]).tobytes() for k in at] for x in (many, hot))
+            cols = ([r["block"] for r in group], [part] * len(group), bits, heat)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["block", "part", "bits", "hot"])
+
+    return rows.repartition(parts, "part").sortWithinPartitions("part", "block").mapInArrow(run, "block long, part int, bits binary, hot binary")
+
+
+def windows_part(raw: np.ndarray, start: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each window that starts there, by a hash of all its bytes."""
+    out = np.empty(len(start), np.int64)
+    for at in range(0, len(start), 4096):
+        g = grams(raw[start[at : at + 4096, None] + np.arange(LENGTH)])
+        h = spread(spread(spread(g[:, 0]) + g[:, GRAM]) + g[:, LENGTH - GRAM])
+        out[at : at + 4096] = ((h >> U(24)) * U(parts)) >> U(40)
+    return out
 
 
 def open_runs(row: dict, raw: np.ndarray, sizes: np.ndarray, parts: int) -> tuple[np.ndarray, ...]:
-    """(part, start, windows, doc) of the runs whose anchor more than one document has."""
+    """(part, start, windows, doc) of the runs whose anchor more than one document has; a hot anchor's are single windows."""
     h, start, n, doc = runs(raw, sizes)
     u = np.unique(h)
-    cut, keep = by_part(u, parts), np.zeros(len(u), bool)
+    cut, keep, hot = by_part(u, parts), np.zeros(len(u), bool), np.zeros(len(u), bool)
     for x in row["answers"] or ():
         a, b = cut[x["part"]], cut[x["part"] + 1]
-        keep[a:b] = np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=b - a)
-    hit = np.flatnonzero(keep[np.searchsorted(u, h)]) if len(h) else np.zeros(0, np.int64)
-    return ((h[hit] * U(parts)) >> U(40)).astype(np.int64), start[hit], n[hit], doc[hit]
+        for out, name in ((keep, "bits"), (hot, "hot")):
+            out[a:b] = np.unpackbits(np.frombuffer(x[name], np.uint8), count=b - a)
+    at = np.searchsorted(u, h)
+    hit = np.flatnonzero(keep[at] & ~hot[at]) if len(h) else np.zeros(0, np.int64)
+    each = np.flatnonzero(keep[at] & hot[at]) if len(h) else hit
+    nth = np.arange(n[each].sum()) - np.repeat(np.cumsum(n[each]) - n[each], n[each])
+    single = np.repeat(start[each], n[each]) + nth
+    cols = (((h[hit] * U(parts)) >> U(40)).astype(np.int64), windows_part(raw, single, parts)), (start[hit], single), (n[hit], np.ones(len(single), np.int64)), (doc[hit], np.repeat(doc[each], n[each]))
+    return tuple(np.concatenate(c) for c in cols)
 
 
 def distinct_segments(raw: np.ndarray, part: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[dict[int, dict[bytes, int]], np.ndarray]:
@@ -311,6 +340,38 @@ def least_documents(segs: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
     return [out[b : b + n - LENGTH + 1] for b, n in zip(base.tolist(), size.tolist(), strict=True)]
 
 
+def anchor_keys(segs: list[bytes]) -> np.ndarray:
+    """The least hash, which all windows of a segment share, of each segment."""
+    out = [np.zeros(0, U)]
+    for at in range(0, len(segs), 4096):
+        first = np.frombuffer(b"".join(s[:LENGTH] for s in segs[at : at + 4096]), np.uint8).reshape(-1, LENGTH)
+        out.append((grams(first) >> U(20)).min(axis=1))
+    return np.concatenate(out)
+
+
+def all_least(segs: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
+    """least_documents of the segments of a part, which are merged only with those of the same anchor, some anchors at a time."""
+    size = np.array(list(map(len, segs)), np.int64)
+    out = [np.full(n, d) for n, d in zip((size - LENGTH + 1).tolist(), docs.tolist(), strict=True)]
+    key = anchor_keys(segs)
+    order = np.argsort(key, kind="stable")
+    head = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]])) if len(segs) else np.zeros(0, np.int64)
+    if not len(head):
+        return out
+    longest, count = np.maximum.reduceat(size[order], head), np.diff(np.append(head, len(segs)))
+    batch, held = [], 0
+    for k in np.flatnonzero((count > 1) & (longest > LENGTH)).tolist() + [-1]:
+        if batch and (k < 0 or held > BATCH):
+            mine = np.concatenate(batch)
+            for i, x in zip(mine.tolist(), least_documents([segs[i] for i in mine], docs[mine]), strict=True):
+                out[i] = x
+            batch, held = [], 0
+        if k >= 0:
+            batch.append(order[head[k] : head[k] + count[k]])
+            held += int(size[batch[-1]].sum())
+    return out
+
+
 def intervals(rows: DataFrame, parts: int) -> DataFrame:
     """(block, part, least): for each window of a block's segments in a part, the least document that holds it."""
 
@@ -330,7 +391,7 @@ def intervals(rows: DataFrame, parts: int) -> DataFrame:
                     elif d < least[k]:
                         least[k] = d
                 numbers.append(own)
-            found = least_documents(list(known), np.array(least))
+            found = all_least(list(known), np.array(least))
             blobs = [squeeze(np.concatenate([found[k] for k in own])) for own in numbers]
             yield pa.RecordBatch.from_arrays([pa.array([r["block"] for r in group], pa.int64()), pa.array([part] * len(group), pa.int32()), pa.array(blobs, pa.binary())], names=["block", "part", "least"])
 
@@ -384,7 +445,7 @@ def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     total = held.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     parts = max(LEAST_PARTS, -(-total // PART))
     bits = checkpoint(shared(anchors(held, parts), parts))
-    asked = bits.groupBy("block").agg(F.collect_list(F.struct("part", "bits")).alias("answers"))
+    asked = bits.groupBy("block").agg(F.collect_list(F.struct("part", "bits", "hot")).alias("answers"))
     known = held.join(asked, "block", "left")
     found = checkpoint(intervals(segments(known, parts), parts))
     told = found.groupBy("block").agg(F.collect_list(F.struct("part", "least")).alias("results"))

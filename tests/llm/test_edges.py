@@ -170,7 +170,9 @@ def test_bins_are_bounded():
     assert [fit.put(n) for n in (6, 7, 8, 2, 4)] == [(0, 0), (1, 0), (2, 0), (2, 8), (0, 6)]
 
 
-def test_suffix_dedup(spark, docs, empty):
+@pytest.mark.parametrize("hot", [10_000, 1])
+def test_suffix_dedup(spark, docs, empty, monkeypatch, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
     a, b = "".join(chr(97 + i % 26) + str(i) for i in range(200)), "é" * 60
     texts = [a, a[100:300] + "zz", "q" * 49, "q" * 49, "q" * 50, "q" * 51 + "w", b, b[1:], None, "", a + a, "x" + a[10:59]]
     out = suffix_dedup.dedup_suffixes(spark.createDataFrame(rows(texts), DOCS))
@@ -192,6 +194,8 @@ def test_interleave_equals_a_sort():
     segs = list(dict.fromkeys(bytes(rng.integers(97, 99, rng.integers(50, 81)).astype(np.uint8)) for _ in range(40))) + [b"a" * 70, b"a" * 60]
     docs = rng.permutation(len(segs))
     got = suffix_dedup.least_documents(segs, docs)
+    keys = suffix_dedup.anchor_keys(segs)
+    assert len(keys) == len(segs) and keys[-1] == keys[-2]
     for s, out in zip(segs, got, strict=True):
         assert list(out) == [min(d for t, d in zip(segs, docs, strict=True) if s[k : k + 50] in t) for k in range(len(s) - 49)]
 
