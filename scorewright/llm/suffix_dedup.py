@@ -42,6 +42,8 @@ U = np.uint64
 _BYTES = np.random.default_rng(11).integers(1, 2**63, 256).astype(U) | U(1)
 _TURN = U(0x9E3779B97F4A7C15)
 LAST = np.iinfo(np.int64).max
+#: Stands for the least document of a segment whose windows have different ones.
+VARIED = np.iinfo(np.int64).min
 
 
 def squeeze(x: np.ndarray) -> bytes:
@@ -349,31 +351,37 @@ def anchor_keys(segs: list[bytes]) -> np.ndarray:
     return np.concatenate(out)
 
 
-def all_least(segs: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
-    """least_documents of the segments of a part, which are merged only with those of the same anchor, some anchors at a time."""
+def all_least(segs: list[bytes], docs: np.ndarray) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    """(least, windows): the least document of each segment of a part, or VARIED and by number the least of each of its windows.
+
+    Segments are merged only with those of the same anchor, some anchors at a time.
+    """
     size = np.array(list(map(len, segs)), np.int64)
-    out = [np.full(n, d) for n, d in zip((size - LENGTH + 1).tolist(), docs.tolist(), strict=True)]
+    least, windows = docs.copy(), {}
     key = anchor_keys(segs)
     order = np.argsort(key, kind="stable")
     head = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]])) if len(segs) else np.zeros(0, np.int64)
     if not len(head):
-        return out
+        return least, windows
     longest, count = np.maximum.reduceat(size[order], head), np.diff(np.append(head, len(segs)))
     batch, held = [], 0
     for k in np.flatnonzero((count > 1) & (longest > LENGTH)).tolist() + [-1]:
         if batch and (k < 0 or held > BATCH):
             mine = np.concatenate(batch)
             for i, x in zip(mine.tolist(), least_documents([segs[i] for i in mine], docs[mine]), strict=True):
-                out[i] = x
+                if (x == x[0]).all():
+                    least[i] = x[0]
+                else:
+                    least[i], windows[i] = VARIED, x
             batch, held = [], 0
         if k >= 0:
             batch.append(order[head[k] : head[k] + count[k]])
             held += int(size[batch[-1]].sum())
-    return out
+    return least, windows
 
 
 def intervals(rows: DataFrame, parts: int) -> DataFrame:
-    """(block, part, least): for each window of a block's segments in a part, the least document that holds it."""
+    """(block, part, least, windows): for each of a block's segments in a part the least document that holds it; for each window, where VARIED."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, group in grouped(batches):
@@ -390,12 +398,14 @@ def intervals(rows: DataFrame, parts: int) -> DataFrame:
                         least.append(d)
                     elif d < least[k]:
                         least[k] = d
-                numbers.append(own)
-            found = all_least(list(known), np.array(least))
-            blobs = [squeeze(np.concatenate([found[k] for k in own])) for own in numbers]
-            yield pa.RecordBatch.from_arrays([pa.array([r["block"] for r in group], pa.int64()), pa.array([part] * len(group), pa.int32()), pa.array(blobs, pa.binary())], names=["block", "part", "least"])
+                numbers.append(np.array(own))
+            one, each = all_least(list(known), np.array(least))
+            blobs = [squeeze(one[own]) for own in numbers]
+            more = [squeeze(np.concatenate([np.zeros(0, np.int64), *(each[k] for k in own[one[own] == VARIED].tolist())])) for own in numbers]
+            cols = ([r["block"] for r in group], [part] * len(group), blobs, more)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["block", "part", "least", "windows"])
 
-    return rows.repartition(parts, "part").sortWithinPartitions("part", "block").mapInArrow(run, "block long, part int, least binary")
+    return rows.repartition(parts, "part").sortWithinPartitions("part", "block").mapInArrow(run, "block long, part int, least binary, windows binary")
 
 
 def removed(held: DataFrame, parts: int, with_text: bool) -> DataFrame:
@@ -407,16 +417,23 @@ def removed(held: DataFrame, parts: int, with_text: bool) -> DataFrame:
                 part, start, n, doc = open_runs(row, raw, sizes, parts)
                 found, own = distinct_segments(raw, part, start, n)
                 edge = np.zeros(len(raw) + LENGTH + 1, np.int32)
+                order = np.argsort(part, kind="stable")
+                cut = np.searchsorted(part[order], np.arange(parts + 1))
                 for x in row["results"] or ():
-                    least = unsqueeze(x["least"])
-                    known = found[x["part"]]
-                    count = np.array(list(map(len, known))) - LENGTH + 1
+                    least, each = unsqueeze(x["least"]), unsqueeze(x["windows"])
+                    mine = order[cut[x["part"]] : cut[x["part"] + 1]]
+                    varied = least == VARIED
+                    odd = varied[own[mine]]
+                    hit = mine[~odd & (least[own[mine]] < ids[doc[mine]])]  # all windows of the run
+                    np.add.at(edge, start[hit], 1)
+                    np.add.at(edge, start[hit] + n[hit] - 1 + LENGTH, -1)
+                    mine = mine[odd]
+                    count = np.where(varied, np.array(list(map(len, found[x["part"]]))) - LENGTH + 1, 0)
                     at = np.cumsum(count) - count
-                    mine = np.flatnonzero(part == x["part"])
                     run_of = np.repeat(mine, n[mine])
                     nth = np.arange(len(run_of)) - np.repeat(np.cumsum(n[mine]) - n[mine], n[mine])
-                    hit = least[at[own[run_of]] + nth] < ids[doc[run_of]]
-                    place = start[run_of[hit]] + nth[hit]
+                    less = each[at[own[run_of]] + nth] < ids[doc[run_of]]
+                    place = start[run_of[less]] + nth[less]
                     np.add.at(edge, place, 1)
                     np.add.at(edge, place + LENGTH, -1)
                 gone = np.cumsum(edge[: len(raw)]) > 0
@@ -448,7 +465,7 @@ def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     asked = bits.groupBy("block").agg(F.collect_list(F.struct("part", "bits", "hot")).alias("answers"))
     known = held.join(asked, "block", "left")
     found = checkpoint(intervals(segments(known, parts), parts))
-    told = found.groupBy("block").agg(F.collect_list(F.struct("part", "least")).alias("results"))
+    told = found.groupBy("block").agg(F.collect_list(F.struct("part", "least", "windows")).alias("results"))
     return removed(known.join(told, "block", "left"), parts, with_text)
 
 
