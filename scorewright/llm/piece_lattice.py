@@ -83,19 +83,26 @@ class Model:
     def bytes_from(self) -> int:
         return next(i for i, p in enumerate(self.pieces) if p[2] == BYTE)
 
+    def alone(self) -> set[str]:
+        """Pieces of a BPE model whose own text its merges, tried once each from the best on, don't make whole."""
+        table, out = self.table, set()
+        for p in (p for p in table if len(p) > 1):
+            edges = sorted((-table[p[i:j]][1], i, j) for i in range(len(p)) for j in range(i + 2, len(p) + 1) if p[i:j] in table)
+            bounds = list(range(len(p) + 1))
+            for _, i, j in edges:
+                if i in bounds and bounds.index(i) + 2 < len(bounds) and bounds[bounds.index(i) + 2] == j:
+                    del bounds[bounds.index(i) + 1]
+            if len(bounds) > 2:
+                out.add(p)
+        return out
+
     def breaks(self) -> str:
-        """A pattern of the places that no piece spans: before a space mark that follows another character, and around
+        """A pattern of places that no piece spans: before a space mark that follows another character, and around ASCII
         characters that are in no longer piece."""
-        joined = sorted({ord(c) for p in self.table if len(p) > 1 for c in p})
-        spans, inner = [], any(SPACE in p.lstrip(SPACE) for p in self.table)
-        for c in joined:
-            if spans and spans[-1][1] == c - 1:
-                spans[-1][1] = c
-            else:
-                spans.append([c, c])
-        known = "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in spans)
-        here = rf"(?<=[^{known}])|(?=[^{known}])" + ("" if inner else f"|(?<=[^{SPACE}])(?={SPACE})")
-        return rf"(?![\x{{dc00}}-\x{{dfff}}])(?:{here})"  # never inside a surrogate pair
+        joined = {c for p in self.table if len(p) > 1 for c in p}
+        lone = "".join(rf"\x{{{i:x}}}" for i in range(128) if chr(i) not in joined)
+        inner = any(SPACE in p.lstrip(SPACE) for p in self.table)
+        return rf"(?<=[{lone}])|(?=[{lone}])" + ("" if inner else f"|(?<=[^{SPACE}])(?={SPACE})")
 
 
 def marked(text: Column) -> Column:
@@ -108,7 +115,7 @@ def units_of(text: Column, model: Model) -> Column:
 
 
 def merged(edges: Column, n: Column) -> Column:
-    """Boundaries after all merges. edges: (start, end, id, score), best score first, leftmost first among equals."""
+    """Boundaries after all merges. edges: (start, end), best score first, leftmost first among equals."""
 
     def step(b: Column, _: Column) -> Column:
         def pair(e: Column) -> Column:
@@ -122,6 +129,63 @@ def merged(edges: Column, n: Column) -> Column:
     return F.when(n < 2, F.sequence(F.lit(0), n)).otherwise(F.aggregate(F.sequence(F.lit(2), n), F.sequence(F.lit(0), n), step))
 
 
+def bit(i: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), i.cast("int"))
+
+
+def start_of(e: Column) -> Column:
+    return F.shiftright(e, 8).bitwiseAND(F.lit(255))
+
+
+def end_of(e: Column) -> Column:
+    return e.bitwiseAND(F.lit(255))
+
+
+def between(e: Column) -> Column:
+    return bit(end_of(e)) - bit(start_of(e) + 1)
+
+
+def stands(b: Column, e: Column) -> Column:
+    """Whether the edge's two ends are boundaries."""
+    ends = bit(start_of(e)).bitwiseOR(bit(end_of(e)))
+    return b.bitwiseAND(ends) == ends
+
+
+def merged_once(edges: Column, n: Column) -> Column:
+    """Boundaries after all merges, as bits of a long. edges: rank, id, start, end in a long, so in the order of merges.
+
+    Each edge is tried once. While both its ends are boundaries, all merges inside it were those of its text alone, which
+    leave it two parts at its turn unless its piece is one of Model.alone.
+    """
+
+    def step(b: Column, e: Column) -> Column:
+        inside = b.bitwiseAND(between(e))
+        return F.when(stands(b, e) & (F.bit_count(inside) == 1), b - inside).otherwise(b)
+
+    return F.aggregate(edges, bit(n + 1) - 1, step)
+
+
+def ids_of(unit: Column, edges: Column, n: Column, first: int) -> Column:
+    """Ids of the pieces between the boundaries; a character without a piece gives its bytes' ids."""
+
+    def final(b: Column) -> Column:
+        used = F.filter(edges, lambda e: stands(b, e) & (b.bitwiseAND(between(e)) == 0))
+        return let(used, lambda u: let(keyed(u, b), lambda k: F.transform(F.array_sort(k), lambda x: x.bitwiseAND(F.lit((1 << 32) - 1)).cast("int"))))
+
+    def keyed(used: Column, b: Column) -> Column:
+        known = F.transform(used, lambda e: F.call_function("shiftleft", start_of(e), F.lit(40)) + F.shiftright(e, 16).bitwiseAND(F.lit((1 << 24) - 1)))
+        bare = F.filter(F.sequence(F.lit(0), n - 1), lambda i: ~F.exists(used, lambda e: (start_of(e) <= i) & (i < end_of(e))))
+
+        def octets(i: Column) -> Column:
+            code = F.hex(F.encode(F.substring(unit, i + 1, F.lit(1)), "UTF-8"))
+            at = F.call_function("shiftleft", i.cast("long"), F.lit(8))
+            return F.transform(F.sequence(F.lit(0), (F.length(code) / 2).cast("int") - 1), lambda k: F.call_function("shiftleft", at + k, F.lit(32)) + F.conv(F.substring(code, 2 * k + 1, F.lit(2)), 16, 10).cast("long") + first)
+
+        return F.when(F.size(used) + 1 == F.bit_count(b), known).otherwise(F.concat(known, F.flatten(F.transform(bare, octets))))
+
+    return let(merged_once(edges, n), final)
+
+
 def viterbi(edges: Column, n: Column, unknown: float) -> Column:
     """Boundaries of the path with the best sum of scores; a character without an edge costs unknown."""
     start = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("back")))
@@ -192,31 +256,43 @@ def long_units(units: DataFrame, model: Model) -> DataFrame:
 def dictionary(units: DataFrame, model: Model) -> DataFrame:
     """(unit, ids) of distinct units, by the lattice."""
     spark, table = units.sparkSession, model.table
-    pieces = spark.createDataFrame([(p, i, float(s)) for p, (i, s) in table.items()], "piece string, id int, score double")
+    odd = model.alone() if model.bpe else set()
+    order = {p: k for k, p in enumerate(sorted(table, key=lambda p: (-table[p][1], table[p][0])))}
+    code = lambda p: (order[p] << 40) + (table[p][0] << 16)
+    pieces = spark.createDataFrame([(p, code(p), float(s), p in odd) for p, (_, s) in table.items()], "piece string, code long, score double, odd boolean")
     pieces = F.broadcast(pieces) if len(table) <= MAX_BROADCAST else pieces
-    longest = max(map(len, table))
+    longest, first, unknown = max(map(len, table)), model.bytes_from, min(s for _, s in table.values()) - 10.0
     short = units.where(F.char_length("unit") <= MAX_UNIT).withColumn("n", F.char_length("unit"))
     starts = short.select("unit", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("start"))
     spans = starts.select("unit", "n", "start", F.explode(F.sequence(F.col("start") + 1, F.least(F.col("n"), F.col("start") + longest))).alias("end"))
     edges = spans.withColumn("piece", F.substring("unit", F.col("start") + 1, F.col("end") - F.col("start"))).join(pieces, "piece")
-    lattice = edges.groupBy("unit").agg(F.collect_list(F.struct((-F.col("score")).alias("rank"), "start", "end", "id", "score")).alias("edges"))
-    whole = short.join(lattice, "unit", "left").withColumn("edges", F.array_sort(F.coalesce("edges", F.array().cast(lattice.schema["edges"].dataType))))
-    unknown = min(s for _, s in table.values()) - 10.0
-    bounds = merged(F.col("edges"), F.col("n")) if model.bpe else viterbi(F.col("edges"), F.col("n"), unknown)
-    first = model.bytes_from
-
-    def piece_ids(b: Column) -> Column:
-        def ids(i: Column) -> Column:
-            s, e = F.get(b, i), F.get(b, i + 1)
-            hit = F.get(F.filter(F.col("edges"), lambda x: (x["start"] == s) & (x["end"] == e)), F.lit(0))["id"]
-            code = F.hex(F.encode(F.substring("unit", s + 1, e - s), "UTF-8"))
-            octets = F.transform(F.sequence(F.lit(0), (F.length(code) / 2).cast("int") - 1), lambda k: F.conv(F.substring(code, 2 * k + 1, F.lit(2)), 16, 10).cast("int") + first)
-            return F.when(hit.isNotNull(), F.array(hit)).otherwise(octets)
-
-        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(b) - 2), ids))
-
-    folded = whole.select("unit", let(bounds, piece_ids).alias("ids"))
-    return folded.union(long_units(units.where(F.char_length("unit") > MAX_UNIT), model))
+    packed = (F.col("code") + 256 * F.col("start") + F.col("end")).alias("edge")
+    if model.bpe:
+        lattice = edges.groupBy("unit").agg(F.collect_list(packed).alias("edges"), F.max("odd").alias("odd"))
+    else:
+        lattice = edges.groupBy("unit").agg(F.collect_list(F.struct("start", "end", "score", packed)).alias("edges"), F.lit(False).alias("odd"))
+    whole = short.join(lattice, "unit", "left").withColumns({"edges": F.array_sort(F.coalesce("edges", F.array().cast(lattice.schema["edges"].dataType))), "odd": F.coalesce("odd", F.lit(False))})
+    long = long_units(units.where(F.char_length("unit") > MAX_UNIT), model)
+    if not model.bpe:
+        plain = F.transform("edges", lambda e: e["edge"])
+        return whole.select("unit", let(viterbi(F.col("edges"), F.col("n"), unknown), lambda b: path_ids(F.col("unit"), plain, b, first)).alias("ids")).union(long)
+    parts = F.transform("edges", lambda e: F.struct(start_of(e).cast("int").alias("start"), end_of(e).cast("int").alias("end")))
+    slow = let(parts, lambda p: let(merged(p, F.col("n")), lambda b: path_ids(F.col("unit"), F.col("edges"), b, first)))
+    fast = ids_of(F.col("unit"), F.col("edges"), F.col("n"), first)
+    return whole.select("unit", F.when(F.col("odd"), slow).otherwise(fast).alias("ids")).union(long)
+
+
+def path_ids(unit: Column, edges: Column, bounds: Column, first: int) -> Column:
+    """Ids of the pieces between an array of boundaries."""
+
+    def ids(i: Column) -> Column:
+        s, e = F.get(bounds, i), F.get(bounds, i + 1)
+        hit = F.shiftright(F.get(F.filter(edges, lambda x: (start_of(x) == s) & (end_of(x) == e)), F.lit(0)), 16).bitwiseAND(F.lit((1 << 24) - 1)).cast("int")
+        code = F.hex(F.encode(F.substring(unit, s + 1, e - s), "UTF-8"))
+        octets = F.transform(F.sequence(F.lit(0), (F.length(code) / 2).cast("int") - 1), lambda k: F.conv(F.substring(code, 2 * k + 1, F.lit(2)), 16, 10).cast("int") + first)
+        return F.when(hit.isNotNull(), F.array(hit)).otherwise(octets)
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(bounds) - 2), ids))
 
 
 def encode(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
