@@ -12,4 +12,4 @@ def test_every_query_has_sql():
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_equals_duckdb(spark, name):
-    assert ", equal" in compare(spark, "/root/testdata/sf0.001", name) or name == "power_flags"
+    assert ", equal" in compare(spark, "/root/testdata/sf0.001", name)
