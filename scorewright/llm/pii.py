@@ -3,7 +3,9 @@
 Base: e-mail, IP, card and phone by pattern. Method: information-theoretic sanitisation. A protected entity e is a
 value that a pattern finds; a term t is a word in its context. Over the corpus, PMI(e; t) = log2(p(e, t) / p(e) p(t))
 says how much of the entity's information IC(e) = -log2 p(e) the term reveals. A term that reveals at least
-GENERALISE of it, seen in MIN_CONTEXTS different contexts or more, is generalised there; from REMOVE on it is removed.
+GENERALISE of it is generalised there; from REMOVE on it is removed. Every pair is judged, also one seen once: p(e | t)
+is smoothed by SUPPORT further sightings of the term in which the entity is as frequent as everywhere, so that few
+sightings say less than many.
 Copies of a document repeat a context, so they add no evidence. All of it is SQL expressions.
 """
 
@@ -27,7 +29,8 @@ PATTERNS = {
 HINTS = {"email": r"@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){13}", "phone": r"\+[0-9]"}
 #: Code points on either side of an entity that are its context; words that touch the outer edge are left out.
 CONTEXT = 64
-MIN_CONTEXTS = 3
+#: Sightings of a term that are added at p(e).
+SUPPORT = 1.0
 GENERALISE, REMOVE = 0.9, 0.97
 #: At most so many rows of 16 bytes are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
@@ -128,13 +131,15 @@ def disclosing(found: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
     contexts = checkpoint(contexts)
     entities = contexts.groupBy("__entity").agg(F.count(F.lit(1)).alias("__n_entity"))
     pairs = contexts.select("__entity", F.explode(F.array_distinct("__terms")).alias("__term")).groupBy("__entity", "__term").agg(F.count(F.lit(1)).alias("__n_pair"))
-    pairs = checkpoint(pairs.where(F.col("__n_pair") >= MIN_CONTEXTS))
+    pairs = checkpoint(pairs)
     terms = pairs.select("__term").distinct()
     words = F.array_distinct(F.transform(F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(r"\p{L}{3,}+"), F.lit(0)), lambda w: F.xxhash64(w)))
     counted = docs.select(F.explode(words).alias("__term")).groupBy("__term").agg(F.count(F.lit(1)).alias("__n_term"))
     in_docs = counted.join(terms, "__term", "left_semi")
     total = F.lit(float(found.count()))
-    share = F.log2(total * F.col("__n_pair") / (F.col("__n_entity") * F.greatest("__n_term", "__n_pair"))) / F.log2(total / F.col("__n_entity"))
+    p_entity = F.col("__n_entity") / total
+    p_given = (F.col("__n_pair") + SUPPORT * p_entity) / (F.greatest("__n_term", "__n_pair") + SUPPORT)
+    share = F.log2(p_given / p_entity) / -F.log2(p_entity)
     out = pairs.join(entities, "__entity").join(in_docs, "__term").where(F.col("__n_entity") < total)
     return checkpoint(out.select("__entity", "__term", share.alias("__share")).where(F.col("__share") >= GENERALISE))
 

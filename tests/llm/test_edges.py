@@ -147,6 +147,13 @@ def test_disclosing_terms(spark):
     assert "Zanzibari" not in out[0] and "[EMAIL]" in out[0] and "the king again" in out[0] and out[101] == other[1][1]
 
 
+def test_terms_of_an_entity_seen_once(spark):
+    data = [(0, "the Zanzibari envoy me@secret.org met the king", "en", "s", 1, 1, "", "", "", 1, "")]
+    data += [(1 + i, f"the envoy met the king in the text {i}", "en", "s", 1, 1, "", "", "", 1, "") for i in range(2000)]
+    out = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(data, DOCS)).collect()}
+    assert out[0] == "the [TERM] envoy [EMAIL] met the king" and out[1] == data[1][1]
+
+
 def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
