@@ -6,7 +6,7 @@ says how much of the entity's information IC(e) = -log2 p(e) the term reveals. A
 GENERALISE of it is generalised there; from REMOVE on it is removed. Every pair is judged, also one seen once: p(e | t)
 is smoothed by SUPPORT further sightings of the term in which the entity is as frequent as everywhere, so that few
 sightings say less than many.
-Copies of a document repeat a context, so they add no evidence. All of it is SQL expressions.
+Entities, terms, pairs and the corpus are all counted in documents, copies included. All of it is SQL expressions.
 """
 
 from __future__ import annotations
@@ -91,7 +91,7 @@ def normal(kind: Column, value: Column) -> Column:
 
 
 def context_terms(text: Column, spans: Column) -> Column:
-    """For each base span its entity, a hash of its context, and the terms in it that lie in no base span."""
+    """For each base span its entity and the terms in its context that lie in no base span."""
 
     def free(s: Column, e: Column) -> Column:
         return ~F.exists(spans, lambda b: (b["start"] < e) & (s < b["end"]))
@@ -104,7 +104,7 @@ def context_terms(text: Column, spans: Column) -> Column:
         at = F.greatest(s["start"] - CONTEXT, F.lit(0))
         left, right = F.substring(text, at + 1, s["start"] - at), F.substring(text, s["end"] + 1, F.lit(CONTEXT))
         both = F.concat(terms(left, at, at > 0, F.lit(False)), terms(right, s["end"], F.lit(False), F.char_length(right) == CONTEXT))
-        return F.struct(normal(s["kind"], s["value"]).alias("entity"), F.xxhash64(left, right).alias("context"), both.alias("terms"))
+        return F.struct(normal(s["kind"], s["value"]).alias("entity"), both.alias("terms"))
 
     return F.transform(spans, one)
 
@@ -123,14 +123,13 @@ def few(df: DataFrame) -> bool:
 def disclosing(found: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
     """A written table: (__entity, __term, __share) of the pairs whose share PMI / IC reaches GENERALISE.
 
-    Contexts of an entity are counted once each; a term's frequency counts every document of the corpus. Counts
-    are partial aggregates, so an entity, term or pair found everywhere is one row a task.
+    Every count is of documents, each row one, so copies raise all of them alike. Counts are partial aggregates, so
+    an entity, term or pair found everywhere is one row a task.
     """
-    near = found.where(F.size("__near") > 0).select(F.explode("__near").alias("__x")).select(F.col("__x.entity").alias("__entity"), F.col("__x.context").alias("__context"), F.col("__x.terms.term").alias("__terms"))
-    contexts = near.groupBy("__entity", "__context").agg(F.first("__terms").alias("__terms"))
-    contexts = checkpoint(contexts)
-    entities = contexts.groupBy("__entity").agg(F.count(F.lit(1)).alias("__n_entity"))
-    pairs = contexts.select("__entity", F.explode(F.array_distinct("__terms")).alias("__term")).groupBy("__entity", "__term").agg(F.count(F.lit(1)).alias("__n_pair"))
+    near = found.where(F.size("__near") > 0)
+    entities = near.select(F.explode(F.array_distinct("__near.entity")).alias("__entity")).groupBy("__entity").agg(F.count(F.lit(1)).alias("__n_entity"))
+    both = F.flatten(F.transform("__near", lambda x: F.transform(x["terms"], lambda t: F.struct(x["entity"].alias("entity"), t["term"].alias("term")))))
+    pairs = near.select(F.explode(F.array_distinct(both)).alias("__x")).groupBy(F.col("__x.entity").alias("__entity"), F.col("__x.term").alias("__term")).agg(F.count(F.lit(1)).alias("__n_pair"))
     pairs = checkpoint(pairs)
     terms = pairs.select("__term").distinct()
     words = F.array_distinct(F.transform(F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(r"\p{L}{3,}+"), F.lit(0)), lambda w: F.xxhash64(w)))

@@ -154,6 +154,16 @@ def test_terms_of_an_entity_seen_once(spark):
     assert out[0] == "the [TERM] envoy [EMAIL] met the king" and out[1] == data[1][1]
 
 
+def test_copies_raise_all_counts_alike(spark):
+    texts = ["the Zanzibari envoy me@secret.org met the king"] * 200 + [f"the Zanzibari envoy me@secret.org met the king in text {i}" for i in "ab"]
+    texts += [f"the envoy met the king in the text {i}" for i in range(2000)]
+    df = spark.createDataFrame([(i, t, "en", "s", 1, 1, "", "", "", 1, "") for i, t in enumerate(texts)], DOCS)
+    (pair,) = pii.disclosing(pii.find(df, "doc_id", "text"), df, "text").collect()
+    p = 202 / 2202
+    assert np.isclose(pair["__share"], np.log2((202 + p) / 203 / p) / -np.log2(p))
+    assert {r.doc_id: r.text for r in pii.sanitise(df).collect()}[0] == "the  envoy [EMAIL] met the king"
+
+
 def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
