@@ -1,9 +1,9 @@
 """Personal data by pattern, and the terms around it that give it away.
 
 Base: e-mail, IP, card and phone by pattern. Method: information-theoretic sanitisation. A protected entity e is a
-value that a pattern finds; a term t is a word in its context. Over the corpus, PMI(e; t) = log2(p(e, t) / p(e) p(t))
+value that a pattern finds; a term t is a word anywhere in a document that holds it. Over the corpus, PMI(e; t) = log2(p(e, t) / p(e) p(t))
 says how much of the entity's information IC(e) = -log2 p(e) the term reveals. A term that reveals at least
-GENERALISE of it is generalised there; from REMOVE on it is removed. Every pair is judged, also one seen once: p(e | t)
+GENERALISE of it is generalised wherever it stands in such a document; from REMOVE on it is removed. Every pair is judged, also one seen once: p(e | t)
 is smoothed by SUPPORT further sightings of the term in which the entity is as frequent as everywhere, so that few
 sightings say less than many.
 Entities, terms, pairs and the corpus are all counted in documents, copies included. All of it is SQL expressions.
@@ -27,11 +27,11 @@ PATTERNS = {
 }
 #: What a text must match, cheaply, before its pattern is tried.
 HINTS = {"email": r"@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){13}", "phone": r"\+[0-9]"}
-#: Code points on either side of an entity that are its context; words that touch the outer edge are left out.
-CONTEXT = 64
 #: Sightings of a term that are added at p(e).
 SUPPORT = 1.0
 GENERALISE, REMOVE = 0.9, 0.97
+#: A term: words of at least three letters, outside base spans.
+TERM = r"\p{L}{3,}+"
 #: At most so many rows of 16 bytes are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
@@ -90,30 +90,41 @@ def normal(kind: Column, value: Column) -> Column:
     return F.xxhash64(kind, F.lower(F.when(kind.isin("card", "phone"), F.translate(value, " ().-", "")).otherwise(value)))
 
 
-def context_terms(text: Column, spans: Column) -> Column:
-    """For each base span its entity and the terms in its context that lie in no base span."""
+def masked(text: Column, spans: Column) -> Column:
+    """text with blanks for its base spans, so that all places stay."""
+
+    def step(a: Column, s: Column) -> Column:
+        start = F.greatest(s["start"], a["pos"])
+        more = F.concat(a["out"], F.substring(text, a["pos"] + 1, start - a["pos"]), F.repeat(F.lit(" "), s["end"] - start))
+        return F.struct(F.greatest(a["pos"], s["end"]).alias("pos"), more.alias("out"))
+
+    return F.aggregate(spans, F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(text, a["pos"] + 1, F.char_length(text))))
 
-    def free(s: Column, e: Column) -> Column:
-        return ~F.exists(spans, lambda b: (b["start"] < e) & (s < b["end"]))
 
-    def terms(window: Column, at: Column, cut_left: Column, cut_right: Column) -> Column:
-        ok = lambda v, s, e: (F.char_length(v) >= 3) & ~(cut_left & (s == 0)) & ~(cut_right & (e == CONTEXT)) & free(at + s, at + e)
-        return F.transform(matches(window, r"\p{L}++", 0, "term", ok), lambda m: F.struct((at + m["start"]).alias("start"), (at + m["end"]).alias("end"), F.xxhash64(F.lower(m["value"])).alias("term")))
+def terms_of(text: Column) -> Column:
+    """The distinct terms of a masked text, hashed."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), lambda w: F.xxhash64(F.lower(w))))
 
-    def one(s: Column) -> Column:
-        at = F.greatest(s["start"] - CONTEXT, F.lit(0))
-        left, right = F.substring(text, at + 1, s["start"] - at), F.substring(text, s["end"] + 1, F.lit(CONTEXT))
-        both = F.concat(terms(left, at, at > 0, F.lit(False)), terms(right, s["end"], F.lit(False), F.char_length(right) == CONTEXT))
-        return F.struct(normal(s["kind"], s["value"]).alias("entity"), both.alias("terms"))
 
-    return F.transform(spans, one)
+def places(text: Column, general: Column, removed: Column) -> Column:
+    """The spans of disclosing terms in a masked text."""
+    both = F.concat(general, removed)
+    hits = matches(text, TERM, len(KINDS), "term", lambda v, s, e: F.array_contains(both, F.xxhash64(F.lower(v))))
+    kind = lambda m: F.when(F.array_contains(removed, F.xxhash64(F.lower(m["value"]))), "removed").otherwise("term")
+    return F.transform(hits, lambda m: F.struct(m["start"].alias("start"), m["ord"].alias("ord"), m["end"].alias("end"), kind(m).alias("kind")))
 
 
 def find(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """A written table: __id, __text (hash), __n_<kind>, __spans and __near, one row for each of docs."""
+    """A written table, one row for each of docs: __id, __text (hash), __n_<kind>, __spans and, where there are spans,
+    __entities (distinct) and __masked."""
     at = with_spans(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")), "__t")
-    near = F.when(F.size("__spans") > 0, context_terms(F.col("__t"), F.col("__spans")))
-    return checkpoint(at.select("__id", F.xxhash64("__t").alias("__text"), *(f"__n_{k}" for k in KINDS), F.transform("__spans", lambda s: F.struct(s["start"].alias("start"), s["ord"].alias("ord"), s["end"].alias("end"), s["kind"].alias("kind"))).alias("__spans"), near.alias("__near")))
+    entities = F.array_distinct(F.transform("__spans", lambda s: normal(s["kind"], s["value"])))
+    some = F.size("__spans") > 0
+    return checkpoint(at.select("__id", F.xxhash64("__t").alias("__text"), *(f"__n_{k}" for k in KINDS), slim().alias("__spans"), F.when(some, entities).alias("__entities"), F.when(some, masked(F.col("__t"), F.col("__spans"))).alias("__masked")))
+
+
+def slim() -> Column:
+    return F.transform("__spans", lambda s: F.struct(s["start"].alias("start"), s["ord"].alias("ord"), s["end"].alias("end"), s["kind"].alias("kind")))
 
 
 def few(df: DataFrame) -> bool:
@@ -124,38 +135,38 @@ def disclosing(found: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
     """A written table: (__entity, __term, __share) of the pairs whose share PMI / IC reaches GENERALISE.
 
     Every count is of documents, each row one, so copies raise all of them alike. Counts are partial aggregates, so
-    an entity, term or pair found everywhere is one row a task.
+    an entity, term or pair found everywhere is one row a task. Terms too common to reach GENERALISE with any entity
+    are left out before they are paired, as far as they can be broadcast; that changes no result.
     """
-    near = found.where(F.size("__near") > 0)
-    entities = near.select(F.explode(F.array_distinct("__near.entity")).alias("__entity")).groupBy("__entity").agg(F.count(F.lit(1)).alias("__n_entity"))
-    both = F.flatten(F.transform("__near", lambda x: F.transform(x["terms"], lambda t: F.struct(x["entity"].alias("entity"), t["term"].alias("term")))))
-    pairs = near.select(F.explode(F.array_distinct(both)).alias("__x")).groupBy(F.col("__x.entity").alias("__entity"), F.col("__x.term").alias("__term")).agg(F.count(F.lit(1)).alias("__n_pair"))
-    pairs = checkpoint(pairs)
-    terms = pairs.select("__term").distinct()
-    words = F.array_distinct(F.transform(F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(r"\p{L}{3,}+"), F.lit(0)), lambda w: F.xxhash64(w)))
-    counted = docs.select(F.explode(words).alias("__term")).groupBy("__term").agg(F.count(F.lit(1)).alias("__n_term"))
-    in_docs = counted.join(terms, "__term", "left_semi")
-    total = F.lit(float(found.count()))
+    near = found.where(F.size("__entities") > 0)
+    entities = checkpoint(near.select(F.explode("__entities").alias("__entity")).groupBy("__entity").agg(F.count(F.lit(1)).alias("__n_entity")))
+    at = with_spans(docs.select(F.col(text_col).alias("__t")), "__t")
+    text = F.when(F.size("__spans") > 0, masked(F.col("__t"), F.col("__spans"))).otherwise(F.coalesce("__t", F.lit("")))
+    counted = checkpoint(at.select(text.alias("__m")).select(F.explode(terms_of(F.col("__m"))).alias("__term")).groupBy("__term").agg(F.count(F.lit(1)).alias("__n_term")))
+    n = float(found.count())
+    most = entities.agg(F.max("__n_entity")).first()[0] or 0
+    top = (most + most / n) * (n / most) ** (1 - GENERALISE) + 1 if most else 0.0
+    common = counted.where(F.col("__n_term") > top).orderBy(F.desc("__n_term")).limit(BROADCAST_ROWS).select("__term")
+    each = near.select("__entities", F.explode(terms_of(F.col("__masked"))).alias("__term")).join(F.broadcast(common), "__term", "left_anti")
+    pairs = each.select(F.explode("__entities").alias("__entity"), "__term").groupBy("__entity", "__term").agg(F.count(F.lit(1)).alias("__n_pair"))
+    total = F.lit(n)
     p_entity = F.col("__n_entity") / total
-    p_given = (F.col("__n_pair") + SUPPORT * p_entity) / (F.greatest("__n_term", "__n_pair") + SUPPORT)
+    p_given = (F.col("__n_pair") + SUPPORT * p_entity) / (F.col("__n_term") + SUPPORT)
     share = F.log2(p_given / p_entity) / -F.log2(p_entity)
-    out = pairs.join(entities, "__entity").join(in_docs, "__term").where(F.col("__n_entity") < total)
+    out = pairs.join(entities, "__entity").join(counted, "__term").where(F.col("__n_entity") < total)
     return checkpoint(out.select("__entity", "__term", share.alias("__share")).where(F.col("__share") >= GENERALISE))
 
 
 def term_spans(found: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(__id, __text, __terms): the places of disclosing terms in each document, with what becomes of them."""
-    each = (
-        found.where(F.size("__near") > 0)
-        .select("__id", "__text", F.explode("__near").alias("__x"))
-        .select("__id", "__text", F.col("__x.entity").alias("__entity"), F.explode("__x.terms").alias("__y"))
-        .select("__id", "__text", "__entity", F.col("__y.term").alias("__term"), F.col("__y.start").alias("__start"), F.col("__y.end").alias("__end"))
-    )
-    hit = each.join(F.broadcast(pairs) if few(pairs) else pairs, ["__entity", "__term"])
-    hit = hit.groupBy("__id", "__text", "__start", "__end").agg(F.max("__share").alias("__share"))
-    kind = F.when(F.col("__share") >= REMOVE, "removed").otherwise("term")
-    span = F.struct(F.col("__start").alias("start"), F.lit(len(KINDS)).alias("ord"), F.col("__end").alias("end"), kind.alias("kind"))
-    return hit.groupBy(F.col("__id").alias("__term_id"), F.col("__text").alias("__term_text")).agg(F.array_sort(F.collect_list(span)).alias("__terms"))
+    """(__term_id, __term_text, __general, __removed): the terms to generalise and to remove in each document."""
+    near = found.where(F.size("__entities") > 0).select("__id", "__text", "__entities", F.explode(terms_of(F.col("__masked"))).alias("__term"))
+    terms = pairs.select("__term").distinct()
+    small = few(pairs)
+    each = near.join(F.broadcast(terms) if small else terms, "__term", "left_semi").select("__id", "__text", "__term", F.explode("__entities").alias("__entity"))
+    hit = each.join(F.broadcast(pairs) if small else pairs, ["__entity", "__term"])
+    hit = hit.groupBy("__id", "__text", "__term").agg(F.max("__share").alias("__share"))
+    gone = F.col("__share") >= REMOVE
+    return hit.groupBy(F.col("__id").alias("__term_id"), F.col("__text").alias("__term_text")).agg(F.collect_list(F.when(~gone, F.col("__term"))).alias("__general"), F.collect_list(F.when(gone, F.col("__term"))).alias("__removed"))
 
 
 def same_row(left: DataFrame, terms: DataFrame) -> Column:
@@ -176,7 +187,8 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     terms = term_spans(found, disclosing(found, docs, text_col))
     at = found.join(terms, same_row(found, terms), "left")
     none = F.array().cast("array<struct<start:int,ord:int,end:int,kind:string>>")
-    return at.select(F.col("__id").alias(id_col), *(F.col(f"__n_{k}").alias(f"n_{k}") for k in KINDS), F.col("__spans").alias("base_spans"), F.array_sort(F.concat("__spans", F.coalesce("__terms", none))).alias("all_spans"))
+    more = F.when(F.col("__general").isNotNull(), places(F.col("__masked"), F.col("__general"), F.col("__removed")))
+    return at.select(F.col("__id").alias(id_col), *(F.col(f"__n_{k}").alias(f"n_{k}") for k in KINDS), F.col("__spans").alias("base_spans"), F.array_sort(F.concat("__spans", F.coalesce(more, none))).alias("all_spans"))
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -189,8 +201,8 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     here = with_spans(docs.withColumns({"__id": F.col(id_col), "__text": F.xxhash64(F.col(text_col))}), text_col)
     many = F.broadcast(terms) if terms.count() <= BROADCAST_ROWS // 10 else terms.hint("shuffle_hash")
     at = here.join(many, same_row(here, terms), "left")
-    slim = F.transform("__spans", lambda s: F.struct(s["start"].alias("start"), s["ord"].alias("ord"), s["end"].alias("end"), s["kind"].alias("kind")))
-    spans = F.array_sort(F.concat(slim, F.coalesce("__terms", F.array().cast("array<struct<start:int,ord:int,end:int,kind:string>>"))))
+    more = F.when(F.col("__general").isNotNull(), places(masked(F.col(text_col), F.col("__spans")), F.col("__general"), F.col("__removed")))
+    spans = F.array_sort(F.concat(slim(), F.coalesce(more, F.array().cast("array<struct<start:int,ord:int,end:int,kind:string>>"))))
     text = F.col(text_col)
     label = lambda k: F.coalesce(F.create_map(*(F.lit(x) for kv in (LABELS | {"term": "[TERM]", "removed": ""}).items() for x in kv))[k], F.lit(""))
 

@@ -164,6 +164,14 @@ def test_copies_raise_all_counts_alike(spark):
     assert {r.doc_id: r.text for r in pii.sanitise(df).collect()}[0] == "the  envoy [EMAIL] met the king"
 
 
+def test_terms_of_the_whole_document(spark):
+    gap = "and the king met the envoy of the text " * 20
+    data = [(i, f"Zanzibari {gap}{i} me@secret.org {gap} zanzibari", "en", "s", 1, 1, "", "", "", 1, "") for i in range(3)]
+    data += [(3 + i, f"{gap} {i}", "en", "s", 1, 1, "", "", "", 1, "") for i in range(600)]
+    out = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(data, DOCS)).collect()}
+    assert [out[i] for i in range(3)] == [f"[TERM] {gap}{i} [EMAIL] {gap} [TERM]" for i in range(3)] and out[3] == data[3][1]
+
+
 def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
