@@ -10,13 +10,15 @@ from .common import checkpoint, read_table
 #: What a not-modified answer may update in the stored response; framing and content headers stay the response's own.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
 TRACKING = r"[?&](utm_[a-z]+|ref|fbclid|gclid)=[^&]*"
+#: Tracking parameters at the head of a query with another after them, which keeps the question mark.
+LEADING = r"\?(?:(?:utm_[a-z]+|ref|fbclid|gclid)=[^&]*&)+"
 
 
 def canonical(url: Column) -> Column:
     """The URL without scheme, www, fragment, tracking parameters, trailing slash and .html, its host in lower case."""
     bare = F.regexp_replace(F.regexp_replace(url, "#.*$", ""), "^[a-zA-Z]+://", "")
     host = F.regexp_replace(F.lower(F.regexp_extract(bare, "^[^/?]*", 0)), r"^www\.|:(80|443)$", "")
-    rest = F.regexp_replace(F.regexp_replace(bare, "^[^/?]*", ""), TRACKING, "")
+    rest = F.regexp_replace(F.regexp_replace(F.regexp_replace(bare, "^[^/?]*", ""), LEADING, "?"), TRACKING, "")
     return F.concat(host, F.regexp_replace(rest, r"(/|/index\.html|\.html)$", ""))
 
 

@@ -263,6 +263,12 @@ def test_revisits(spark):
     assert revisits.resolve(spark.createDataFrame([], r)).count() == 0
 
 
+def test_canonical_url_keeps_the_query(spark):
+    urls = ["h/p?page=2", "h/p?utm_source=a&page=2", "h/p?utm_source=a&ref=b&page=2", "h/p?page=2&gclid=c", "h/p?utm_source=a&page=2&ref=b"]
+    df = spark.createDataFrame([(u,) for u in [*urls, "h/p?utm_source=a&ref=b"]], "url string")
+    assert [r.u for r in df.select(revisits.canonical(F.col("url")).alias("u")).collect()] == ["h/p?page=2"] * 5 + ["h/p"]
+
+
 def test_cotraining(spark, docs, empty):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r.quality_score for r in cotraining.score(docs, labels).collect()} == {0.5} and cotraining.score(empty, labels).count() == 0
