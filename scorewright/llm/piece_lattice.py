@@ -1,9 +1,13 @@
 """SentencePiece encoding and decoding as relations.
 
-Text is cut in units at places that no piece spans. The distinct units of the corpus are exploded into bounded-length
-substrings, equi-joined to the piece table, and the edges grouped by unit; a higher-order aggregate folds each unit's
-lattice to ids. A unigram model folds by Viterbi. A BPE model's ids are not the best path by scores, so its lattice is
-folded by its merges instead: the edge of the best score over two neighbours joins them, until none is left.
+Text is cut in words at places that no piece spans. The distinct words of a few MB of documents are exploded into
+bounded-length substrings, which meet the piece table by an equi-join on their hashes; the edges are grouped by word, and
+a higher-order aggregate of Spark folds each word's lattice to its boundaries. A unigram model folds by Viterbi. A BPE model's
+ids are not the best path by scores, so its lattice is folded by its merges: edges in the order of their scores, each of
+which joins two neighbours that stand where it needs them.
+
+Explode, join and grouping run column by column on Arrow batches, where a row for each substring, some sixty a word, never
+exists. Nothing is shuffled or written: words meet inside a task, and the piece table is of the model's size.
 """
 
 from __future__ import annotations
@@ -12,19 +16,23 @@ import heapq
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, let, read_table
+from .common import let, read_table
 
 SPACE = "▁"
-#: Longer units, runs without a break, are folded by a heap in Python: n log n instead of the lattice's n squared.
-MAX_UNIT = 48
-#: A vocabulary of at most so many pieces is broadcast; its size is the model's, not the data's.
-MAX_BROADCAST = 500_000
+#: Boundaries are the bits of a long. A longer word without a place that no piece spans is folded outside the lattice, with equal ids.
+MAX_WORD = 62
+#: Bytes of text whose words are made distinct together, and words that one row carries.
+CHUNK, ROW = 8_000_000, 4096
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
+U = np.uint64
+TURN, SPREAD = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -75,14 +83,19 @@ class Model:
             raise ValueError("neither a unigram nor a BPE model")
         return Model(tuple(pieces), kind == 2)
 
-    @property
+    @cached_property
     def table(self) -> dict[str, tuple[int, float]]:
-        return {p: (i, s) for i, (p, s, t) in enumerate(self.pieces) if t in (NORMAL, USER)}
+        """Pieces by their text, with a plain space for the mark."""
+        return {p.replace(SPACE, " "): (i, s) for i, (p, s, t) in enumerate(self.pieces) if t in (NORMAL, USER)}
 
     @property
     def bytes_from(self) -> int:
         return next(i for i, p in enumerate(self.pieces) if p[2] == BYTE)
 
+    @property
+    def unknown(self) -> float:
+        return min(s for _, s in self.table.values()) - 10.0
+
     def alone(self) -> set[str]:
         """Pieces of a BPE model whose own text its merges, tried once each from the best on, don't make whole."""
         table, out = self.table, set()
@@ -96,98 +109,226 @@ class Model:
                 out.add(p)
         return out
 
-    def breaks(self) -> str:
-        """A pattern of places that no piece spans: before a space mark that follows another character, and around ASCII
-        characters that are in no longer piece."""
-        joined = {c for p in self.table if len(p) > 1 for c in p}
-        lone = "".join(rf"\x{{{i:x}}}" for i in range(128) if chr(i) not in joined)
-        inner = any(SPACE in p.lstrip(SPACE) for p in self.table)
-        return rf"(?<=[{lone}])|(?=[{lone}])" + ("" if inner else f"|(?<=[^{SPACE}])(?={SPACE})")
-
-
-def marked(text: Column) -> Column:
-    """The text as the model sees it: a mark before it and in place of spaces; an empty or null text stays empty."""
-    return F.when(F.length(text) > 0, F.concat(F.lit(SPACE), F.replace(text, F.lit(" "), F.lit(SPACE)))).otherwise(F.lit(""))
-
-
-def units_of(text: Column, model: Model) -> Column:
-    return F.array_remove(F.split(marked(text), model.breaks(), -1), "")
-
-
-def merged(edges: Column, n: Column) -> Column:
-    """Boundaries after all merges. edges: (start, end), best score first, leftmost first among equals."""
-
-    def step(b: Column, _: Column) -> Column:
-        def pair(e: Column) -> Column:
-            at = F.array_position(b, e["start"])
-            return (at > 0) & (F.get(b, (at + 1).cast("int")) == e["end"])
 
-        best = F.get(F.filter(edges, pair), F.lit(0))
-        middle = F.get(b, F.array_position(b, best["start"]).cast("int"))
-        return F.when(best.isNull(), b).otherwise(F.array_remove(b, middle))
+def hashed(p: np.ndarray) -> np.uint64:
+    h = U(0)
+    for c in p:
+        h = h * TURN + (U(c) + U(1)) * SPREAD
+    return h
+
+
+class Pieces:
+    """The piece table as columns, sorted by the hash of the text, and what the cut into words needs."""
+
+    def __init__(self, model: Model):
+        self.model, table = model, model.table
+        points = {p: np.array([ord(c) for c in p], U) for p in table}
+        with np.errstate(over="ignore"):
+            key = {p: hashed(x) for p, x in points.items()}
+        order = sorted(table, key=lambda p: int(key[p]))
+        self.key = np.array([key[p] for p in order], U)
+        if len(np.unique(self.key)) < len(self.key):
+            raise ValueError("two pieces of one hash")
+        self.id = np.array([table[p][0] for p in order], np.int64)
+        self.score = np.array([table[p][1] for p in order])
+        self.rank = np.unique(-self.score, return_inverse=True)[1].astype(U)  # equal scores, equal ranks
+        odd = model.alone() if model.bpe else set()
+        self.odd = np.array([p in odd for p in order])
+        self.longest = max(map(len, table))
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[self.slot(self.key)] = True
+        joined = {c for p in table if len(p) > 1 for c in p}
+        self.lone = np.array([b < 128 and chr(b) not in joined for b in range(256)])  # these bytes are words of their own
+        self.inner = any(" " in p.lstrip(" ") for p in table)
+        self.pairs = np.unique(np.concatenate([np.zeros(0, U), *(x[:-1] << U(21) | x[1:] for x in points.values() if len(x) > 1)]))
 
-    return F.when(n < 2, F.sequence(F.lit(0), n)).otherwise(F.aggregate(F.sequence(F.lit(2), n), F.sequence(F.lit(0), n), step))
+    @staticmethod
+    def slot(h: np.ndarray) -> np.ndarray:
+        return (h ^ (h >> U(32))) * TURN >> U(44)
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places of h that are pieces, their rows in the table)."""
+        hit = np.flatnonzero(self.maybe[self.slot(h)])
+        row = np.minimum(np.searchsorted(self.key, h[hit]), len(self.key) - 1)
+        ok = self.key[row] == h[hit]
+        return hit[ok], row[ok]
+
+
+def bounds(raw: np.ndarray, ends: np.ndarray, p: Pieces) -> np.ndarray:
+    """Where the words of documents that stand side by side end: before a space that follows another character, around bytes
+    in no longer piece, and at the documents' ends."""
+    if not len(raw):
+        return np.zeros(0, np.int64)
+    space, lone = raw == 32, p.lone[raw]
+    cut = np.zeros(len(raw) + 1, bool)
+    cut[:-1] |= lone
+    cut[1:] |= lone
+    if not p.inner:
+        cut[1:-1] |= space[1:] & ~space[:-1]
+    cut[ends] = True
+    cut[0] = False
+    at = np.flatnonzero(cut)
+    long = np.flatnonzero(np.diff(at, prepend=0) > MAX_WORD)
+    more = [np.zeros(0, np.int64)]
+    for k in long.tolist():  # cut long words between characters that stand side by side in no piece
+        a = int(at[k - 1]) if k else 0
+        points = np.frombuffer(raw[a : at[k]].tobytes().decode().encode("utf-32-le"), np.uint32).astype(U)
+        pair = points[:-1] << U(21) | points[1:]
+        place = np.minimum(np.searchsorted(p.pairs, pair), max(len(p.pairs) - 1, 0))
+        free = np.flatnonzero(p.pairs[place] != pair) if len(p.pairs) else np.arange(len(pair))
+        first = np.flatnonzero((raw[a : at[k]] & 0xC0) != 0x80)
+        more.append(a + first[free + 1])
+    return np.unique(np.concatenate([at, *more]))
+
+
+def points_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(code points of all words, how many each has)."""
+    data, offsets = spans_of(words)
+    starts = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    return np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32).astype(U), np.diff(starts[offsets])
+
+
+def spans_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of a binary array."""
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    return data, offsets - offsets[0]
+
+
+def edges_of(points: np.ndarray, n: np.ndarray, p: Pieces) -> np.ndarray:
+    """The lattices of words, sorted by word: words' number, rank, start and length, each edge packed in 64 bits, then its row.
+
+    Substrings of one length are made from those of one less, met with the table, and kept where they are pieces.
+    """
+    word = np.repeat(np.arange(len(n)), n)
+    begin = np.cumsum(n) - n
+    left = np.repeat(begin + n, n) - np.arange(len(points))
+    spot, h = np.arange(len(points)), np.zeros(len(points), U)
+    packed, rows = [np.zeros(0, U)], [np.zeros(0, np.int64)]
+    for length in range(1, p.longest + 1):
+        live = left[spot] >= length
+        spot = spot[live]
+        h = h[live] * TURN + (points[spot + length - 1] + U(1)) * SPREAD
+        if not len(spot):
+            break
+        if length == 1 and p.model.bpe:
+            continue
+        at, row = p.find(h)
+        w = word[spot[at]]
+        packed.append((w.astype(U) << U(34)) | (p.rank[row] << U(12)) | ((spot[at] - begin[w]).astype(U) << U(6)) | U(length))
+        rows.append(row)
+    return np.concatenate(packed), np.concatenate(rows)
+
+
+def lists(counts: np.ndarray, values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), values)
+
+
+def word_rows(words: pa.Array, p: Pieces) -> Iterator[dict[str, pa.Array]]:
+    """Rows of ROW words with their lattices."""
+    one = U(1)
+    for at in range(0, len(words), ROW):
+        part = words.slice(at, ROW)
+        points, n = points_of(part)
+        short = n <= MAX_WORD
+        keep = np.repeat(short, n)
+        packed, row = edges_of(points[keep], np.where(short, n, 0), p)
+        order = np.argsort(packed)
+        packed, row = packed[order], row[order]
+        w = (packed >> U(34)).astype(np.int64)
+        start = (packed >> U(6)) & U(63)
+        end = start + (packed & U(63))
+        if p.model.bpe:
+            ends = (one << start) | (one << end)
+            edge = pa.StructArray.from_arrays([pa.array(ends.view(np.int64)), pa.array(((one << end) - (one << (start + one))).view(np.int64))], ["ends", "inside"])
+        else:
+            edge = pa.StructArray.from_arrays([pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(p.score[row])], ["start", "end", "score"])
+        odd = np.zeros(len(n), bool)
+        odd[w[p.odd[row]]] = True
+        whole = len(n)
+        yield {
+            "data": pa.array([spans_of(part)[0].tobytes()], pa.binary()),
+            "n": lists([whole], pa.array(n, pa.int32())),
+            "odd": lists([whole], pa.array(odd)),
+            "edges": lists([whole], lists(np.bincount(w, minlength=whole), edge)),
+        }
+
+
+def lattices(docs: DataFrame, model: Model) -> DataFrame:
+    """docs(id, text) -> rows of words with their lattices, and after the words of each CHUNK a row of the documents that are
+    made of them: their ids, how many words each has, and the words' numbers. The order of rows in a partition matters."""
+    kind = dict(docs.dtypes)["id"]
+    edge = "struct<ends:long,inside:long>" if model.bpe else "struct<start:int,end:int,score:double>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p, held, size = Pieces(model), [], 0
+        own: pa.DataType | None = None
+
+        def row(**cols: pa.Array) -> pa.RecordBatch:
+            empty = {"data": pa.binary(), "n": pa.list_(pa.int32()), "odd": pa.list_(pa.bool_()), "edges": None, "docs": pa.list_(own), "counts": pa.list_(pa.int32()), "codes": pa.list_(pa.int32())}
+            pair = pa.struct([("ends", pa.int64()), ("inside", pa.int64())]) if model.bpe else pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())])
+            empty["edges"] = pa.list_(pa.list_(pair))
+            return pa.RecordBatch.from_arrays([cols[c] if c in cols else pa.nulls(1, t) for c, t in empty.items()], names=list(empty))
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            texts = [b" " + t.replace(SPACE.encode(), b" ") if t else b"" for _, t in held]
+            ends = np.cumsum(np.array(list(map(len, texts)), np.int64))
+            raw = np.frombuffer(b"".join(texts), np.uint8)
+            at = bounds(raw, ends, p)
+            offsets = pa.py_buffer(np.concatenate([[0], at]).astype(np.int32))
+            words = pa.Array.from_buffers(pa.binary(), len(at), [None, offsets, pa.py_buffer(raw)]).dictionary_encode()
+            for cols in word_rows(words.dictionary, p):
+                yield row(**cols)
+            counts = np.diff(np.searchsorted(at, ends, side="right"), prepend=0)
+            yield row(docs=lists([len(held)], pa.array([i for i, _ in held], own)), counts=lists([len(held)], pa.array(counts, pa.int32())), codes=lists([len(at)], words.indices))
+
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                own = batch.schema.field(0).type
+                for k in range(0, batch.num_rows, 256):
+                    part = batch.slice(k, 256)
+                    for i, t in zip(part.column(0).to_pylist(), part.column(1).cast(pa.large_binary()).to_pylist(), strict=True):
+                        if held and size + len(t or b"") > CHUNK:
+                            yield from flush()
+                            held, size = [], 0
+                        held.append((i, t))
+                        size += len(t or b"")
+            if held:
+                yield from flush()
+
+    return docs.mapInArrow(run, f"data binary, n array<int>, odd array<boolean>, edges array<array<{edge}>>, docs array<{kind}>, counts array<int>, codes array<int>")
 
 
 def bit(i: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), i.cast("int"))
 
 
-def start_of(e: Column) -> Column:
-    return F.shiftright(e, 8).bitwiseAND(F.lit(255))
-
-
-def end_of(e: Column) -> Column:
-    return e.bitwiseAND(F.lit(255))
-
-
-def between(e: Column) -> Column:
-    return bit(end_of(e)) - bit(start_of(e) + 1)
-
-
-def stands(b: Column, e: Column) -> Column:
-    """Whether the edge's two ends are boundaries."""
-    ends = bit(start_of(e)).bitwiseOR(bit(end_of(e)))
-    return b.bitwiseAND(ends) == ends
+def merges(b: Column, e: Column) -> Column:
+    """Whether the edge's ends are boundaries with one boundary between them."""
+    return (b.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(b.bitwiseAND(e["inside"])) == 1)
 
 
 def merged_once(edges: Column, n: Column) -> Column:
-    """Boundaries after all merges, as bits of a long. edges: rank, id, start, end in a long, so in the order of merges.
+    """Boundaries after all merges, as bits of a long; edges in the order of merges.
 
     Each edge is tried once. While both its ends are boundaries, all merges inside it were those of its text alone, which
     leave it two parts at its turn unless its piece is one of Model.alone.
     """
+    return F.aggregate(edges, bit(n + 1) - 1, lambda b, e: F.when(merges(b, e), b - b.bitwiseAND(e["inside"])).otherwise(b))
 
-    def step(b: Column, e: Column) -> Column:
-        inside = b.bitwiseAND(between(e))
-        return F.when(stands(b, e) & (F.bit_count(inside) == 1), b - inside).otherwise(b)
-
-    return F.aggregate(edges, bit(n + 1) - 1, step)
-
-
-def ids_of(unit: Column, edges: Column, n: Column, first: int) -> Column:
-    """Ids of the pieces between the boundaries; a character without a piece gives its bytes' ids."""
-
-    def final(b: Column) -> Column:
-        used = F.filter(edges, lambda e: stands(b, e) & (b.bitwiseAND(between(e)) == 0))
-        return let(used, lambda u: let(keyed(u, b), lambda k: F.transform(F.array_sort(k), lambda x: x.bitwiseAND(F.lit((1 << 32) - 1)).cast("int"))))
 
-    def keyed(used: Column, b: Column) -> Column:
-        known = F.transform(used, lambda e: F.call_function("shiftleft", start_of(e), F.lit(40)) + F.shiftright(e, 16).bitwiseAND(F.lit((1 << 24) - 1)))
-        bare = F.filter(F.sequence(F.lit(0), n - 1), lambda i: ~F.exists(used, lambda e: (start_of(e) <= i) & (i < end_of(e))))
-
-        def octets(i: Column) -> Column:
-            code = F.hex(F.encode(F.substring(unit, i + 1, F.lit(1)), "UTF-8"))
-            at = F.call_function("shiftleft", i.cast("long"), F.lit(8))
-            return F.transform(F.sequence(F.lit(0), (F.length(code) / 2).cast("int") - 1), lambda k: F.call_function("shiftleft", at + k, F.lit(32)) + F.conv(F.substring(code, 2 * k + 1, F.lit(2)), 16, 10).cast("long") + first)
+def merged(edges: Column, n: Column) -> Column:
+    """The same by as many searches for the best edge as there may be merges; right for every vocabulary."""
 
-        return F.when(F.size(used) + 1 == F.bit_count(b), known).otherwise(F.concat(known, F.flatten(F.transform(bare, octets))))
+    def step(b: Column, _: Column) -> Column:
+        best = F.get(F.filter(edges, lambda e: merges(b, e)), F.lit(0))
+        return F.when(best.isNull(), b).otherwise(b - b.bitwiseAND(best["inside"]))
 
-    return let(merged_once(edges, n), final)
+    return F.aggregate(F.sequence(F.lit(1), n), bit(n + 1) - 1, step)
 
 
 def viterbi(edges: Column, n: Column, unknown: float) -> Column:
-    """Boundaries of the path with the best sum of scores; a character without an edge costs unknown."""
+    """Boundaries of the path with the best sum of scores, as bits; a character without an edge costs unknown."""
     start = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("back")))
 
     def step(a: Column, i: Column) -> Column:
@@ -197,16 +338,32 @@ def viterbi(edges: Column, n: Column, unknown: float) -> Column:
         return F.concat(a, F.array(F.array_max(F.concat(ways, F.when(F.exists(into, lambda e: e["start"] == i - 1), F.array().cast("array<struct<score:double,back:int>>")).otherwise(F.array(lone))))))
 
     def walk(best: Column) -> Column:
-        back = F.aggregate(F.sequence(F.lit(1), n), F.array(n), lambda b, _: F.when(F.element_at(b, -1) == 0, b).otherwise(F.concat(b, F.array(F.get(best, F.element_at(b, -1))["back"]))))
-        return F.array_sort(back)
+        both = lambda at, b: F.struct(at.alias("at"), b.alias("b"))
+
+        def back(s: Column, _: Column) -> Column:
+            to = F.get(best, s["at"])["back"]
+            return F.when(s["at"] == 0, s).otherwise(both(to, s["b"].bitwiseOR(bit(to))))
+
+        return F.aggregate(F.sequence(F.lit(1), n), both(n, bit(n)), back, lambda s: s["b"])
 
     return let(F.aggregate(F.sequence(F.lit(1), n), start, step), walk)
 
 
-def long_units(units: DataFrame, model: Model) -> DataFrame:
-    """(unit, ids) of units beyond MAX_UNIT, by merges in a heap, or by Viterbi for a unigram model."""
+def folded(rows: DataFrame, model: Model) -> DataFrame:
+    """The lattices' rows with bits, the boundaries of each word, for its edges; a word beyond MAX_WORD has none."""
 
-    def bpe(text: str, table: dict, first: int) -> list[int]:
+    def one(e: Column, i: Column) -> Column:
+        n = F.get(F.col("n"), i)
+        best = F.when(F.get(F.col("odd"), i), merged(e, n)).otherwise(merged_once(e, n)) if model.bpe else viterbi(e, n, model.unknown)
+        return F.when(n <= MAX_WORD, best)
+
+    return rows.select("data", "n", F.transform("edges", one).alias("bits"), "docs", "counts", "codes")
+
+
+def outside(text: str, p: Pieces) -> list[int]:
+    """Ids of a word beyond MAX_WORD: merges in a heap, or the best path, position by position."""
+    table, first = p.model.table, p.model.bytes_from
+    if p.model.bpe:
         part, nxt, prev = list(text), [*range(1, len(text)), -1], [-1, *range(len(text) - 1)]
         heap: list[tuple[float, int, str]] = []
 
@@ -227,98 +384,117 @@ def long_units(units: DataFrame, model: Model) -> DataFrame:
                 prev[nxt[j]] = i
             push(prev[i])
             push(i)
-        return [x for p in part if p for x in ([table[p][0]] if p in table else [first + b for b in p.encode()])]
-
-    def path(text: str, table: dict, first: int, longest: int, unknown: float) -> list[int]:
+        parts = [x for x in part if x]
+    else:
         best: list[tuple[float, int]] = [(0.0, 0)]
         for i in range(1, len(text) + 1):
-            ways = [(best[s][0] + table[text[s:i]][1], s) for s in range(max(0, i - longest), i) if text[s:i] in table]
+            ways = [(best[s][0] + table[text[s:i]][1], s) for s in range(max(0, i - p.longest), i) if text[s:i] in table]
             if text[i - 1 : i] not in table:
-                ways.append((best[i - 1][0] + unknown, i - 1))
+                ways.append((best[i - 1][0] + p.model.unknown, i - 1))
             best.append(max(ways))
-        out, i = [], len(text)
+        parts, i = [], len(text)
         while i:
-            s = best[i][1]
-            out.append([table[text[s:i]][0]] if text[s:i] in table else [first + b for b in text[s:i].encode()])
-            i = s
-        return [x for ids in reversed(out) for x in ids]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table, first = model.table, model.bytes_from
-        longest, unknown = max(map(len, table)), min(s for _, s in table.values()) - 10.0
-        for b in batches:
-            b["ids"] = [bpe(t, table, first) if model.bpe else path(t, table, first, longest, unknown) for t in b["unit"]]
-            yield b
-
-    return units.mapInPandas(run, "unit string, ids array<int>")
-
-
-def dictionary(units: DataFrame, model: Model) -> DataFrame:
-    """(unit, ids) of distinct units, by the lattice."""
-    spark, table = units.sparkSession, model.table
-    odd = model.alone() if model.bpe else set()
-    order = {p: k for k, p in enumerate(sorted(table, key=lambda p: (-table[p][1], table[p][0])))}
-    code = lambda p: (order[p] << 40) + (table[p][0] << 16)
-    pieces = spark.createDataFrame([(p, code(p), float(s), p in odd) for p, (_, s) in table.items()], "piece string, code long, score double, odd boolean")
-    pieces = F.broadcast(pieces) if len(table) <= MAX_BROADCAST else pieces
-    longest, first, unknown = max(map(len, table)), model.bytes_from, min(s for _, s in table.values()) - 10.0
-    short = units.where(F.char_length("unit") <= MAX_UNIT).withColumn("n", F.char_length("unit"))
-    starts = short.select("unit", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("start"))
-    spans = starts.select("unit", "n", "start", F.explode(F.sequence(F.col("start") + 1, F.least(F.col("n"), F.col("start") + longest))).alias("end"))
-    edges = spans.withColumn("piece", F.substring("unit", F.col("start") + 1, F.col("end") - F.col("start"))).join(pieces, "piece")
-    packed = (F.col("code") + 256 * F.col("start") + F.col("end")).alias("edge")
-    if model.bpe:
-        lattice = edges.groupBy("unit").agg(F.collect_list(packed).alias("edges"), F.max("odd").alias("odd"))
-    else:
-        lattice = edges.groupBy("unit").agg(F.collect_list(F.struct("start", "end", "score", packed)).alias("edges"), F.lit(False).alias("odd"))
-    whole = short.join(lattice, "unit", "left").withColumns({"edges": F.array_sort(F.coalesce("edges", F.array().cast(lattice.schema["edges"].dataType))), "odd": F.coalesce("odd", F.lit(False))})
-    long = long_units(units.where(F.char_length("unit") > MAX_UNIT), model)
-    if not model.bpe:
-        plain = F.transform("edges", lambda e: e["edge"])
-        return whole.select("unit", let(viterbi(F.col("edges"), F.col("n"), unknown), lambda b: path_ids(F.col("unit"), plain, b, first)).alias("ids")).union(long)
-    parts = F.transform("edges", lambda e: F.struct(start_of(e).cast("int").alias("start"), end_of(e).cast("int").alias("end")))
-    slow = let(parts, lambda p: let(merged(p, F.col("n")), lambda b: path_ids(F.col("unit"), F.col("edges"), b, first)))
-    fast = ids_of(F.col("unit"), F.col("edges"), F.col("n"), first)
-    return whole.select("unit", F.when(F.col("odd"), slow).otherwise(fast).alias("ids")).union(long)
-
-
-def path_ids(unit: Column, edges: Column, bounds: Column, first: int) -> Column:
-    """Ids of the pieces between an array of boundaries."""
-
-    def ids(i: Column) -> Column:
-        s, e = F.get(bounds, i), F.get(bounds, i + 1)
-        hit = F.shiftright(F.get(F.filter(edges, lambda x: (start_of(x) == s) & (end_of(x) == e)), F.lit(0)), 16).bitwiseAND(F.lit((1 << 24) - 1)).cast("int")
-        code = F.hex(F.encode(F.substring(unit, s + 1, e - s), "UTF-8"))
-        octets = F.transform(F.sequence(F.lit(0), (F.length(code) / 2).cast("int") - 1), lambda k: F.conv(F.substring(code, 2 * k + 1, F.lit(2)), 16, 10).cast("int") + first)
-        return F.when(hit.isNotNull(), F.array(hit)).otherwise(octets)
-
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(bounds) - 2), ids))
+            parts.append(text[best[i][1] : i])
+            i = best[i][1]
+        parts.reverse()
+    return [x for q in parts for x in ([table[q][0]] if q in table else [first + b for b in q.encode()])]
+
+
+def word_ids(data: np.ndarray, n: np.ndarray, bits: np.ndarray, known: np.ndarray, p: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all words, how many each has) from the boundaries of each; known marks the words that have them."""
+    text = data.tobytes().decode()
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(U)
+    begin = np.cumsum(n) - n
+    word = np.repeat(np.arange(len(n)), n)
+    place = np.arange(len(points)) - begin[word]
+    head = np.flatnonzero(~known[word] | (((bits.view(U)[word] >> np.minimum(place, 63).astype(U)) & U(1)) > 0))
+    length = np.diff(np.append(head, len(points)))
+    h = np.zeros(len(head), U)
+    for k in range(min(int(length.max(initial=0)), p.longest)):
+        live = length > k
+        h[live] = h[live] * TURN + (points[head[live] + k] + U(1)) * SPREAD
+    hit, row = p.find(h)
+    hit, row = hit[length[hit] <= p.longest], row[length[hit] <= p.longest]
+    own = word[head]
+    many = 1 + sum((points[head] >= c).astype(np.int64) for c in (0x80, 0x800, 0x10000))  # bytes, where a character is no piece
+    many[hit] = 1
+    many[~known[own]] = 0
+    out = np.zeros(int(many.sum()), np.int64)
+    at = np.cumsum(many) - many
+    got = known[own[hit]]
+    out[at[hit[got]]] = p.id[row[got]]
+    bare = np.ones(len(head), bool)
+    bare[hit] = False
+    counts = np.bincount(own, many, len(n)).astype(np.int64)
+    for k in np.flatnonzero(bare & known[own]).tolist():
+        b = text[head[k]].encode()
+        out[at[k] : at[k] + len(b)] = p.model.bytes_from + np.frombuffer(b, np.uint8)
+    if known.all():
+        return out, counts
+    ends, parts = np.cumsum(counts), []
+    for k in np.flatnonzero(~known).tolist():
+        ids = outside(text[begin[k] : begin[k] + n[k]], p)
+        counts[k] = len(ids)
+        parts.append((int(ends[k]), ids))
+    return np.insert(out, [a for a, ids in parts for _ in ids], [i for _, ids in parts for i in ids]), counts
 
 
 def encode(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each of docs: id and ids, an array in order. Null and empty texts have none; repeated rows get equal
-    ids; null ids are values. Distinct units are folded once, whatever their number; every text moves as its units."""
-    row = [F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__text")]
-    cut = units_of(F.col(text_col), model)
-    distinct = docs.select(F.explode(F.array_distinct(cut)).alias("unit")).distinct()
-    known = checkpoint(dictionary(distinct, model))
-    each = docs.select(*row, F.posexplode(cut).alias("pos", "unit")).join(known, "unit")
-    ids = each.groupBy("__id", "__text").agg(F.collect_list(F.struct("pos", "ids")).alias("parts"))
-    ids = ids.select(F.col("__id").alias("__i"), F.col("__text").alias("__t"), F.flatten(F.transform(F.array_sort(F.array_distinct("parts")), lambda p: p["ids"])).alias("ids"))
-    base = docs.select(*row)
-    at = base.join(ids, base["__id"].eqNullSafe(ids["__i"]) & (base["__text"] == ids["__t"]), "left")
-    return at.select(F.col("__id").alias(id_col), F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
+    ids; null ids are values; other columns are ignored. An empty table gives an empty table."""
+    at = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kind = dict(at.dtypes)["id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p, ids, counts = Pieces(model), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        flat = lambda c, k: c.slice(k, 1).flatten().to_numpy(zero_copy_only=False)
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                data, n, bits, owners, sizes, codes = batch.columns
+                for k in range(batch.num_rows):
+                    if data[k].is_valid:
+                        known = bits.slice(k, 1).flatten()
+                        mine, many = word_ids(np.frombuffer(data[k].as_buffer(), np.uint8), flat(n, k).astype(np.int64), known.fill_null(0).to_numpy(), np.asarray(known.is_valid()), p)
+                        ids.append(mine)
+                        counts.append(many)
+                        continue
+                    all_ids, each = np.concatenate(ids), np.concatenate(counts)
+                    begin, code, words = np.cumsum(each) - each, flat(codes, k), flat(sizes, k)
+                    many = each[code]
+                    end = np.cumsum(many)
+                    pick = np.arange(int(many.sum())) + np.repeat(begin[code] - (end - many), many)
+                    upto = np.concatenate([[0], end])[np.concatenate([[0], np.cumsum(words)])]
+                    yield pa.RecordBatch.from_arrays([owners.slice(k, 1).flatten(), lists(np.diff(upto), pa.array(all_ids[pick], pa.int32()))], names=["id", "ids"])
+                    ids, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+    return folded(lattices(at, model), model).mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
-    """id and text of rows of id and ids, one row an id: pieces joined, marks as spaces but for the one put in front, runs of
-    byte pieces as UTF-8. The piece table is an array indexed by id, of the model's size."""
-    first = model.bytes_from
-    code = [p.encode().hex() if t in (NORMAL, USER) else f"{i - first:02x}" if t == BYTE else "e28187" if t == UNKNOWN else "" for i, (p, _, t) in enumerate(model.pieces)]
-    table = encoded.sparkSession.createDataFrame([(code,)], "__code array<string>")
-    joined = F.array_join(F.transform("ids", lambda i: F.get(F.col("__code"), i)), "")
-    text = F.replace(F.decode(F.unhex(joined), "UTF-8"), F.lit(SPACE), F.lit(" "))
-    return encoded.crossJoin(F.broadcast(table)).select(id_col, F.regexp_replace(text, r"\A ", "").alias("text"))
+    """id and text of rows of id and ids, one row each: pieces joined, marks as spaces but for the one put in front, byte
+    pieces as UTF-8. Null ids give null, none an empty text; an id outside the table is an error."""
+    at = encoded.select(F.col(id_col).alias("id"), "ids")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = model.bytes_from
+        code = [p.replace(SPACE, " ").encode() if t in (NORMAL, USER) else bytes([i - first]) if t == BYTE else " ⁇ ".encode() if t == UNKNOWN else b"" for i, (p, _, t) in enumerate(model.pieces)]
+        size = np.array(list(map(len, code)))
+        data, start = np.frombuffer(b"".join(code), np.uint8), np.cumsum(size) - size
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1000):
+                part = batch.slice(k, 1000)
+                ids = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                if len(ids) and (ids.min() < 0 or ids.max() >= len(code)):
+                    raise ValueError("an id that the model does not have")
+                n = np.array([0 if x is None else x for x in pa.compute.list_value_length(part.column(1)).to_pylist()], np.int64)
+                many = size[ids]
+                upto = np.concatenate([[0], np.cumsum(many)])
+                raw = data[np.arange(int(upto[-1])) + np.repeat(start[ids] - upto[:-1], many)].tobytes()
+                ends = upto[np.concatenate([[0], np.cumsum(n)])]
+                texts = [raw[a:b].decode(errors="replace").removeprefix(" ") if ok else None for a, b, ok in zip(ends[:-1], ends[1:], part.column(1).is_valid().to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], names=["id", "text"])
+
+    return at.mapInArrow(run, f"id {dict(at.dtypes)['id']}, text string").withColumnRenamed("id", id_col)
 
 
 def model_path() -> str:
@@ -328,5 +504,10 @@ def model_path() -> str:
 
 
 def op10_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = encode(read_table(spark, sf_dir, "documents").select("doc_id", "text"), Model.read(model_path()))
-    return at.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.transform("ids", lambda i: i.cast("string")), ","), 256).alias("ids_sha256"))
+    """doc_id, n_tokens, ids_sha256 (of the ids, comma-joined), and decoded_sha256, of the text that the ids give back."""
+    model = Model.read(model_path())
+    coded = encode(read_table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    # The key carries the digest through decode, so that no join puts the two together.
+    digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256)
+    keyed = coded.select(F.struct("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256")).alias("row"), "ids")
+    return decode(keyed, model, "row").select("row.*", F.sha2("text", 256).alias("decoded_sha256"))

@@ -297,6 +297,31 @@ def test_pieces(spark, docs, empty):
     assert piece_lattice.encode(empty, model).count() == 0
 
 
+def test_pieces_of_whole_documents(spark):
+    import sentencepiece
+
+    model, path = piece_lattice.Model.read(piece_lattice.model_path()), "/root/testdata/sf0.01"
+    real = sentencepiece.SentencePieceProcessor(model_file=piece_lattice.model_path())
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "text").collect()}
+    got = {r.doc_id: r for r in piece_lattice.op10_piece_lattice(spark, path).collect()}
+    assert got.keys() == texts.keys()
+    for i, t in texts.items():
+        ids = real.encode(t)
+        assert (got[i].n_tokens, got[i].ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+        assert got[i].decoded_sha256 == hashlib.sha256(t.encode()).hexdigest()
+
+
+def test_pieces_of_long_words(spark, monkeypatch):
+    import sentencepiece
+
+    model = piece_lattice.Model.read(piece_lattice.model_path())
+    real = sentencepiece.SentencePieceProcessor(model_file=piece_lattice.model_path())
+    texts = ["a" * 100_000, "x" + " " * 1000, "ab" * 40 + "日本語" * 30, "wordsthatneverend" * 50, "é" * 70 + "\U0001f600" * 80, "1234567890" * 20]
+    monkeypatch.setattr(piece_lattice, "CHUNK", 1000)
+    got = {r.doc_id: r.ids for r in piece_lattice.encode(spark.createDataFrame(rows(texts), DOCS), model).collect()}
+    assert [got[i] for i in range(len(texts))] == [real.encode(t) for t in texts]
+
+
 def test_viterbi_of_a_unigram_model(spark):
     pieces = [("▁", -3.0), ("a", -3.0), ("b", -3.0), ("ab", -4.0), ("▁a", -3.5), ("bab", -4.5), ("aba", -6.0)]
     model = piece_lattice.Model((*((p, s, 1) for p, s in pieces), *((f"<0x{i:02X}>", 0.0, 6) for i in range(256))), False)
