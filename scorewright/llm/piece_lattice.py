@@ -29,7 +29,7 @@ SPACE = "▁"
 #: Boundaries are the bits of a long. A longer word without a place that no piece spans is folded outside the lattice, with equal ids.
 MAX_WORD = 62
 #: Bytes of text whose words are made distinct together, and words that one row carries.
-CHUNK, ROW = 8_000_000, 4096
+CHUNK, ROW = 4_000_000, 4096
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
 U = np.uint64
 TURN, SPREAD = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
@@ -439,14 +439,17 @@ def word_ids(data: np.ndarray, n: np.ndarray, bits: np.ndarray, known: np.ndarra
     return np.insert(out, [a for a, ids in parts for _ in ids], [i for _, ids in parts for i in ids]), counts
 
 
-def encode(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each of docs: id and ids, an array in order. Null and empty texts have none; repeated rows get equal
-    ids; null ids are values; other columns are ignored. An empty table gives an empty table."""
+def encode(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """One row for each of docs: id and ids, an array in order, and, with decoded, decoded: the text that the ids give back.
+
+    Null and empty texts have none; repeated rows get equal ids; null ids are values; other columns are ignored. An
+    empty table gives an empty table.
+    """
     at = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = dict(at.dtypes)["id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, ids, counts = Pieces(model), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        p, back, ids, counts = Pieces(model), Texts(model), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         flat = lambda c, k: c.slice(k, 1).flatten().to_numpy(zero_copy_only=False)
         with np.errstate(over="ignore"):
             for batch in batches:
@@ -464,10 +467,36 @@ def encode(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                     end = np.cumsum(many)
                     pick = np.arange(int(many.sum())) + np.repeat(begin[code] - (end - many), many)
                     upto = np.concatenate([[0], end])[np.concatenate([[0], np.cumsum(words)])]
-                    yield pa.RecordBatch.from_arrays([owners.slice(k, 1).flatten(), lists(np.diff(upto), pa.array(all_ids[pick], pa.int32()))], names=["id", "ids"])
+                    cols = [owners.slice(k, 1).flatten(), lists(np.diff(upto), pa.array(all_ids[pick], pa.int32()))]
+                    yield pa.RecordBatch.from_arrays(cols + [back.of(cols[1])] * decoded, names=["id", "ids", "decoded"][: 2 + decoded])
                     ids, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
 
-    return folded(lattices(at, model), model).mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+    return folded(lattices(at, model), model).mapInArrow(run, f"id {kind}, ids array<int>" + ", decoded string" * decoded).withColumnRenamed("id", id_col)
+
+
+class Texts:
+    """The texts of ids: pieces side by side, gathered byte by byte."""
+
+    def __init__(self, model: Model):
+        first = model.bytes_from
+        code = [p.replace(SPACE, " ").encode() if t in (NORMAL, USER) else bytes([i - first]) if t == BYTE else " ⁇ ".encode() if t == UNKNOWN else b"" for i, (p, _, t) in enumerate(model.pieces)]
+        self.size = np.array(list(map(len, code)))
+        self.data, self.start = np.frombuffer(b"".join(code), np.uint8), np.cumsum(self.size) - self.size
+
+    def of(self, rows: pa.ListArray) -> pa.Array:
+        out: list[str | None] = []
+        for k in range(0, len(rows), 256):
+            part = rows.slice(k, 256)
+            ids = part.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            if len(ids) and (ids.min() < 0 or ids.max() >= len(self.size)):
+                raise ValueError("an id that the model does not have")
+            n = np.array([0 if x is None else x for x in pa.compute.list_value_length(part).to_pylist()], np.int64)
+            many = self.size[ids]
+            upto = np.concatenate([[0], np.cumsum(many)])
+            raw = self.data[np.arange(int(upto[-1])) + np.repeat(self.start[ids] - upto[:-1], many)].tobytes()
+            ends = upto[np.concatenate([[0], np.cumsum(n)])]
+            out += [raw[a:b].decode(errors="replace").removeprefix(" ") if ok else None for a, b, ok in zip(ends[:-1], ends[1:], part.is_valid().to_pylist(), strict=True)]
+        return pa.array(out, pa.string())
 
 
 def decode(encoded: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
@@ -476,23 +505,9 @@ def decode(encoded: DataFrame, model: Model, id_col: str = "doc_id") -> DataFram
     at = encoded.select(F.col(id_col).alias("id"), "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = model.bytes_from
-        code = [p.replace(SPACE, " ").encode() if t in (NORMAL, USER) else bytes([i - first]) if t == BYTE else " ⁇ ".encode() if t == UNKNOWN else b"" for i, (p, _, t) in enumerate(model.pieces)]
-        size = np.array(list(map(len, code)))
-        data, start = np.frombuffer(b"".join(code), np.uint8), np.cumsum(size) - size
+        back = Texts(model)
         for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                part = batch.slice(k, 1000)
-                ids = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                if len(ids) and (ids.min() < 0 or ids.max() >= len(code)):
-                    raise ValueError("an id that the model does not have")
-                n = np.array([0 if x is None else x for x in pa.compute.list_value_length(part.column(1)).to_pylist()], np.int64)
-                many = size[ids]
-                upto = np.concatenate([[0], np.cumsum(many)])
-                raw = data[np.arange(int(upto[-1])) + np.repeat(start[ids] - upto[:-1], many)].tobytes()
-                ends = upto[np.concatenate([[0], np.cumsum(n)])]
-                texts = [raw[a:b].decode(errors="replace").removeprefix(" ") if ok else None for a, b, ok in zip(ends[:-1], ends[1:], part.column(1).is_valid().to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], names=["id", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), back.of(batch.column(1))], names=["id", "text"])
 
     return at.mapInArrow(run, f"id {dict(at.dtypes)['id']}, text string").withColumnRenamed("id", id_col)
 
@@ -505,9 +520,6 @@ def model_path() -> str:
 
 def op10_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (of the ids, comma-joined), and decoded_sha256, of the text that the ids give back."""
-    model = Model.read(model_path())
-    coded = encode(read_table(spark, sf_dir, "documents").select("doc_id", "text"), model)
-    # The key carries the digest through decode, so that no join puts the two together.
+    coded = encode(read_table(spark, sf_dir, "documents").select("doc_id", "text"), Model.read(model_path()), decoded=True)
     digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256)
-    keyed = coded.select(F.struct("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256")).alias("row"), "ids")
-    return decode(keyed, model, "row").select("row.*", F.sha2("text", 256).alias("decoded_sha256"))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

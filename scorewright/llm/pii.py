@@ -6,7 +6,10 @@ says how much of the entity's information IC(e) = -log2 p(e) the term reveals. A
 GENERALISE of it is generalised wherever it stands in such a document; from REMOVE on it is removed. Every pair is judged, also one seen once: p(e | t)
 is smoothed by SUPPORT further sightings of the term in which the entity is as frequent as everywhere, so that few
 sightings say less than many.
-Entities, terms, pairs and the corpus are all counted in documents, copies included. All of it is SQL expressions.
+Entities, terms, pairs and the corpus are all counted in documents, copies included. Entities of exactly the same documents are
+one in all these counts, so a document of thousands of addresses that no other holds costs one row a term. All of it is
+SQL expressions, and their folds take chunks of about the square root of their length, so no array grows element by element
+over a whole text.
 """
 
 from __future__ import annotations
@@ -30,8 +33,10 @@ HINTS = {"email": r"@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "ca
 #: Sightings of a term that are added at p(e).
 SUPPORT = 1.0
 GENERALISE, REMOVE = 0.9, 0.97
-#: A term: words of at least three letters, outside base spans.
+#: A term: a word of at least three letters, outside base spans; of these only e-mails hold letters, so where a text has
+#: an "@", e-mails are matched along with the words and left out.
 TERM = r"\p{L}{3,}+"
+TERM_OR_MAIL = rf"(?:{PATTERNS['email']})|(?:(?!{PATTERNS['email']})\p{{L}}){{3,}}+"
 #: At most so many rows of 16 bytes are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
@@ -58,19 +63,40 @@ def valid(kind: str, v: Column) -> Column:
     return F.lit(True)
 
 
+def fold(items: Column, start: Column, kind: str, step) -> Column:
+    """The outputs of a walk over items: step(state, item) gives the next state and an array<kind> of outputs.
+
+    Items are taken in chunks; a step appends to its chunk's outputs, a chunk to the whole, so n items move n ** 1.5 elements at most.
+    """
+
+    def walk(all_: Column) -> Column:
+        chunk = F.greatest(F.ceil(F.sqrt(F.size(all_))), F.lit(32)).cast("int")
+        none, nothing = F.array().cast(f"array<{kind}>"), F.array().cast(f"array<array<{kind}>>")
+
+        def one(a: Column, x: Column) -> Column:
+            return let(step(a["s"], x), lambda r: F.struct(r["s"].alias("s"), F.when(F.size(r["out"]) > 0, F.concat(a["out"], r["out"])).otherwise(a["out"]).alias("out")))
+
+        def part(a: Column, k: Column) -> Column:
+            inner = F.aggregate(F.slice(all_, k * chunk + 1, chunk), F.struct(a["s"].alias("s"), none.alias("out")), one)
+            return let(inner, lambda r: F.struct(r["s"].alias("s"), F.concat(a["out"], F.array(r["out"])).alias("out")))
+
+        return F.aggregate(F.sequence(F.lit(0), (F.size(all_) / chunk).cast("int")), F.struct(start.alias("s"), nothing.alias("out")), part, lambda a: F.flatten(a["out"]))
+
+    return let(items, walk)
+
+
 def matches(text: Column, pattern: str, ordinal: int, kind: str, ok) -> Column:
     """SPAN of the pattern's matches in text that are ok. The pieces between matches give the places; only matches
     that are ok are gathered, so a text full of numbers costs no more than its length."""
     parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("val"))
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast(SPAN).alias("out"))
 
-    def step(a: Column, z: Column) -> Column:
-        at = a["pos"] + F.char_length(z["gap"])
+    def step(pos: Column, z: Column) -> Column:
+        at = pos + F.char_length(z["gap"])
         end = at + F.coalesce(F.char_length(z["val"]), F.lit(0))
         one = F.array(F.struct(at.alias("start"), F.lit(ordinal).alias("ord"), end.alias("end"), F.lit(kind).alias("kind"), z["val"].alias("value")))
-        return F.struct(end.alias("pos"), F.when(z["val"].isNotNull() & ok(z["val"], at, end), F.concat(a["out"], one)).otherwise(a["out"]).alias("out"))
+        return F.struct(end.alias("s"), F.when(z["val"].isNotNull() & ok(z["val"]), one).otherwise(F.array().cast(SPAN)).alias("out"))
 
-    return F.aggregate(parts, start, step)["out"]
+    return fold(parts, F.lit(0), SPAN[6:-1], step)
 
 
 def with_spans(docs: DataFrame, text_col: str) -> DataFrame:
@@ -79,7 +105,7 @@ def with_spans(docs: DataFrame, text_col: str) -> DataFrame:
     found = {}
     for i, k in enumerate(KINDS):
         hit = F.contains(text, F.lit("@")) & text.rlike(HINTS[k]) if k == "email" else F.contains(text, F.lit("+")) & text.rlike(HINTS[k]) if k == "phone" else text.rlike(HINTS[k])
-        found[f"__{k}"] = F.when(hit, matches(text, PATTERNS[k], i, k, lambda v, s, e, k=k: valid(k, v))).otherwise(F.array().cast(SPAN))
+        found[f"__{k}"] = F.when(hit, matches(text, PATTERNS[k], i, k, lambda v, k=k: valid(k, v))).otherwise(F.array().cast(SPAN))
     at = docs.withColumns(found)
     n = {f"__n_{k}": F.size(f"__{k}").cast("long") for k in KINDS}
     return at.withColumns(n | {"__spans": F.array_sort(F.concat(*(f"__{k}" for k in KINDS)))}).drop(*found)
@@ -90,89 +116,106 @@ def normal(kind: Column, value: Column) -> Column:
     return F.xxhash64(kind, F.lower(F.when(kind.isin("card", "phone"), F.translate(value, " ().-", "")).otherwise(value)))
 
 
-def masked(text: Column, spans: Column) -> Column:
-    """text with blanks for its base spans, so that all places stay."""
+def is_word(v: Column) -> Column:
+    return ~F.contains(v, F.lit("@"))
 
-    def step(a: Column, s: Column) -> Column:
-        start = F.greatest(s["start"], a["pos"])
-        more = F.concat(a["out"], F.substring(text, a["pos"] + 1, start - a["pos"]), F.repeat(F.lit(" "), s["end"] - start))
-        return F.struct(F.greatest(a["pos"], s["end"]).alias("pos"), more.alias("out"))
 
-    return F.aggregate(spans, F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(text, a["pos"] + 1, F.char_length(text))))
+def term(v: Column) -> Column:
+    return F.xxhash64(F.lower(v))
 
 
 def terms_of(text: Column) -> Column:
-    """The distinct terms of a masked text, hashed."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), lambda w: F.xxhash64(F.lower(w))))
+    """The distinct terms of a text, hashed."""
+    mail = F.filter(F.regexp_extract_all(text, F.lit(TERM_OR_MAIL), F.lit(0)), is_word)
+    words = F.when(F.contains(text, F.lit("@")), mail).otherwise(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)))
+    return F.array_distinct(F.transform(words, term))
 
 
-def places(text: Column, general: Column, removed: Column) -> Column:
-    """The spans of disclosing terms in a masked text."""
-    both = F.concat(general, removed)
-    hits = matches(text, TERM, len(KINDS), "term", lambda v, s, e: F.array_contains(both, F.xxhash64(F.lower(v))))
-    kind = lambda m: F.when(F.array_contains(removed, F.xxhash64(F.lower(m["value"]))), "removed").otherwise("term")
-    return F.transform(hits, lambda m: F.struct(m["start"].alias("start"), m["ord"].alias("ord"), m["end"].alias("end"), kind(m).alias("kind")))
+def places_of(text: Column) -> Column:
+    """SPAN of every term of a text."""
+    n = len(KINDS)
+    return F.when(F.contains(text, F.lit("@")), matches(text, TERM_OR_MAIL, n, "term", is_word)).otherwise(matches(text, TERM, n, "term", lambda v: F.lit(True)))
+
+
+def slim() -> Column:
+    return F.transform("__spans", lambda s: F.struct(s["start"].alias("start"), s["ord"].alias("ord"), s["end"].alias("end"), s["kind"].alias("kind")))
+
+
+def few(df: DataFrame) -> bool:
+    return df.count() <= BROADCAST_ROWS
 
 
 def find(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """A written table, one row for each of docs: __id, __text (hash), __n_<kind>, __spans and, where there are spans,
-    __entities (distinct) and __masked."""
+    __entities (distinct) and __t, the text."""
     at = with_spans(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")), "__t")
     entities = F.array_distinct(F.transform("__spans", lambda s: normal(s["kind"], s["value"])))
     some = F.size("__spans") > 0
-    return checkpoint(at.select("__id", F.xxhash64("__t").alias("__text"), *(f"__n_{k}" for k in KINDS), slim().alias("__spans"), F.when(some, entities).alias("__entities"), F.when(some, masked(F.col("__t"), F.col("__spans"))).alias("__masked")))
+    return checkpoint(at.select("__id", F.xxhash64("__t").alias("__text"), *(f"__n_{k}" for k in KINDS), slim().alias("__spans"), F.when(some, entities).alias("__entities"), F.when(some, F.col("__t")).alias("__t")))
 
 
-def slim() -> Column:
-    return F.transform("__spans", lambda s: F.struct(s["start"].alias("start"), s["ord"].alias("ord"), s["end"].alias("end"), s["kind"].alias("kind")))
+def classed(found: DataFrame) -> DataFrame:
+    """A written table, one row for each distinct document that holds an entity: __id, __text, __t, __times (how many rows it is)
+    and __classes, each with __n_entity, the rows that hold it. A class is the entities of exactly the same documents, known
+    by two sums of hashes over them, and named by the least of them."""
+    near = found.where(F.size("__entities") > 0).groupBy("__id", "__text").agg(F.first("__entities").alias("__entities"), F.first("__t").alias("__t"), F.count(F.lit(1)).alias("__times"))
+    near = checkpoint(near)
+    held = near.select("__id", "__text", "__times", F.explode("__entities").alias("__entity"))
+    sums = (F.sum(F.col("__times") * F.xxhash64(F.lit(k), "__id", "__text").cast("decimal(20,0)")).alias(f"__s{k}") for k in (1, 2))
+    each = checkpoint(held.groupBy("__entity").agg(F.sum("__times").alias("__n_entity"), *sums))
+    named = each.groupBy("__n_entity", "__s1", "__s2").agg(F.min("__entity").alias("__class"))
+    which = each.join(named, ["__n_entity", "__s1", "__s2"]).select("__entity", "__class", "__n_entity")
+    own = held.join(which, "__entity").groupBy("__id", "__text").agg(F.collect_set(F.struct("__class", "__n_entity")).alias("__classes"))
+    own = own.select(F.col("__id").alias("__i"), F.col("__text").alias("__x"), "__classes")
+    return checkpoint(near.join(own, near["__id"].eqNullSafe(own["__i"]) & (near["__text"] == own["__x"])).select("__id", "__text", "__t", "__times", "__classes"))
 
 
-def few(df: DataFrame) -> bool:
-    return df.count() <= BROADCAST_ROWS
-
-
-def disclosing(found: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
-    """A written table: (__entity, __term, __share) of the pairs whose share PMI / IC reaches GENERALISE.
+def disclosing(found: DataFrame, near: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
+    """A written table: (__class, __term, __share) of the pairs whose share PMI / IC reaches GENERALISE.
 
     Every count is of documents, each row one, so copies raise all of them alike. Counts are partial aggregates, so
     an entity, term or pair found everywhere is one row a task. Terms too common to reach GENERALISE with any entity
     are left out before they are paired, as far as they can be broadcast; that changes no result.
     """
-    near = found.where(F.size("__entities") > 0)
-    entities = checkpoint(near.select(F.explode("__entities").alias("__entity")).groupBy("__entity").agg(F.count(F.lit(1)).alias("__n_entity")))
-    at = with_spans(docs.select(F.col(text_col).alias("__t")), "__t")
-    text = F.when(F.size("__spans") > 0, masked(F.col("__t"), F.col("__spans"))).otherwise(F.coalesce("__t", F.lit("")))
-    counted = checkpoint(at.select(text.alias("__m")).select(F.explode(terms_of(F.col("__m"))).alias("__term")).groupBy("__term").agg(F.count(F.lit(1)).alias("__n_term")))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    counted = checkpoint(docs.select(F.explode(terms_of(text)).alias("__term")).groupBy("__term").agg(F.count(F.lit(1)).alias("__n_term")))
     n = float(found.count())
-    most = entities.agg(F.max("__n_entity")).first()[0] or 0
+    most = near.select(F.max(F.array_max(F.transform("__classes", lambda c: c["__n_entity"])))).first()[0] or 0
     top = (most + most / n) * (n / most) ** (1 - GENERALISE) + 1 if most else 0.0
     common = counted.where(F.col("__n_term") > top).orderBy(F.desc("__n_term")).limit(BROADCAST_ROWS).select("__term")
-    each = near.select("__entities", F.explode(terms_of(F.col("__masked"))).alias("__term")).join(F.broadcast(common), "__term", "left_anti")
-    pairs = each.select(F.explode("__entities").alias("__entity"), "__term").groupBy("__entity", "__term").agg(F.count(F.lit(1)).alias("__n_pair"))
+    each = near.select("__times", "__classes", F.explode(terms_of(F.col("__t"))).alias("__term")).join(F.broadcast(common), "__term", "left_anti")
+    pairs = each.select("__term", "__times", F.inline("__classes")).groupBy("__class", "__n_entity", "__term").agg(F.sum("__times").alias("__n_pair"))
     total = F.lit(n)
     p_entity = F.col("__n_entity") / total
     p_given = (F.col("__n_pair") + SUPPORT * p_entity) / (F.col("__n_term") + SUPPORT)
     share = F.log2(p_given / p_entity) / -F.log2(p_entity)
-    out = pairs.join(entities, "__entity").join(counted, "__term").where(F.col("__n_entity") < total)
-    return checkpoint(out.select("__entity", "__term", share.alias("__share")).where(F.col("__share") >= GENERALISE))
+    out = pairs.where(F.col("__n_entity") < total).join(counted, "__term")
+    return checkpoint(out.select("__class", "__term", share.alias("__share")).where(F.col("__share") >= GENERALISE))
 
 
-def term_spans(found: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(__term_id, __term_text, __general, __removed): the terms to generalise and to remove in each document."""
-    near = found.where(F.size("__entities") > 0).select("__id", "__text", "__entities", F.explode(terms_of(F.col("__masked"))).alias("__term"))
-    terms = pairs.select("__term").distinct()
+def term_spans(near: DataFrame, pairs: DataFrame) -> DataFrame:
+    """A written table (__term_id, __term_text, __more): the spans of the terms to generalise or remove in each document that has some."""
     small = few(pairs)
-    each = near.join(F.broadcast(terms) if small else terms, "__term", "left_semi").select("__id", "__text", "__term", F.explode("__entities").alias("__entity"))
-    hit = each.join(F.broadcast(pairs) if small else pairs, ["__entity", "__term"])
-    hit = hit.groupBy("__id", "__text", "__term").agg(F.max("__share").alias("__share"))
-    gone = F.col("__share") >= REMOVE
-    return hit.groupBy(F.col("__id").alias("__term_id"), F.col("__text").alias("__term_text")).agg(F.collect_list(F.when(~gone, F.col("__term"))).alias("__general"), F.collect_list(F.when(gone, F.col("__term"))).alias("__removed"))
+    each = near.select("__id", "__text", "__classes", F.explode(terms_of(F.col("__t"))).alias("__term"))
+    terms = pairs.select("__term").distinct()
+    each = each.join(F.broadcast(terms) if small else terms, "__term", "left_semi").select("__id", "__text", "__term", F.inline("__classes")).drop("__n_entity")
+    hit = each.join(F.broadcast(pairs) if small else pairs, ["__class", "__term"]).groupBy("__id", "__text", "__term").agg(F.max("__share").alias("__share"))
+    hit = checkpoint(hit.select(F.col("__id").alias("__i"), F.col("__text").alias("__x"), F.col("__term").alias("__w"), "__share"))
+    at = near.select("__id", "__text", F.explode(places_of(F.col("__t"))).alias("__m")).withColumn("__term", term(F.col("__m.value")))
+    at = at.join(hit, at["__id"].eqNullSafe(hit["__i"]) & (at["__text"] == hit["__x"]) & (at["__term"] == hit["__w"]))
+    kind = F.when(F.col("__share") >= REMOVE, "removed").otherwise("term")
+    span = F.struct(F.col("__m.start").alias("start"), F.col("__m.ord").alias("ord"), F.col("__m.end").alias("end"), kind.alias("kind"))
+    return checkpoint(at.groupBy(F.col("__id").alias("__term_id"), F.col("__text").alias("__term_text")).agg(F.collect_list(span).alias("__more")))
 
 
 def same_row(left: DataFrame, terms: DataFrame) -> Column:
     return left["__id"].eqNullSafe(terms["__term_id"]) & (left["__text"] == terms["__term_text"])
 
 
+def every_span() -> Column:
+    return F.array_sort(F.concat("__spans", F.coalesce("__more", F.array().cast("array<struct<start:int,ord:int,end:int,kind:string>>"))))
+
+
 def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
@@ -184,11 +227,37 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     An empty table gives an empty table.
     """
     found = find(docs, id_col, text_col)
-    terms = term_spans(found, disclosing(found, docs, text_col))
-    at = found.join(terms, same_row(found, terms), "left")
-    none = F.array().cast("array<struct<start:int,ord:int,end:int,kind:string>>")
-    more = F.when(F.col("__general").isNotNull(), places(F.col("__masked"), F.col("__general"), F.col("__removed")))
-    return at.select(F.col("__id").alias(id_col), *(F.col(f"__n_{k}").alias(f"n_{k}") for k in KINDS), F.col("__spans").alias("base_spans"), F.array_sort(F.concat("__spans", F.coalesce(more, none))).alias("all_spans"))
+    near = classed(found)
+    terms = term_spans(near, disclosing(found, near, docs, text_col))
+    at = found.drop("__t").join(terms, same_row(found, terms), "left")
+    return at.select(F.col("__id").alias(id_col), *(F.col(f"__n_{k}").alias(f"n_{k}") for k in KINDS), F.col("__spans").alias("base_spans"), every_span().alias("all_spans"))
+
+
+#: Characters of the pieces that a text is cut in before spans are replaced.
+PIECE = 1024
+
+
+def replaced(text: Column, spans: Column) -> Column:
+    """text with a label for each span, or the first one's for spans that overlap."""
+    label = lambda k: F.coalesce(F.create_map(*(F.lit(x) for kv in (LABELS | {"term": "[TERM]", "removed": ""}).items() for x in kv))[k], F.lit(""))
+
+    def whole(cut: Column) -> Column:
+        def between(a: Column, b: Column) -> Column:
+            """The text from a to b: the rest of a's piece, the pieces between, the head of b's."""
+            first, last = F.floor(a / PIECE).cast("int"), F.floor(b / PIECE).cast("int")
+            head = F.substring(F.coalesce(F.get(cut, first), F.lit("")), a % PIECE + 1, F.when(first == last, b - a).otherwise(F.lit(PIECE)))
+            middle = F.array_join(F.slice(cut, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+            return F.when(first == last, head).otherwise(F.concat(head, middle, F.substring(F.coalesce(F.get(cut, last), F.lit("")), F.lit(1), b % PIECE)))
+
+        def step(pos: Column, s: Column) -> Column:
+            fresh = s["start"] >= pos
+            out = F.when(fresh, F.array(between(pos, s["start"]), label(s["kind"]))).otherwise(F.array().cast("array<string>"))
+            return F.struct(F.greatest(pos, s["end"]).alias("s"), out.alias("out"))
+
+        end = F.struct(F.char_length(text).alias("start"), F.lit(0).alias("ord"), F.char_length(text).alias("end"), F.lit("").alias("kind"))
+        return F.array_join(fold(F.concat(spans, F.array(end)), F.lit(0), "string", step), "")
+
+    return let(F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{PIECE}}}+"), F.lit(0)), whole)
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -197,25 +266,15 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Where spans overlap the first one's label stands for all. Null text stays null.
     """
     found = find(docs, id_col, text_col)
-    terms = checkpoint(term_spans(found, disclosing(found, docs, text_col)))
-    here = with_spans(docs.withColumns({"__id": F.col(id_col), "__text": F.xxhash64(F.col(text_col))}), text_col)
-    many = F.broadcast(terms) if terms.count() <= BROADCAST_ROWS // 10 else terms.hint("shuffle_hash")
-    at = here.join(many, same_row(here, terms), "left")
-    more = F.when(F.col("__general").isNotNull(), places(masked(F.col(text_col), F.col("__spans")), F.col("__general"), F.col("__removed")))
-    spans = F.array_sort(F.concat(slim(), F.coalesce(more, F.array().cast("array<struct<start:int,ord:int,end:int,kind:string>>"))))
+    near = classed(found)
+    terms = term_spans(near, disclosing(found, near, docs, text_col))
+    known = found.where(F.size("__spans") > 0).dropDuplicates(["__id", "__text"]).drop("__t")
+    known = known.join(terms, same_row(known, terms), "left").select(F.col("__id").alias("__i"), F.col("__text").alias("__x"), every_span().alias("__all"))
+    known = checkpoint(known)
+    here = docs.withColumn("__x0", F.xxhash64(F.col(text_col)))
+    at = here.join(known, here[id_col].eqNullSafe(known["__i"]) & (here["__x0"] == known["__x"]), "left")
     text = F.col(text_col)
-    label = lambda k: F.coalesce(F.create_map(*(F.lit(x) for kv in (LABELS | {"term": "[TERM]", "removed": ""}).items() for x in kv))[k], F.lit(""))
-
-    def step(a: Column, s: Column) -> Column:
-        fresh = s["start"] >= a["pos"]
-        more = F.concat(a["out"], F.when(fresh, F.concat(F.substring(text, a["pos"] + 1, s["start"] - a["pos"]), label(s["kind"]))).otherwise(F.lit("")))
-        return F.struct(F.greatest(a["pos"], s["end"]).alias("pos"), more.alias("out"))
-
-    def whole(a: Column) -> Column:
-        return F.concat(a["out"], F.substring(text, a["pos"] + 1, F.char_length(text)))
-
-    clean = F.aggregate("__all", F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")), step, whole)
-    return at.withColumn("__all", spans).withColumn(text_col, F.when(F.size("__all") > 0, clean).otherwise(text)).select(*docs.columns)
+    return at.withColumn(text_col, F.when(F.size("__all") > 0, replaced(text, F.col("__all"))).otherwise(text)).select(*docs.columns)
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -158,7 +158,8 @@ def test_copies_raise_all_counts_alike(spark):
     texts = ["the Zanzibari envoy me@secret.org met the king"] * 200 + [f"the Zanzibari envoy me@secret.org met the king in text {i}" for i in "ab"]
     texts += [f"the envoy met the king in the text {i}" for i in range(2000)]
     df = spark.createDataFrame([(i, t, "en", "s", 1, 1, "", "", "", 1, "") for i, t in enumerate(texts)], DOCS)
-    (pair,) = pii.disclosing(pii.find(df, "doc_id", "text"), df, "text").collect()
+    found = pii.find(df, "doc_id", "text")
+    (pair,) = pii.disclosing(found, pii.classed(found), df, "text").collect()
     p = 202 / 2202
     assert np.isclose(pair["__share"], np.log2((202 + p) / 203 / p) / -np.log2(p))
     assert {r.doc_id: r.text for r in pii.sanitise(df).collect()}[0] == "the  envoy [EMAIL] met the king"
@@ -172,6 +173,66 @@ def test_terms_of_the_whole_document(spark):
     assert [out[i] for i in range(3)] == [f"[TERM] {gap}{i} [EMAIL] {gap} [TERM]" for i in range(3)] and out[3] == data[3][1]
 
 
+def test_terms_equal_a_plain_count(spark):
+    """The whole method in plain Python: sets of documents, the share of every pair, and spans of all its terms."""
+    rng = np.random.default_rng(4)
+    names, mails, nets = [f"name{chr(97 + i)}{chr(97 + i % 7)}" for i in range(26)], [f"m{i}@x{i % 5}.org" for i in range(12)], [f"10.0.{i}.1" for i in range(6)]
+    texts = []
+    for i in range(300):
+        w = [f"filler{chr(97 + x)}" for x in rng.integers(0, 9, 12)] + [names[x] for x in rng.integers(0, 26, 1)]
+        if i % 6 == 0:
+            k = int(rng.integers(0, 12))
+            w += [mails[k], f"secret{chr(97 + k)}", f"{names[k]}{mails[k]}"] + [nets[k % 6]] * (i % 4 == 0)
+        if i % 7 == 0:
+            w += ["boss@example.org", "zanzibar"]
+        texts.append(" ".join(rng.permutation(w)))
+    texts += texts[:20] + [None, "ééa@b.co xyzé@b.co abc"]
+    entity, words_in = {}, []
+    for i, t in enumerate(texts):
+        t = t or ""
+        mail = [(m.start(), m.end()) for m in re.finditer(PATTERNS["email"], t)]
+        for k in ("email", "ip"):
+            for m in re.finditer(PATTERNS[k], t):
+                entity.setdefault((k, m[0].lower()), set()).add(i)
+        blank = list(t)
+        for a, b in mail:
+            blank[a:b] = " " * (b - a)
+        words_in.append([(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[^\W\d_]{3,}", "".join(blank))])
+    n = len(texts)
+    of = {}
+    for i, ws in enumerate(words_in):
+        for *_, w in ws:
+            of.setdefault(w, set()).add(i)
+    best = {}
+    for e, d in entity.items():
+        p = len(d) / n
+        for w, at in of.items():
+            if both := len(d & at):
+                share = np.log2((both + p) / (len(at) + 1) / p) / -np.log2(p)
+                for i in d & at:
+                    best[i, w] = max(best.get((i, w), 0.0), share)
+    got = {r.doc_id: r.spans for r in pii.detect(spark.createDataFrame(rows(texts), DOCS)).select("doc_id", pii.joined(F.col("all_spans")).alias("spans")).collect()}
+    kinds = set()
+    for i, t in enumerate(texts):
+        terms = [(a, 4, b, "removed" if best[i, w] >= pii.REMOVE else "term") for a, b, w in words_in[i] if best.get((i, w), 0) >= pii.GENERALISE]
+        kinds |= {x[3] for x in terms}
+        spans = [(int(a), ("email", "ip", "card", "phone").index(k), int(b), k) for k, a, b in (x.split(":") for x in base(t).split(",") if x)]
+        assert got[i] == ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(spans + terms)), i
+    assert kinds == {"term", "removed"}
+
+
+def test_dense_texts_take_seconds(spark):
+    import time
+
+    mails = " ".join(f"user{i}x@host{i % 50}.org wrote{chr(97 + i % 26)}{chr(97 + i // 26 % 26)} {i}" for i in range(20_000))
+    df = spark.createDataFrame(rows([mails, "no address in here", mails + " again"]), DOCS)
+    start = time.time()
+    got = {r.doc_id: r for r in pii.detect(df).select("doc_id", "n_email").collect()}
+    clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    assert got[0].n_email == 20_000 and "@" not in clean[0] and clean[0].count("[EMAIL]") == 20_000 and clean[1] == "no address in here"
+    assert time.time() - start < 90
+
+
 def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
