@@ -63,10 +63,10 @@ def valid(kind: str, v: Column) -> Column:
     return F.lit(True)
 
 
-def fold(items: Column, start: Column, kind: str, step) -> Column:
-    """The outputs of a walk over items: step(state, item) gives the next state and an array<kind> of outputs.
+def fold(items: Column, start: Column, kind: str, after, wanted, value) -> Column:
+    """array<kind> of value(state, item) for the items of a walk that are wanted(state, item); after gives the next state.
 
-    Items are taken in chunks; a step appends to its chunk's outputs, a chunk to the whole, so n items move n ** 1.5 elements at most.
+    Items are taken in chunks; a value is appended to its chunk's, a chunk to the whole, so n items move n ** 1.5 elements at most.
     """
 
     def walk(all_: Column) -> Column:
@@ -74,7 +74,8 @@ def fold(items: Column, start: Column, kind: str, step) -> Column:
         none, nothing = F.array().cast(f"array<{kind}>"), F.array().cast(f"array<array<{kind}>>")
 
         def one(a: Column, x: Column) -> Column:
-            return let(step(a["s"], x), lambda r: F.struct(r["s"].alias("s"), F.when(F.size(r["out"]) > 0, F.concat(a["out"], r["out"])).otherwise(a["out"]).alias("out")))
+            out = F.when(wanted(a["s"], x), F.concat(a["out"], F.array(value(a["s"], x)))).otherwise(a["out"])
+            return F.struct(after(a["s"], x).alias("s"), out.alias("out"))
 
         def part(a: Column, k: Column) -> Column:
             inner = F.aggregate(F.slice(all_, k * chunk + 1, chunk), F.struct(a["s"].alias("s"), none.alias("out")), one)
@@ -88,15 +89,14 @@ def fold(items: Column, start: Column, kind: str, step) -> Column:
 def matches(text: Column, pattern: str, ordinal: int, kind: str, ok) -> Column:
     """SPAN of the pattern's matches in text that are ok. The pieces between matches give the places; only matches
     that are ok are gathered, so a text full of numbers costs no more than its length."""
-    parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("val"))
+    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.char_length(g))
+    parts = F.arrays_zip(gaps.alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("val"))
+    end = lambda pos, z: pos + z["gap"] + F.coalesce(F.char_length(z["val"]), F.lit(0))
 
-    def step(pos: Column, z: Column) -> Column:
-        at = pos + F.char_length(z["gap"])
-        end = at + F.coalesce(F.char_length(z["val"]), F.lit(0))
-        one = F.array(F.struct(at.alias("start"), F.lit(ordinal).alias("ord"), end.alias("end"), F.lit(kind).alias("kind"), z["val"].alias("value")))
-        return F.struct(end.alias("s"), F.when(z["val"].isNotNull() & ok(z["val"]), one).otherwise(F.array().cast(SPAN)).alias("out"))
+    def span(pos: Column, z: Column) -> Column:
+        return F.struct((pos + z["gap"]).alias("start"), F.lit(ordinal).alias("ord"), end(pos, z).alias("end"), F.lit(kind).alias("kind"), z["val"].alias("value"))
 
-    return fold(parts, F.lit(0), SPAN[6:-1], step)
+    return fold(parts, F.lit(0), SPAN[6:-1], end, lambda _, z: z["val"].isNotNull() & ok(z["val"]), span)
 
 
 def with_spans(docs: DataFrame, text_col: str) -> DataFrame:
@@ -155,19 +155,19 @@ def find(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def classed(found: DataFrame) -> DataFrame:
-    """A written table, one row for each distinct document that holds an entity: __id, __text, __t, __times (how many rows it is)
-    and __classes, each with __n_entity, the rows that hold it. A class is the entities of exactly the same documents, known
-    by two sums of hashes over them, and named by the least of them."""
-    near = found.where(F.size("__entities") > 0).groupBy("__id", "__text").agg(F.first("__entities").alias("__entities"), F.first("__t").alias("__t"), F.count(F.lit(1)).alias("__times"))
-    near = checkpoint(near)
-    held = near.select("__id", "__text", "__times", F.explode("__entities").alias("__entity"))
-    sums = (F.sum(F.col("__times") * F.xxhash64(F.lit(k), "__id", "__text").cast("decimal(20,0)")).alias(f"__s{k}") for k in (1, 2))
-    each = checkpoint(held.groupBy("__entity").agg(F.sum("__times").alias("__n_entity"), *sums))
+    """A written table, one row for each row that holds an entity: __id, __text, __t and __classes, each with __n_entity, the
+    rows that hold it. A class is the entities of exactly the same rows, known by two sums of hashes over them, and
+    named by the least of them."""
+    near = found.where(F.size("__entities") > 0).select("__id", "__text", "__t", "__entities")
+    held = near.select("__id", "__text", F.explode("__entities").alias("__entity"))
+    sums = (F.sum(F.xxhash64(F.lit(k), "__id", "__text").cast("decimal(20,0)")).alias(f"__s{k}") for k in (1, 2))
+    each = checkpoint(held.groupBy("__entity").agg(F.count(F.lit(1)).alias("__n_entity"), *sums))
     named = each.groupBy("__n_entity", "__s1", "__s2").agg(F.min("__entity").alias("__class"))
     which = each.join(named, ["__n_entity", "__s1", "__s2"]).select("__entity", "__class", "__n_entity")
     own = held.join(which, "__entity").groupBy("__id", "__text").agg(F.collect_set(F.struct("__class", "__n_entity")).alias("__classes"))
-    own = own.select(F.col("__id").alias("__i"), F.col("__text").alias("__x"), "__classes")
-    return checkpoint(near.join(own, near["__id"].eqNullSafe(own["__i"]) & (near["__text"] == own["__x"])).select("__id", "__text", "__t", "__times", "__classes"))
+    own = checkpoint(own.select(F.col("__id").alias("__i"), F.col("__text").alias("__x"), "__classes"))
+    at = near.join(F.broadcast(own) if own.count() <= BROADCAST_ROWS // 10 else own, near["__id"].eqNullSafe(own["__i"]) & (near["__text"] == own["__x"]))
+    return checkpoint(at.select("__id", "__text", "__t", "__classes"))
 
 
 def disclosing(found: DataFrame, near: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
@@ -183,8 +183,8 @@ def disclosing(found: DataFrame, near: DataFrame, docs: DataFrame, text_col: str
     most = near.select(F.max(F.array_max(F.transform("__classes", lambda c: c["__n_entity"])))).first()[0] or 0
     top = (most + most / n) * (n / most) ** (1 - GENERALISE) + 1 if most else 0.0
     common = counted.where(F.col("__n_term") > top).orderBy(F.desc("__n_term")).limit(BROADCAST_ROWS).select("__term")
-    each = near.select("__times", "__classes", F.explode(terms_of(F.col("__t"))).alias("__term")).join(F.broadcast(common), "__term", "left_anti")
-    pairs = each.select("__term", "__times", F.inline("__classes")).groupBy("__class", "__n_entity", "__term").agg(F.sum("__times").alias("__n_pair"))
+    each = near.select("__classes", F.explode(terms_of(F.col("__t"))).alias("__term")).join(F.broadcast(common), "__term", "left_anti")
+    pairs = each.select("__term", F.inline("__classes")).groupBy("__class", "__n_entity", "__term").agg(F.count(F.lit(1)).alias("__n_pair"))
     total = F.lit(n)
     p_entity = F.col("__n_entity") / total
     p_given = (F.col("__n_pair") + SUPPORT * p_entity) / (F.col("__n_term") + SUPPORT)
@@ -205,7 +205,7 @@ def term_spans(near: DataFrame, pairs: DataFrame) -> DataFrame:
     at = at.join(hit, at["__id"].eqNullSafe(hit["__i"]) & (at["__text"] == hit["__x"]) & (at["__term"] == hit["__w"]))
     kind = F.when(F.col("__share") >= REMOVE, "removed").otherwise("term")
     span = F.struct(F.col("__m.start").alias("start"), F.col("__m.ord").alias("ord"), F.col("__m.end").alias("end"), kind.alias("kind"))
-    return checkpoint(at.groupBy(F.col("__id").alias("__term_id"), F.col("__text").alias("__term_text")).agg(F.collect_list(span).alias("__more")))
+    return checkpoint(at.groupBy(F.col("__id").alias("__term_id"), F.col("__text").alias("__term_text")).agg(F.collect_set(span).alias("__more")))
 
 
 def same_row(left: DataFrame, terms: DataFrame) -> Column:
@@ -249,13 +249,8 @@ def replaced(text: Column, spans: Column) -> Column:
             middle = F.array_join(F.slice(cut, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
             return F.when(first == last, head).otherwise(F.concat(head, middle, F.substring(F.coalesce(F.get(cut, last), F.lit("")), F.lit(1), b % PIECE)))
 
-        def step(pos: Column, s: Column) -> Column:
-            fresh = s["start"] >= pos
-            out = F.when(fresh, F.array(between(pos, s["start"]), label(s["kind"]))).otherwise(F.array().cast("array<string>"))
-            return F.struct(F.greatest(pos, s["end"]).alias("s"), out.alias("out"))
-
         end = F.struct(F.char_length(text).alias("start"), F.lit(0).alias("ord"), F.char_length(text).alias("end"), F.lit("").alias("kind"))
-        return F.array_join(fold(F.concat(spans, F.array(end)), F.lit(0), "string", step), "")
+        return F.array_join(fold(F.concat(spans, F.array(end)), F.lit(0), "string", lambda pos, s: F.greatest(pos, s["end"]), lambda pos, s: s["start"] >= pos, lambda pos, s: F.concat(between(pos, s["start"]), label(s["kind"]))), "")
 
     return let(F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{PIECE}}}+"), F.lit(0)), whole)
 
