@@ -14,11 +14,14 @@ SPACE = " \t\n\x0b\x0c\r"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder that the session names; set a local one only where none is named, as in tests."""
+    """Use the shared folder that the session names. Where none is named, a local run (as in tests) gets a folder of its own;
+    a cluster is refused, since its executors would each write to their own disk."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("name a shared folder in spark.checkpoint.dir")
     if not named:
         named = tempfile.mkdtemp(prefix="checkpoints-")
         atexit.register(shutil.rmtree, named, True)

@@ -19,11 +19,12 @@ def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def common_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int, min_docs: int) -> DataFrame:
+def candidate_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int, min_docs: int) -> DataFrame:
     """(__h1, __h2, __last): hashes of the keys that at least min_docs rows hold, and the largest id among them.
 
     Keys are made distinct inside each row before the explode, so the count is a plain sum with a partial
-    aggregate on the map side: a line in every document costs one row a task.
+    aggregate on the map side: a line in every document costs one row a task. Rows are documents or more, so no key
+    that enough documents hold is missed.
     """
     keys = F.array_distinct(F.filter(F.transform(lines_of(F.col(text_col)), line_key), lambda k: F.char_length(k) >= min_chars))
     each = docs.select(F.col(id_col).alias("__id"), F.explode(keys).alias("__key")).select("__id", *hash128(F.col("__key")))
@@ -33,11 +34,11 @@ def common_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int, mi
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """docs with text rewritten, and the columns n_lines and n_dropped (replacing any of these names).
 
-    Null text is one empty line and becomes an empty text. Every row counts as one document, repeated rows
-    too; rows that share the largest id holding a key all keep its lines, and so does a null id where no other
+    Null text is one empty line and becomes an empty text. Rows of one id are one document, those of a null id one too;
+    rows that share the largest id holding a key all keep its lines, and so does a null id where no other
     holds the key. An empty table gives an empty table.
     """
-    common = checkpoint(common_lines(docs, id_col, text_col, min_chars, min_docs))
+    common = checkpoint(candidate_lines(docs, id_col, text_col, min_chars, min_docs))
     row = [F.col(id_col).alias("__id"), F.xxhash64(F.col(text_col)).alias("__text")]
     lines = (
         docs.select(*row, F.posexplode(lines_of(F.col(text_col))).alias("__pos", "__line"))
@@ -45,14 +46,17 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .where(F.char_length("__key") >= min_chars)
         .select("__id", "__text", "__pos", *hash128(F.col("__key")))
     )
+    hits = checkpoint(lines.join(common, ["__h1", "__h2"]))
+    # Of the few keys left, documents are counted: first once a document, then by key.
+    sure = hits.select("__h1", "__h2", "__id").distinct().groupBy("__h1", "__h2").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= min_docs)
     drops = (
-        lines.join(common, ["__h1", "__h2"])
-        .where(~F.col("__id").eqNullSafe(F.col("__last")))
+        hits.where(~F.col("__id").eqNullSafe(F.col("__last")))
+        .join(sure.select("__h1", "__h2"), ["__h1", "__h2"], "left_semi")
         .groupBy(F.col("__id").alias("__drop_id"), F.col("__text").alias("__drop_text"))
         .agg(F.collect_set("__pos").alias("__drops"))
     )
     here = docs.withColumn("__text", F.xxhash64(F.col(text_col)))
-    joined = here.join(drops.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("__drop_id")) & (F.col("__text") == F.col("__drop_text")), "left")
+    joined = here.join(drops, F.col(id_col).eqNullSafe(F.col("__drop_id")) & (F.col("__text") == F.col("__drop_text")), "left")
     joined = joined.withColumn("__lines", lines_of(F.col(text_col)))  # after the exchange, which moves each text once
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__drops")), lambda i: F.col("__lines")[i])
     return joined.withColumns(

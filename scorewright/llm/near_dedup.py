@@ -17,8 +17,8 @@ SLOTS, ROWS, BANDS = 128, 5, 25
 #: A pair of this similarity meets in some band with probability 1 - (1 - 0.8**5)**25 = 0.99995.
 NUM, DEN = 4, 5
 #: The last round's sketches: four bits of each of so many slots. At the similarity a slot of two sketches agrees with
-#: probability 0.8 + 0.2 / 16; all but one in a hundred thousand such pairs differ in at most MOST_DIFFERENT slots.
-SKETCH, MOST_DIFFERENT = 1024, 245
+#: probability 0.8 + 0.2 / 16; such a pair differs in more than MOST_DIFFERENT slots with probability 1e-9, next to nothing beside the bands' 5e-5.
+SKETCH, MOST_DIFFERENT = 1024, 267
 #: Sets of at most so many ids (8 bytes each) are broadcast to choose which texts move; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 U = np.uint64
@@ -169,9 +169,10 @@ def overlap(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> Da
 
         def once(doc: int, words: pa.ListArray) -> np.ndarray:
             if doc not in recent:
-                if len(recent) >= 256:
+                new = numbered(shingles(words)[1])
+                if len(recent) >= 256 or sum(map(len, recent.values())) + len(new) > 4_000_000:
                     recent.clear()
-                recent[doc] = numbered(shingles(words)[1])
+                recent[doc] = new
             return recent[doc]
 
         for batch in batches:

@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 from .common import checkpoint, let, read_table
 
 WINDOW = 5
-#: Thousandths. Upper limits never fall below the first number, so a group whose values hardly differ keeps its clean tail.
-UPPER = {"symbols": 100, "dup_lines": 300, "repeats": 150, "word_chars": 12_000}
-#: The lower limit of the mean word length never rises above this.
-LOWER = {"word_chars": 3_000}
-FENCE = 3
-#: A source with fewer documents than this in a language takes the language's sketch.
-MIN_GROUP = 50
+#: A limit is FENCE interquartile ranges of the group's sketch beyond its quartile. A range counts as at least this wide, in
+#: thousandths, so that a group whose values hardly differ keeps its clean tail; there are no other cutoffs.
+WIDTH = {"symbols": 30, "dup_lines": 100, "repeats": 45, "word_chars": 100}
+#: Rules with a lower limit too.
+LOWER = ("word_chars",)
+FENCE = 4
+#: Every source's sketch holds the language's as well, with the weight of so many documents: a small source leans on its language, a large one hardly.
+PRIOR = 50
 #: Thresholds of at most so many groups (under 100 bytes each) are broadcast; more are joined by a salted key.
 BROADCAST_ROWS = 50_000
 SALTS = 32
@@ -106,30 +107,36 @@ def merge(sketch: DataFrame, *by: str) -> DataFrame:
     return sketch.groupBy(*by, "__rule", "__bucket").agg(F.sum("__count").alias("__count"))
 
 
-def quartiles(sketch: DataFrame, *by: str) -> DataFrame:
-    """(by, __rule, __n, __q1, __q3) of each sketch: the first bucket that a quarter, or three, of the count reach."""
-    over = Window.partitionBy(*by, "__rule")
-    at = sketch.withColumns({"__n": F.sum("__count").over(over), "__cum": F.sum("__count").over(over.orderBy("__bucket"))})
-    return at.groupBy(*by, "__rule").agg(
-        F.max("__n").alias("__n"),
-        F.min(F.when(4 * F.col("__cum") >= F.col("__n"), F.col("__bucket"))).alias("__q1"),
-        F.min(F.when(4 * F.col("__cum") >= 3 * F.col("__n"), F.col("__bucket"))).alias("__q3"),
-    )
+def leaning(sketch: DataFrame) -> DataFrame:
+    """(__lang, __source, __rule, __bucket, __weight): each source's sketch with PRIOR documents of its language's mixed in.
+
+    Weights are whole numbers: a source's counts by the language's total, the language's counts by PRIOR.
+    """
+    wide = merge(sketch, "__lang").select(F.col("__lang").alias("__l"), F.col("__rule").alias("__r"), "__bucket", F.col("__count").alias("__c"))
+    total = wide.groupBy("__l", "__r").agg(F.sum("__c").cast("decimal(19,0)").alias("__t"))
+    same = lambda x: sketch["__lang"].eqNullSafe(x["__l"]) & (sketch["__rule"] == x["__r"])
+    own = sketch.join(total, same(total)).select("__lang", "__source", "__rule", "__bucket", (F.col("__count") * F.col("__t")).cast("decimal(38,0)").alias("__weight"))
+    groups = sketch.select("__lang", "__source", "__rule").distinct()
+    lent = groups.join(wide, groups["__lang"].eqNullSafe(wide["__l"]) & (groups["__rule"] == wide["__r"])).select("__lang", "__source", "__rule", "__bucket", (F.col("__c") * PRIOR).cast("decimal(38,0)").alias("__weight"))
+    return own.union(lent).groupBy("__lang", "__source", "__rule", "__bucket").agg(F.sum("__weight").cast("decimal(38,0)").alias("__weight"))
+
+
+def quartiles(weighted: DataFrame) -> DataFrame:
+    """(__lang, __source, __rule, __q1, __q3) of each sketch: the first bucket that a quarter, or three, of the weight reach."""
+    over = Window.partitionBy("__lang", "__source", "__rule")
+    total = lambda w: F.sum("__weight").over(w).cast("decimal(38,0)")
+    at = weighted.withColumns({"__n": total(over), "__cum": total(over.orderBy("__bucket"))})
+    reach = lambda k: F.min(F.when((4 * F.col("__cum")).cast("decimal(38,0)") >= (k * F.col("__n")).cast("decimal(38,0)"), F.col("__bucket")))
+    return at.groupBy("__lang", "__source", "__rule").agg(reach(1).alias("__q1"), reach(3).alias("__q3"))
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
-    """One row for each language and source: __hi_<rule> and __lo_<rule>, Tukey fences of the sketch with floors."""
-    own = quartiles(sketch, "__lang", "__source")
-    wide = quartiles(merge(sketch, "__lang"), "__lang").select(F.col("__lang").alias("__l"), F.col("__rule").alias("__r"), F.col("__q1").alias("__w1"), F.col("__q3").alias("__w3"))
-    both = own.join(wide, own["__lang"].eqNullSafe(wide["__l"]) & (own["__rule"] == wide["__r"]))
-    few = F.col("__n") < MIN_GROUP
-    q1, q3 = F.when(few, F.col("__w1")).otherwise(F.col("__q1")), F.when(few, F.col("__w3")).otherwise(F.col("__q3"))
-    limit = both.select("__lang", "__source", "__rule", (q3 + FENCE * (q3 - q1)).alias("__hi"), (q1 - FENCE * (q3 - q1)).alias("__lo"))
+    """One row for each language and source: __hi_<rule> and __lo_<rule>, the fences of its sketch."""
+    width = F.create_map(*(F.lit(x) for kv in WIDTH.items() for x in kv))[F.col("__rule")].cast("long")
+    wide = F.greatest(F.col("__q3") - F.col("__q1"), width)
+    limit = quartiles(leaning(sketch)).select("__lang", "__source", "__rule", (F.col("__q3") + FENCE * wide).alias("__hi"), (F.col("__q1") - FENCE * wide).alias("__lo"))
     pick = lambda rule, col: F.max(F.when(F.col("__rule") == rule, F.col(col)))
-    return limit.groupBy("__lang", "__source").agg(
-        *(F.greatest(F.lit(floor).cast("long"), pick(k, "__hi")).alias(f"__hi_{k}") for k, floor in UPPER.items()),
-        *(F.least(F.lit(roof).cast("long"), pick(k, "__lo")).alias(f"__lo_{k}") for k, roof in LOWER.items()),
-    )
+    return limit.groupBy("__lang", "__source").agg(*(pick(k, "__hi").alias(f"__hi_{k}") for k in WIDTH), *(pick(k, "__lo").alias(f"__lo_{k}") for k in LOWER))
 
 
 def judge(measured: DataFrame, limits: DataFrame, lang_col: str, source_col: str, salt: Column) -> DataFrame:
@@ -146,16 +153,16 @@ def judge(measured: DataFrame, limits: DataFrame, lang_col: str, source_col: str
         joined = measured.withColumn("__own_salt", F.pmod(salt, F.lit(SALTS)).cast("int")).join(many, at & (F.col("__own_salt") == F.col("__salt")), "left").drop("__salt", "__own_salt")
     v = values()
     odd = F.lit(False)
-    for k in UPPER:
+    for k in WIDTH:
         odd = odd | (v[k] > F.col(f"__hi_{k}"))
     for k in LOWER:
         odd = odd | (v[k] < F.col(f"__lo_{k}"))
-    return joined.withColumn("__kept", ~F.col("__base_failed") & ~F.coalesce(odd, F.lit(False))).drop("__lang", "__source", *(f"__hi_{k}" for k in UPPER), *(f"__lo_{k}" for k in LOWER))
+    return joined.withColumn("__kept", ~F.col("__base_failed") & ~F.coalesce(odd, F.lit(False))).drop("__lang", "__source", *(f"__hi_{k}" for k in WIDTH), *(f"__lo_{k}" for k in LOWER))
 
 
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """The limits of every language and source of docs, as a written table."""
-    return checkpoint(thresholds(checkpoint(sketches(measures(docs, text_col), lang_col, source_col))))
+def fit(measured: DataFrame, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """The limits of every language and source of measured rows, as a written table."""
+    return checkpoint(thresholds(checkpoint(sketches(measured, lang_col, source_col))))
 
 
 def filter_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -164,14 +171,15 @@ def filter_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Null text has no words and fails. Null languages and sources are groups of their own. Repeated rows are judged
     alike, each counting in the sketch. An empty table gives an empty table.
     """
-    judged = judge(measures(docs, text_col), fit(docs, text_col, lang_col, source_col), lang_col, source_col, F.xxhash64(id_col))
+    measured = checkpoint(measures(docs, text_col))  # with the texts, which costs less than to measure them twice
+    judged = judge(measured, fit(measured, lang_col, source_col), lang_col, source_col, F.xxhash64(id_col))
     return judged.where("__kept").select(*docs.columns)
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     measured = checkpoint(measures(docs).drop("text"))
-    limits = checkpoint(thresholds(checkpoint(sketches(measured, "lang", "source"))))
+    limits = fit(measured)
     return judge(measured, limits, "lang", "source", F.xxhash64("doc_id")).select(
         "doc_id",
         *(F.col(f"__{k}").alias(k) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")),
@@ -198,17 +206,15 @@ b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_fail
 x AS (SELECT lang, source, unnest([{'r': 'symbols', 'v': v_symbols}, {'r': 'dup_lines', 'v': v_dup_lines},
              {'r': 'repeats', 'v': v_repeats}, {'r': 'word_chars', 'v': v_word_chars}]) AS e FROM b WHERE NOT base_failed),
 s AS (SELECT lang, source, e.r AS rule, (e.v >> greatest(length(bin(e.v)) - 8, 0)) << greatest(length(bin(e.v)) - 8, 0) AS bucket, count(*) AS c FROM x GROUP BY ALL),
-own_c AS (SELECT *, sum(c) OVER (PARTITION BY lang, source, rule) AS n, sum(c) OVER (PARTITION BY lang, source, rule ORDER BY bucket) AS cum FROM s),
-own AS (SELECT lang, source, rule, max(n) AS n, min(bucket) FILTER (4 * cum >= n) AS q1, min(bucket) FILTER (4 * cum >= 3 * n) AS q3 FROM own_c GROUP BY ALL),
-wide_c AS (SELECT *, sum(c) OVER (PARTITION BY lang, rule) AS n, sum(c) OVER (PARTITION BY lang, rule ORDER BY bucket) AS cum
-           FROM (SELECT lang, rule, bucket, sum(c) AS c FROM s GROUP BY ALL)),
-wide AS (SELECT lang, rule, min(bucket) FILTER (4 * cum >= n) AS w1, min(bucket) FILTER (4 * cum >= 3 * n) AS w3 FROM wide_c GROUP BY ALL),
-q AS (SELECT own.lang, own.source, own.rule, CASE WHEN n < 50 THEN w1 ELSE q1 END AS q1, CASE WHEN n < 50 THEN w3 ELSE q3 END AS q3
-      FROM own JOIN wide ON own.lang IS NOT DISTINCT FROM wide.lang AND own.rule = wide.rule),
-t AS (SELECT lang, source, greatest(100, max(q3 + 3 * (q3 - q1)) FILTER (rule = 'symbols')) AS hi_s,
-             greatest(300, max(q3 + 3 * (q3 - q1)) FILTER (rule = 'dup_lines')) AS hi_d, greatest(150, max(q3 + 3 * (q3 - q1)) FILTER (rule = 'repeats')) AS hi_r,
-             greatest(12000, max(q3 + 3 * (q3 - q1)) FILTER (rule = 'word_chars')) AS hi_w, least(3000, max(q1 - 3 * (q3 - q1)) FILTER (rule = 'word_chars')) AS lo_w
-      FROM q GROUP BY lang, source)
+wide AS (SELECT lang, rule, bucket, sum(c)::HUGEINT AS c FROM s GROUP BY ALL),
+total AS (SELECT lang, rule, sum(c)::HUGEINT AS n FROM wide GROUP BY ALL),
+lean AS (SELECT s.lang, source, s.rule, bucket, c * n AS w FROM s JOIN total ON s.lang IS NOT DISTINCT FROM total.lang AND s.rule = total.rule
+  UNION ALL SELECT g.lang, source, g.rule, bucket, 50 * c FROM (SELECT DISTINCT lang, source, rule FROM s) g JOIN wide ON g.lang IS NOT DISTINCT FROM wide.lang AND g.rule = wide.rule),
+own_c AS (SELECT *, sum(w) OVER (PARTITION BY lang, source, rule) AS n, sum(w) OVER (PARTITION BY lang, source, rule ORDER BY bucket) AS cum FROM (SELECT lang, source, rule, bucket, sum(w)::HUGEINT AS w FROM lean GROUP BY ALL)),
+q AS (SELECT lang, source, rule, min(bucket) FILTER (4 * cum >= n) AS q1, min(bucket) FILTER (4 * cum >= 3 * n) AS q3 FROM own_c GROUP BY ALL),
+f AS (SELECT *, greatest(q3 - q1, CASE rule WHEN 'symbols' THEN 30 WHEN 'dup_lines' THEN 100 WHEN 'repeats' THEN 45 ELSE 100 END) AS r FROM q),
+t AS (SELECT lang, source, max(q3 + 4 * r) FILTER (rule = 'symbols') AS hi_s, max(q3 + 4 * r) FILTER (rule = 'dup_lines') AS hi_d, max(q3 + 4 * r) FILTER (rule = 'repeats') AS hi_r,
+             max(q3 + 4 * r) FILTER (rule = 'word_chars') AS hi_w, max(q1 - 4 * r) FILTER (rule = 'word_chars') AS lo_w FROM f GROUP BY lang, source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND NOT coalesce(v_symbols > hi_s OR v_dup_lines > hi_d OR v_repeats > hi_r OR v_word_chars > hi_w OR v_word_chars < lo_w, FALSE) AS kept
 FROM b LEFT JOIN t ON b.lang IS NOT DISTINCT FROM t.lang AND b.source IS NOT DISTINCT FROM t.source

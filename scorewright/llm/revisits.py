@@ -9,17 +9,18 @@ from .common import checkpoint, read_table
 
 #: What a not-modified answer may update in the stored response; framing and content headers stay the response's own.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
-TRACKING = r"[?&](utm_[a-z]+|ref|fbclid|gclid)=[^&]*"
-#: Tracking parameters at the head of a query with another after them, which keeps the question mark.
-LEADING = r"\?(?:(?:utm_[a-z]+|ref|fbclid|gclid)=[^&]*&)+"
+#: Parameters that say where a visitor came from, never which page is meant.
+TRACKING = r"^(utm_[a-z]+|fbclid|gclid)(=|$)"
 
 
 def canonical(url: Column) -> Column:
-    """The URL without scheme, www, fragment, tracking parameters, trailing slash and .html, its host in lower case."""
-    bare = F.regexp_replace(F.regexp_replace(url, "#.*$", ""), "^[a-zA-Z]+://", "")
-    host = F.regexp_replace(F.lower(F.regexp_extract(bare, "^[^/?]*", 0)), r"^www\.|:(80|443)$", "")
-    rest = F.regexp_replace(F.regexp_replace(F.regexp_replace(bare, "^[^/?]*", ""), LEADING, "?"), TRACKING, "")
-    return F.concat(host, F.regexp_replace(rest, r"(/|/index\.html|\.html)$", ""))
+    """The URL without scheme, www, default port, fragment, tracking and empty parameters, trailing slash and .html, its host in
+    lower case and its parameters in order."""
+    bare = F.regexp_replace(F.regexp_replace(url, "#(?s:.*)$", ""), "^[a-zA-Z]+://", "")
+    host = F.regexp_replace(F.lower(F.regexp_extract(bare, r"^[^/?]*+", 0)), r"^www\.|:(80|443)$", "")
+    path = F.regexp_replace(F.regexp_extract(bare, r"^[^/?]*+([^?]*+)", 1), r"(/|/index\.html|\.html)$", "")
+    own = F.filter(F.split(F.regexp_extract(bare, r"(?s)^[^?]*+\?(.*)$", 1), "&"), lambda p: (p != "") & ~p.rlike(TRACKING))
+    return F.concat(host, path, F.when(F.size(own) > 0, F.concat(F.lit("?"), F.array_join(F.array_sort(own), "&"))).otherwise(F.lit("")))
 
 
 def earlier_response(keys: DataFrame) -> DataFrame:
@@ -50,7 +51,9 @@ def resolve(records: DataFrame) -> DataFrame:
     of the revisit differs from the response's; the ETag, compared weakly, decides where there is one, else
     Last-Modified), 'unverified' (the revisit has neither) or 'no-response'. headers are the response's with the
     permitted ones of the revisit on top where resolved, the revisit's own otherwise. A null url or ts has no
-    response; of responses at one time the largest id counts; only an earlier time counts. Null headers are empty.
+    response; of responses at one time the largest id counts; only an earlier time counts. Null headers are empty. Of
+    responses with one record id, the one whose sorted headers come last stands for all; repeated revisits are resolved
+    each on its own.
     """
     at = records.select("record_id", canonical(F.col("url")).alias("url"), F.col("ts").cast("long").alias("ts"), "kind", F.coalesce("headers", F.create_map().cast("map<string,string>")).alias("headers"))
     at = checkpoint(at)
@@ -59,7 +62,7 @@ def resolve(records: DataFrame) -> DataFrame:
     keys = timed.groupBy("url", "ts").agg(F.max(F.when(F.col("kind") == "response", F.col("record_id"))).alias("response_id"))
     ref = checkpoint(earlier_response(keys))
     found = revisits.alias("r").join(ref.where("ref_id IS NOT NULL").alias("k"), ["url", "ts"], "left").select("record_id", "url", "headers", "ref_id")
-    stored = responses.groupBy(F.col("record_id").alias("ref_id")).agg(F.first("headers").alias("stored"))
+    stored = responses.groupBy(F.col("record_id").alias("ref_id")).agg(F.map_from_entries(F.max(F.array_sort(F.map_entries("headers")))).alias("stored"))
     found = checkpoint(found).join(checkpoint(stored), "ref_id", "left")
     new, old = F.col("headers"), F.col("stored")
     differs = F.when(new["etag"].isNotNull(), ~strong(new["etag"]).eqNullSafe(strong(old["etag"]))).when(new["last-modified"].isNotNull(), ~new["last-modified"].eqNullSafe(old["last-modified"]))
@@ -97,10 +100,13 @@ def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_OP7 = rf"""
-WITH bare AS (SELECT *, regexp_replace(regexp_replace(url, '#.*$', ''), '^[a-zA-Z]+://', '') AS b FROM pages),
+WITH bare AS (SELECT page_id, html, regexp_extract(split_part(url, '#', 1), '^([a-zA-Z]+://)?(.*)$', 2, 's') AS b FROM pages WHERE url IS NOT NULL
+    UNION ALL SELECT page_id, html, NULL FROM pages WHERE url IS NULL),
+parts AS (SELECT page_id, html, split_part(split_part(b, '?', 1), '/', 1) AS host, split_part(b, '?', 1)[length(split_part(split_part(b, '?', 1), '/', 1)) + 1:] AS path,
+    list_filter(string_split(CASE WHEN contains(b, '?') THEN b[position('?' IN b) + 1:] ELSE '' END, '&'), lambda p: p <> '' AND NOT (split_part(p, '=', 1) IN ('fbclid', 'gclid') OR regexp_full_match(split_part(p, '=', 1), 'utm_[a-z]+'))) AS params FROM bare),
 named AS (SELECT page_id, md5(coalesce(html, '')) AS digest,
-    regexp_replace(lower(regexp_extract(b, '^[^/?]*')), '^www\.|:(80|443)$', '', 'g') ||
-    regexp_replace(regexp_replace(regexp_replace(b, '^[^/?]*', ''), '{TRACKING}', '', 'g'), '(/|/index\.html|\.html)$', '') AS url FROM bare),
+    regexp_replace(lower(host), '^www\.|:(80|443)$', '', 'g') || CASE WHEN ends_with(path, '/index.html') THEN path[:-12] WHEN ends_with(path, '.html') THEN path[:-6] WHEN ends_with(path, '/') THEN path[:-2] ELSE path END ||
+    CASE WHEN len(params) > 0 THEN '?' || array_to_string(list_sort(params), '&') ELSE '' END AS url FROM parts),
 each AS (SELECT page_id, url, digest, unnest([0, 1, 2]) AS k FROM named),
 c AS (SELECT url, {", ".join(f"{v} AS {k}" for k, v in CAPTURE.items())} FROM each),
 full_ AS (SELECT * FROM c WHERE kind = 'response' QUALIFY row_number() OVER (PARTITION BY url, ts ORDER BY record_id DESC) = 1),

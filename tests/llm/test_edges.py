@@ -54,6 +54,16 @@ def test_quality_rules(docs, empty):
         assert (m[i]["__n_words"], m[i]["__n_repeat_words"], m[i]["__n_dup_lines"], m[i]["__word_chars"]) == (len(w), len(twice), len(lines) - len(set(lines)), sum(map(len, w)))
 
 
+def test_limits_follow_the_source(spark):
+    """One text in two sources: too long words among prose, ordinary ones among chemists. Without the sketches both verdicts are one."""
+    prose, names = "the cat sat on the mat and ate its own small dinner at six", "methylpropane dimethylbutane chlorobenzene isopropylalcohol tetrahydrofuran acetylsalicylate benzaldehyde nitrobenzene cyclohexane phenolphthalein"
+    data = [(i, f"{prose} {i}", "en", "news") for i in range(80)] + [(100 + i, f"{names} {i}", "en", "lab") for i in range(80)]
+    data += [(300, names + " ether", "en", "news"), (301, names + " ether", "en", "lab"), (302, names + " ether", "en", "new"), (303, prose, "en", "lab")]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string, source string")
+    kept = {r.doc_id for r in quality_rules.filter_quality(df).collect()}
+    assert 301 in kept and 300 not in kept and 303 not in kept and set(range(80)) <= kept and set(range(100, 180)) <= kept
+
+
 def test_quality_thresholds_without_a_broadcast(docs, monkeypatch):
     want = sorted(str(r.doc_id) for r in quality_rules.filter_quality(docs).collect())
     monkeypatch.setattr(quality_rules, "BROADCAST_ROWS", -1)
@@ -68,6 +78,11 @@ def test_line_dedup(docs, empty):
     assert (got[13].n_lines, got[13].n_dropped, got[0].n_lines) == (2, 2, 1)
 
 
+def test_lines_are_counted_by_document(spark):
+    data = [(1, f"{LINE}\n{k}", "en", "s", 1, 1, "", "", "", 1, "") for k in range(4)] + [(2, LINE, "en", "s", 1, 1, "", "", "", 1, "")]
+    assert {r.n_dropped for r in line_dedup.dedup_lines(spark.createDataFrame(data, DOCS)).collect()} == {0}
+
+
 def jaccard(a, b):
     def bag(t):
         w = words(t)
@@ -325,9 +340,22 @@ def test_revisits(spark):
 
 
 def test_canonical_url_keeps_the_query(spark):
-    urls = ["h/p?page=2", "h/p?utm_source=a&page=2", "h/p?utm_source=a&ref=b&page=2", "h/p?page=2&gclid=c", "h/p?utm_source=a&page=2&ref=b"]
-    df = spark.createDataFrame([(u,) for u in [*urls, "h/p?utm_source=a&ref=b"]], "url string")
-    assert [r.u for r in df.select(revisits.canonical(F.col("url")).alias("u")).collect()] == ["h/p?page=2"] * 5 + ["h/p"]
+    want = {
+        "h/p?page=2": ["h/p?page=2", "HTTP://www.H:80/p/?utm_source=a&page=2#x", "h/p?gclid=1&page=2&", "h/p.html?page=2&fbclid=c&utm_medium="],
+        "h/p?a=1&ref=dev": ["h/p?ref=dev&a=1", "https://h/p?a=1&ref=dev&utm_term=x"],
+        "h/p": ["h/p", "h/p?", "h/p/index.html?utm_source=a", "h/p?&&#?a=1"],
+        "h/p?q=http://h/": ["h/p?q=http://h/"],
+        "h": ["h", "http://h/", "www.h:443"],
+    }
+    pairs = [(u, k) for k, us in want.items() for u in us]
+    df = spark.createDataFrame(pairs, "url string, want string")
+    assert [(r.url, r.u) for r in df.select("url", revisits.canonical(F.col("url")).alias("u")).collect()] == pairs
+
+
+def test_repeated_record_ids(spark):
+    data = [(1, "h/a", 10, "response", {"etag": '"a"'}), (1, "h/a", 10, "response", {"etag": '"b"'}), (2, "h/a", 20, "revisit", {"etag": '"b"'}), (2, "h/a", 20, "revisit", {"etag": '"b"'})]
+    df = spark.createDataFrame(data, "record_id long, url string, ts long, kind string, headers map<string,string>")
+    assert [(r.record_id, r.outcome) for r in revisits.resolve(df).collect()] == [(2, "resolved")] * 2
 
 
 def test_cotraining(spark, docs, empty):
