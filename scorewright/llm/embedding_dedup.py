@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +20,9 @@ MISS = 1e-6
 #: Standard deviations of the unbiased estimate that its confidence bound is wide.
 SIGMAS = 6.0
 #: Vectors of a bucket that meet at once. A larger bucket is cut in blocks by a hash, and its pairs of blocks are dealt out.
-BLOCK = 512
+BLOCK = 1024
 SEED = 20240501
+LEVELS = 127
 
 
 def shape(n: int, cosine: float) -> tuple[int, int]:
@@ -29,8 +31,9 @@ def shape(n: int, cosine: float) -> tuple[int, int]:
     return bits, math.ceil(math.log(MISS) / math.log1p(-((1 - math.acos(cosine) / math.pi) ** bits)))
 
 
+@lru_cache(maxsize=8)
 def rotations(dim: int, n_bits: int) -> np.ndarray:
-    """dim x n_bits: columns of as many random rotations as n_bits takes."""
+    """dim x n_bits: columns of as many random rotations as n_bits takes. Made once in a process."""
     rng, out = np.random.default_rng(SEED + dim), []
     while sum(q.shape[1] for q in out) < n_bits:
         q, r = np.linalg.qr(rng.standard_normal((dim, dim)))
@@ -43,11 +46,23 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
+def blobs(rows: np.ndarray) -> pa.Array:
+    """Rows of bytes as a binary column."""
+    data = np.ascontiguousarray(rows).view(np.uint8).reshape(len(rows), -1)
+    offsets = np.arange(len(rows) + 1, dtype=np.int32) * data.shape[1]
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def rows_of(column: pa.Array, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
+
+
 def codes(reps: DataFrame, dim: int, bits: int, bands: int) -> DataFrame:
-    """A written table (id, label, vector, times, dim, code, factor, band): the code is the signs of the rotated unit vector.
+    """A written table (id, label, vector, times, code, factor, small, scale, bands) of the unit vectors o of one length.
 
-    factor is the inner product of the unit vector with the code of its first rotation, scaled to length one.
-    Vectors of another length than dim are not in it.
+    code holds the signs c of o's coordinates under the rotations T. x = T c points nearly along o; factor is <x, o>, the correction
+    that makes <x, q> / factor an unbiased estimate of <o, q>, and spread is what is left of x across o, divided by
+    factor. small and scale are o in whole numbers of LEVELS steps, its part as a query. bands are keys of bits of the code each.
     """
     n_bits = max(bits * bands, dim)
 
@@ -58,75 +73,120 @@ def codes(reps: DataFrame, dim: int, bits: int, bands: int) -> DataFrame:
             v = v / np.linalg.norm(v, axis=1, keepdims=True)
             turned = v @ turn
             sign = turned >= 0
-            factor = np.abs(turned[:, :dim]).sum(axis=1) / math.sqrt(dim)
-            packed = np.packbits(sign[:, : bits * bands].reshape(len(v), bands, bits), axis=2, bitorder="little")
-            wide = np.zeros((len(v), bands, 8), np.uint8)
-            wide[:, :, : packed.shape[2]] = packed
-            keys = wide.view("<i8").reshape(len(v), bands)
+            factor = np.abs(turned).sum(axis=1)
+            x = np.where(sign, 1.0, -1.0) @ turn.T
+            spread = np.sqrt(np.maximum((x * x).sum(axis=1) - factor * factor, 0)) / factor
+            scale = np.maximum(np.abs(v).max(axis=1), 1e-300) / LEVELS
+            small = np.rint(v / scale[:, None]).astype(np.int8)
+            keys = sign[:, : bits * bands].reshape(len(v), bands, bits) @ (1 << np.arange(bits))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1, dtype=np.int32) * bands), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(factor), lists], names=[*batch.schema.names, "factor", "bands"])
+            more = [blobs(np.packbits(sign, axis=1)), pa.array(factor), pa.array(spread), blobs(small), pa.array(scale), lists]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "code", "factor", "spread", "small", "scale", "bands"])
 
-    return checkpoint(reps.mapInArrow(run, "id long, label long, vector array<float>, times long, factor double, bands array<long>"))
+    return checkpoint(reps.mapInArrow(run, "id long, label long, vector array<double>, times long, code binary, factor double, spread double, small binary, scale double, bands array<long>"))
 
 
-def linked(vectors: np.ndarray, bands: np.ndarray, factor: np.ndarray, left: np.ndarray, own_band: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """(i, j), i < j, of the linked pairs among vectors; between left and the others where left marks a part of them.
+def undecided(signs: np.ndarray, factor: np.ndarray, spread: np.ndarray, queries: np.ndarray, off: np.ndarray, cosine: float) -> np.ndarray:
+    """Which pairs (o, q) may reach cosine by o's code: signs are o's, queries the rotated whole-number vectors, off how far
+    these are from the unit vectors.
 
-    <o, q> is estimated without bias by <x, q> / factor, x the code of o. Its confidence bound and the largest
-    product that the code and its factor allow at all decide which pairs are computed exactly, in double precision.
+    The estimate is <x, q> / factor. Its error is spread times a coordinate of q in a random direction across o, within SIGMAS of which
+    the bound lies; no error exceeds spread times the length of q across o.
     """
-    n, dim = vectors.shape
-    norm = np.sqrt((vectors * vectors).sum(axis=1))
-    turned = (vectors / norm[:, None]) @ rotations(dim, dim)
-    code = np.where(turned >= 0, 1.0, -1.0) / math.sqrt(dim)
-    s = np.clip(turned @ code.T, -1, 1)
-    most = s * factor + np.sqrt(1 - s * s) * np.sqrt(np.maximum(1 - factor * factor, 0))
-    wide = SIGMAS * np.sqrt(np.maximum(1 - factor * factor, 0)) / (factor * math.sqrt(max(dim - 1, 1)))
-    maybe = (np.minimum(s / factor + wide, most) >= cosine - 1e-9) & np.triu(np.ones((n, n), bool), 1)
-    if left.any() and not left.all():
-        maybe &= left[:, None] != left[None, :]
-    i, j = np.nonzero(maybe)
-    exact = np.einsum("ij,ij->i", vectors[i], vectors[j]) / (norm[i] * norm[j]) >= cosine
-    return i[exact], j[exact]
+    dim = max(queries.shape[1], 2)
+    s = signs @ queries.T / factor[:, None]
+    side = np.sqrt(np.maximum(1 - np.minimum(s, 1) ** 2, 0)) + off[None, :]
+    wide = spread[:, None] * np.minimum(SIGMAS / math.sqrt(dim - 1), 1.0) * np.maximum(side, math.sqrt(1 - cosine * cosine))
+    return s + wide + (1 + spread[:, None]) * off[None, :] >= cosine - 1e-9
 
 
-def meet(rows: Iterator[pa.RecordBatch], dim: int, cosine: float) -> Iterator[pa.RecordBatch]:
-    """rows sorted by bucket and pair of blocks -> (id, links, comp) of each vector with a link there.
+def new_here(keys: np.ndarray, left: np.ndarray, own_band: int) -> np.ndarray:
+    """Pairs i < j that share no band before own_band; between left and the others where left marks a part."""
+    n = len(keys)
+    pairs = np.triu(np.ones((n, n), bool), 1)
+    if left.any() and not left.all():
+        pairs &= left[:, None] != left[None, :]
+    for b in range(own_band):
+        pairs &= keys[:, b][:, None] != keys[:, b][None, :]
+    return pairs
 
-    links counts a pair in the first band that the two share; comp is the smallest id that links in this group reach.
-    """
 
-    def groups() -> Iterator[pa.Table]:
-        rest: list[pa.RecordBatch] = []
-        for batch in rows:
-            key = np.stack([batch.column(k).to_numpy() for k in range(4)])
-            ends = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
-            if rest and batch.num_rows and any(rest[-1].column(k)[rest[-1].num_rows - 1] != batch.column(k)[0] for k in range(4)):
+def groups(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by their first four columns, by these."""
+    rest: list[pa.RecordBatch] = []
+    for batch in rows:
+        key = np.stack([batch.column(k).to_numpy() for k in range(4)])
+        ends = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        if rest and batch.num_rows and any(rest[-1].column(k)[rest[-1].num_rows - 1] != batch.column(k)[0] for k in range(4)):
+            yield pa.Table.from_batches(rest)
+            rest = []
+        for a, b in zip(ends[:-1], ends[1:], strict=True):
+            if rest and a:
                 yield pa.Table.from_batches(rest)
                 rest = []
-            for a, b in zip(ends[:-1], ends[1:], strict=True):
-                if rest and a:
-                    yield pa.Table.from_batches(rest)
-                    rest = []
-                if b > a:
-                    rest.append(batch.slice(a, b - a))
-        if rest:
-            yield pa.Table.from_batches(rest)
+            if b > a:
+                rest.append(batch.slice(a, b - a))
+    if rest:
+        yield pa.Table.from_batches(rest)
+
+
+def columns(t: pa.Table):
+    """A getter of a group's columns, its band, and which of its rows are in its first block."""
+    one = lambda c: t.column(c).combine_chunks()
+    band, first, second = (t.column(k)[0].as_py() for k in (1, 2, 3))
+    return one, band, one("block").to_numpy() == first if first != second else np.ones(t.num_rows, bool)
 
+
+def choose(rows: Iterator[pa.RecordBatch], dim: int, bits: int, bands: int, cosine: float) -> Iterator[pa.RecordBatch]:
+    """Rows of codes -> (bucket, band, first, second, block, id) of the vectors that some pair of their group needs exactly there."""
+    n_bits = max(bits * bands, dim)
+    turn = rotations(dim, n_bits).astype(np.float32)
+    held: list[pa.Table] = []
+    names = ["bucket", "band", "first", "second", "block", "id"]
+    for t in groups(rows):
+        if t.num_rows < 2:
+            continue
+        one, band, left = columns(t)
+        sign = np.unpackbits(rows_of(one("code"), np.uint8), axis=1, count=n_bits)
+        pairs = new_here(sign[:, : bits * bands].reshape(len(sign), bands, bits) @ (1 << np.arange(bits)), left, band)
+        if not pairs.any():
+            continue
+        scale = one("scale").to_numpy()
+        queries = rows_of(one("small"), np.int8) * scale[:, None]
+        off = scale * math.sqrt(dim) / 2
+        maybe = undecided((sign * np.float32(2) - np.float32(1)), one("factor").to_numpy(), one("spread").to_numpy(), queries.astype(np.float32) @ turn, off, cosine)
+        pairs &= maybe & maybe.T
+        hit = np.flatnonzero(pairs.any(axis=0) | pairs.any(axis=1))
+        if len(hit):
+            held.append(t.select(names).take(hit))
+        if len(held) >= 500:
+            yield from pa.concat_tables(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.concat_tables(held).combine_chunks().to_batches()
+
+
+def meet(rows: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.RecordBatch]:
+    """Rows of vectors by group -> (id, links, comp) of each vector with a link there, by cosines in double precision.
+
+    links counts a pair in the first band that the two share; comp is the smallest id that links in this group reach.
+    """
     ids, links, comps = [], [], []
-    for t in groups():
+
+    def flush() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, links, comps)], names=["id", "links", "comp"])
+
+    for t in groups(rows):
         if t.num_rows < 2:
             continue
-        band, first, second = (t.column(k)[0].as_py() for k in (1, 2, 3))
-        one = lambda c: t.column(c).combine_chunks()  # noqa: E731, B023
-        own, times = one("id").to_numpy(), one("times").to_numpy()
-        bands = one("bands").flatten().to_numpy().reshape(len(own), -1)
-        left = one("block").to_numpy() == first if first != second else np.ones(len(own), bool)
-        i, j = linked(matrix(one("vector")), bands, one("factor").to_numpy(), left, band, cosine)
+        one, band, left = columns(t)
+        own, times, v = one("id").to_numpy(), one("times").to_numpy(), matrix(one("vector"))
+        norm = np.sqrt((v * v).sum(axis=1))
+        near = (v @ v.T / np.outer(norm, norm) >= cosine) & new_here(one("bands").flatten().to_numpy().reshape(len(own), -1), left, band)
+        i, j = np.nonzero(near)
         if not len(i):
             continue
-        new = (bands[i] == bands[j]).argmax(axis=1) == band
-        count = np.bincount(i[new], times[j[new]], len(own)) + np.bincount(j[new], times[i[new]], len(own))
+        count = np.bincount(i, times[j], len(own)) + np.bincount(j, times[i], len(own))
         comp = own.copy()
         while True:
             before = comp.copy()
@@ -139,10 +199,10 @@ def meet(rows: Iterator[pa.RecordBatch], dim: int, cosine: float) -> Iterator[pa
         links.append(count[hit].astype(np.int64))
         comps.append(comp[hit])
         if sum(map(len, ids)) > 50_000:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, links, comps)], names=["id", "links", "comp"])
+            yield flush()
             ids, links, comps = [], [], []
     if ids:
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, links, comps)], names=["id", "links", "comp"])
+        yield flush()
 
 
 def near_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE) -> DataFrame:
@@ -151,12 +211,13 @@ def near_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     Rows with a null id or label and vectors that are null, empty, zero or hold null or non-finite components link
     with nothing; a null id has a null component and is kept. Vectors of different lengths never link. Equal vectors of a label are one with a
     multiplicity. Repeated rows count as vectors of their own; those that share an id share its component and the
-    largest count among them.
+    largest count among them. Codes alone move to where vectors meet; whole vectors move only to groups in which some pair of theirs
+    needs the exact cosine.
     """
     v = F.col(vector_col)
     sound = F.coalesce(F.size(v) > 0, F.lit(False)) & F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False)) & F.coalesce(F.exists(v, lambda x: x != 0), F.lit(False))
     good = table.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).where(sound)
-    good = checkpoint(good.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("label"), F.transform(v, lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x).cast("float")).alias("vector")))
+    good = checkpoint(good.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("label"), F.transform(v, lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x).cast("double")).alias("vector")))
     keyed = good.withColumns({"h1": F.xxhash64("vector"), "h2": F.xxhash64(F.lit(7), "vector")})
     reps = checkpoint(keyed.groupBy("label", "h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("times")))
     member = checkpoint(keyed.select("id", "label", "h1", "h2").join(reps, ["label", "h1", "h2"]).select("id", "rep", "times"))
@@ -173,9 +234,12 @@ def near_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "em
         placed = placed.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
         placed = placed.withColumn("other", other).select("id", "bucket", "band", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "block")
-        whole = placed.join(coded, "id").select("bucket", "band", "first", "second", "block", "id", "times", "factor", "vector", "bands")
-        met = whole.repartition("bucket", "band", "first", "second").sortWithinPartitions("bucket", "band", "first", "second", "id")
-        links = checkpoint(met.mapInArrow(lambda rows, dim=dim: meet(rows, dim, cosine), "id long, links long, comp long"))
+        key = ["bucket", "band", "first", "second"]
+        dealt = lambda df: df.repartition(*key).sortWithinPartitions(*key, "id")
+        light = dealt(placed.join(coded.select("id", "code", "factor", "spread", "small", "scale"), "id").select(*key, "block", "id", "code", "factor", "spread", "small", "scale"))
+        some = checkpoint(light.mapInArrow(lambda rows, dim=dim, bits=bits, bands=bands: choose(rows, dim, bits, bands, cosine), "bucket long, band int, first int, second int, block int, id long"))
+        whole = dealt(some.join(coded.select("id", "times", "vector", "bands"), "id").select(*key, "block", "id", "times", "vector", "bands"))
+        links = checkpoint(whole.mapInArrow(lambda rows: meet(rows, cosine), "id long, links long, comp long"))
         found = links if found is None else checkpoint(found.union(links))
     if found is None:
         found = good.select("id", F.lit(0).cast("long").alias("links"), F.col("id").alias("comp")).limit(0)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 from .common import checkpoint, read_table
 
 CAPACITY = 2048
+#: A longer run of white space overflows the stack of the faster encoder's pattern; such texts take the file's own encoder.
+LONGEST_BLANK = 50_000
 #: Bins that one packer holds open; each has at most CAPACITY tokens' worth of places, so a packer's memory is bounded.
 OPEN_BINS = 8192
 #: Pieces that one packer takes. They arrive longest first, so OPEN_BINS is enough for them unless nearly all are longer
@@ -30,6 +33,13 @@ def encoder(path: str):
     Where the file's merges are in the order of their ids and it has the usual split and added tokens, the same
     vocabulary runs in tiktoken, which gives equal ids several times faster; any other file runs as it is.
     """
+    from tokenizers import Tokenizer
+
+    slow = Tokenizer.from_file(path)
+
+    def own(text: str) -> np.ndarray:
+        return np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32)
+
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     model, pre = spec["model"], spec.get("pre_tokenizer") or {}
@@ -45,11 +55,9 @@ def encoder(path: str):
         ranks = {bytes(chars[c] for c in t): i for t, i in vocab.items() if t not in special}
         split = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         fast = tiktoken.Encoding("own", pat_str=split, mergeable_ranks=ranks, special_tokens=special)
-        return lambda text: fast.encode_to_numpy(text, allowed_special="all")
-    from tokenizers import Tokenizer
-
-    slow = Tokenizer.from_file(path)
-    return lambda text: np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32)
+        blank = re.compile(rf"\s{{{LONGEST_BLANK}}}")
+        return lambda text: own(text) if len(text) > LONGEST_BLANK and blank.search(text) else fast.encode_to_numpy(text, allowed_special="all")
+    return own
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:

@@ -266,6 +266,17 @@ def test_packing(docs, empty):
     assert got.sequence_id.nunique() <= -(-got.length.sum() // 2048) + 1
 
 
+def test_very_long_texts_of_few_kinds(spark):
+    """Runs that a backtracking pattern cannot take; the ids are the named tokenizer's."""
+    from tokenizers import Tokenizer
+
+    real = Tokenizer.from_file(packing.tokenizer_path())
+    texts = [" " * 3_000_000, "\n" * 3_000_000, "x" + "\t " * 600_000 + "y", "a" * 1_000_000, "!" * 1_000_000 + " end"]
+    got = packing.pieces(spark.createDataFrame(rows(texts), DOCS), packing.tokenizer_path(), with_ids=True).toPandas().sort_values(["doc_id", "piece"])
+    for i, t in enumerate(texts):
+        assert [x for ids in got[got.doc_id == i].ids for x in ids] == real.encode(t, add_special_tokens=False).ids + [0]
+
+
 def test_bins_are_bounded():
     fit = packing.BestFit(10, 2)
     assert [fit.put(n) for n in (6, 7, 8, 2, 4)] == [(0, 0), (1, 0), (2, 0), (2, 8), (0, 6)]
