@@ -1,4 +1,7 @@
-"""python -m scorewright.cli power FILE | verify REPO | conformance SUITE FILE. 0 clean, 1 findings, 2 unreadable, 64 wrong use."""
+"""python -m scorewright.cli power FILE | verify REPO | conformance SUITE FILE, and what extensions add.
+
+0 clean, 1 findings, 2 unreadable, 3 sign-in needed, 4 out of credit, 64 wrong use.
+"""
 
 from __future__ import annotations
 
@@ -9,42 +12,66 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-OK, FOUND, UNREADABLE, USAGE = 0, 1, 2, 64
+from scorewright import plugins
+
+OK, FOUND, UNREADABLE, SIGN_IN, NO_CREDIT, USAGE = 0, 1, 2, 3, 4, 64
+
+
+class Command:
+    """A subcommand of another package: its class stands under the entry points of plugins.COMMANDS."""
+
+    name = ""
+    help = ""
+
+    def configure(self, parser: argparse.ArgumentParser) -> None:
+        pass
+
+    def run(self, spark: SparkSession, args: argparse.Namespace) -> int:
+        raise NotImplementedError
 
 
 def power(spark: SparkSession, a: argparse.Namespace) -> int:
     from scorewright.plans.reports import power_report, power_text
     from scorewright.sources.strict import RESULTS, read_sound
 
-    report = power_report(read_sound(spark, a.file, RESULTS), a.file, a.min_difference)
+    rows = read_sound(spark, a.file, RESULTS).persist()  # a report reads them some ten times
+    try:
+        report = power_report(rows, a.file, a.min_difference)
+    finally:
+        rows.unpersist()
     print(json.dumps(report) if a.json else power_text(report))
     return FOUND if report["findings"] else OK
 
 
 def verify(spark: SparkSession, a: argparse.Namespace) -> int:
-    from scorewright.functions.ids import success_claim
     from scorewright.operators.change_facts import change_facts
-    from scorewright.plans.reports import records, sarif
-    from scorewright.sources.git import GitChange, default_base, messages
+    from scorewright.plans.reports import sarif, verify_report, verify_text
+    from scorewright.sources.git import GitChange, default_base, messages, resolve
 
     spark.dataSource.register(GitChange)
-    base = a.since or default_base(a.repo)
-    facts = change_facts(spark.read.format("git_change").options(repo=a.repo, since=base).load().where("fault IS NULL")).persist()
-    claims = spark.createDataFrame(messages(a.repo, base), "commit string, message string").where(success_claim("message")).count()
-    rows = records(facts, "kind", "path", "rule")
-    print(sarif(facts, "scorewright") if a.sarif else json.dumps({"base": base, "facts": rows, "success_claims": claims}))
-    return FOUND if any(r["kind"] == "fact" for r in rows) and (a.strict or claims) else OK
+    base = resolve(a.repo, a.since) if a.since else default_base(a.repo)
+    files = spark.read.format("git_change").options(repo=a.repo, since=base).load().persist()
+    try:
+        report = verify_report(files, a.since, base, messages(a.repo, base))
+        print(sarif(change_facts(files.where("fault IS NULL")), "scorewright") if a.sarif else json.dumps(report) if a.json else verify_text(report))
+    finally:
+        files.unpersist()
+    return FOUND if any(f["kind"] == "fact" for f in report["facts"]) and (a.strict or report["success_claims"]) else OK
 
 
 def conformance(spark: SparkSession, a: argparse.Namespace) -> int:
     from scorewright.operators.evidence import conformance_outcomes, conformance_rates
-    from scorewright.plans.reports import records
-    from scorewright.sources.documents import conformance_results, fixtures
+    from scorewright.plans.reports import conformance_report, conformance_text
+    from scorewright.sources.dimensions import fixtures
+    from scorewright.sources.documents import conformance_results
 
-    pair = fixtures(spark, Path(a.suite).read_text()), conformance_results(spark, Path(a.file).read_text())
-    outcomes = records(conformance_outcomes(*pair), "weakness")
-    print(json.dumps({"achieved": all(o["passed"] for o in outcomes), "outcomes": outcomes, **records(conformance_rates(*pair))[0]}))
-    return OK if all(o["passed"] for o in outcomes) else FOUND
+    results = conformance_results(spark, Path(a.file).read_text())
+    first = results.select("level", "version", "tool", "tool_version").first()
+    head = first.asDict() if first else {}
+    suite = fixtures(spark, Path(a.suite).read_text(), head.get("level"))
+    report = conformance_report(conformance_outcomes(suite, results), conformance_rates(suite, results), head)
+    print(json.dumps(report) if a.json else conformance_text(report))
+    return OK if report["achieved"] else FOUND
 
 
 def main(args: list[str]) -> int:
@@ -59,9 +86,17 @@ def main(args: list[str]) -> int:
     two.add_argument("--since")
     two.add_argument("--strict", action="store_true")
     two.add_argument("--sarif", action="store_true")
+    two.add_argument("--json", action="store_true")
     three = sub.add_parser("conformance")
     three.add_argument("suite")
     three.add_argument("file")
+    three.add_argument("--json", action="store_true")
+    own = {"power": power, "verify": verify, "conformance": conformance}
+    for name, kind in plugins.load(plugins.COMMANDS, base=Command).items():
+        more = kind()
+        if (more.name or name) not in own:
+            more.configure(sub.add_parser(more.name or name, help=more.help))
+            own[more.name or name] = more.run
     try:
         a = p.parse_args(args)
     except (argparse.ArgumentError, SystemExit) as x:
@@ -69,8 +104,8 @@ def main(args: list[str]) -> int:
         return USAGE
     spark = SparkSession.builder.appName("scorewright").getOrCreate()
     try:
-        return {"power": power, "verify": verify, "conformance": conformance}[a.command](spark, a)
-    except (ValueError, OSError) as x:
+        return own[a.command](spark, a)
+    except (ValueError, KeyError, OSError) as x:
         print(x, file=sys.stderr)
         return UNREADABLE
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -12,13 +13,15 @@ from pyspark.sql import functions as F
 from scorewright.functions.candidates import candidates
 from scorewright.functions.ids import REFUSALS, canonical_json
 from scorewright.functions.programs import RELATIONS, collision, is_reference, is_state, same_program
+from scorewright.plugins import extended
 
 CANDIDATE = "task_id string, nth int, operator string, detail string, key string, text string, files map<string,string>, commands array<string>, parameters array<string>, ground string, carries boolean, withdrawn boolean"
 
 
-def proposals(tasks: DataFrame) -> DataFrame:
+def proposals(tasks: DataFrame, operators: dict[str, type] | None = None) -> DataFrame:
     """tasks: task_id, shape, reference -> every proposal in order, whether it carries the reference, and its ground as withdrawn
-    where the reference is a refusal."""
+    where the reference is a refusal. operators are those of extensions, plugins.load's, beside the library's own."""
+    more = extended(operators or {})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -27,7 +30,7 @@ def proposals(tasks: DataFrame) -> DataFrame:
                 ref = reference or ""
                 refusing = bool(ref) and any(m in ref.casefold().replace("’", "'") for m in REFUSALS)
                 stated = bool(ref) and is_state(ref)
-                for nth, c in enumerate(candidates(ref, shape)):
+                for nth, c in enumerate(sorted([*candidates(ref, shape), *more(ref, shape)], key=lambda c: c.operator)):
                     texts = [c.text] if c.text is not None else list(c.files.values())
                     form = {"kind": "workspace", "files": c.files, "commands": c.commands, "parameters": c.parameters}
                     key = f"source:{c.text.strip()}" if c.text is not None else f"workspace:{canonical_json(form).decode()}"
@@ -39,15 +42,15 @@ def proposals(tasks: DataFrame) -> DataFrame:
     return tasks.select("task_id", "shape", "reference").mapInPandas(run, CANDIDATE)
 
 
-def battery(tasks: DataFrame) -> DataFrame:
+def battery(tasks: DataFrame, operators: dict[str, type] | None = None) -> DataFrame:
     """The first proposal of each payload that does not carry the reference; one that does claims no payload."""
     first = Window.partitionBy("task_id", "key").orderBy("nth")
-    return proposals(tasks).where("NOT carries").withColumn("rank", F.row_number().over(first)).where("rank = 1").drop("rank", "carries")
+    return proposals(tasks, operators).where("NOT carries").withColumn("rank", F.row_number().over(first)).where("rank = 1").drop("rank", "carries")
 
 
-def battery_counts(tasks: DataFrame) -> DataFrame:
+def battery_counts(tasks: DataFrame, operators: dict[str, type] | None = None) -> DataFrame:
     """For each task: candidates, suppressed (carried the reference before a payload had its first candidate) and withdrawn."""
-    every = proposals(tasks)
+    every = proposals(tasks, operators)
     won = every.where("NOT carries").groupBy("task_id", "key").agg(F.min("nth").alias("won"))
     at = every.join(won, ["task_id", "key"], "left")
     return at.groupBy("task_id").agg(
@@ -57,14 +60,23 @@ def battery_counts(tasks: DataFrame) -> DataFrame:
     )
 
 
-def positive_controls(tasks: DataFrame) -> DataFrame:
+def rendered(relation: type, answer: str) -> str | None:
+    """What an extension's relation makes of an answer; one that fails makes nothing."""
+    try:
+        return relation().render(answer)
+    except Exception:  # noqa: BLE001
+        return None
+
+
+def positive_controls(tasks: DataFrame, relations: dict[str, type] | None = None) -> DataFrame:
     """The reference of each task that has one, then each distinct certified rewriting, in the relations' order."""
-    names = sorted(RELATIONS)
+    every = dict(RELATIONS) | {n: partial(rendered, r) for n, r in (relations or {}).items() if n not in RELATIONS}
+    names = sorted(every)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = [(t, 0, "oracle", r) for t, r in b.itertuples(index=False)]
-            rows += [(t, k + 1, n, x) for t, r in b.itertuples(index=False) for k, n in enumerate(names) if (x := RELATIONS[n](r)) is not None]
+            rows += [(t, k + 1, n, x) for t, r in b.itertuples(index=False) for k, n in enumerate(names) if (x := every[n](r)) is not None]
             yield pd.DataFrame(rows, columns=["task_id", "nth", "relation", "text"])
 
     made = tasks.where("reference <> ''").select("task_id", "reference").mapInPandas(run, "task_id string, nth int, relation string, text string")

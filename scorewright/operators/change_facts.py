@@ -74,49 +74,77 @@ def test_matches(features: DataFrame) -> DataFrame:
     )
 
 
+FACT = "array<struct<rule:string,subject:string,line:int,detail:string>>"
+
+
+def fact(rule: str, when: str, detail: str, subject: str = "''", line: str | None = None) -> str:
+    """SQL: an array of the one fact where the condition holds, else of none."""
+    line = f"new.first_lines['{rule}']" if line is None else line
+    return f"CASE WHEN {when} THEN array(named_struct('rule', '{rule}', 'subject', {subject}, 'line', CAST({line} AS INT), 'detail', CAST({detail} AS STRING))) END"
+
+
+def every(*arrays: str) -> str:
+    """SQL: the facts of all, one row each."""
+    return f"inline(flatten(array_compact(array({', '.join(f'CAST({a} AS {FACT})' for a in arrays)}))))"
+
+
+def more(side: str) -> str:
+    return f"new.{side} > old.{side}"
+
+
+def added(side: str) -> str:
+    return f"array_except(new.{side}, old.{side})"
+
+
+#: Rules about a file's two sides, each an array of facts.
+OF_FILES = (
+    fact("skips-added", f"is_test AND {more('skips')}", "concat(new.skips - old.skips, ' added')", line="new.first_lines['skips']"),
+    fact("conditional-skips-added", f"is_test AND {more('conditional_skips')}", "concat(new.conditional_skips - old.conditional_skips, ' added')", line="new.first_lines['skips']"),
+    fact("trivial-checks-added", "is_test AND size(new.trivial) > size(old.trivial)", "concat(size(new.trivial) - size(old.trivial), ' added')"),
+    fact("tests-without-checks", "is_test AND size(bare_tests) > 0", "concat(size(bare_tests), ' such as ', bare_tests[0])"),
+    fact("report-hook-added", rf"is_test AND regexp_like(path, r'(^|/)conftest\.py$') AND (size({added('hooks')}) > 0 OR (new.patches_reports AND NOT old.patches_reports))", f"array_join({added('hooks')}, ', ')"),
+    fact("timer-reassigned", f"python AND size({added('timers')}) > 0", f"array_join({added('timers')}, ', ')"),
+    fact("exit-added", f"python AND NOT is_test AND {more('exits')}", "concat(new.exits - old.exits, ' added')"),
+    fact("always-equal-added", f"python AND NOT is_test AND {more('always_equal')}", "concat(new.always_equal - old.always_equal, ' added')"),
+    fact("replaced-by-stub", "python AND NOT is_test AND old.present AND size(stubbed) > 0", "concat(size(stubbed), ' such as ', stubbed[0])"),
+    """CASE WHEN NOT python THEN transform(filter(array_union(map_keys(old.selection), map_keys(new.selection)), k -> NOT (old.selection[k] <=> new.selection[k])),
+        k -> named_struct('rule', 'selection-changed', 'subject', k, 'line', 1, 'detail', concat(coalesce(old.selection[k], '(unset)'), ' to ', coalesce(new.selection[k], '(unset)')))) END""",
+)
+_NAMED = {"subject": "new.name", "line": "new.line"}
+#: Rules about a test and its old self, which is null for a new one.
+OF_TESTS = (
+    fact("check-weakened", "old.strength LIKE 'S%' AND new.strength LIKE 'W%'", "concat(old.strength, ' to ', new.strength)", **_NAMED),
+    """CASE WHEN old IS NOT NULL THEN transform(filter(map_keys(new.tolerances), k -> new.tolerances[k] > old.tolerances[k]),
+        k -> named_struct('rule', 'tolerance-loosened', 'subject', new.name, 'line', new.line, 'detail', concat(k, ' from ', old.tolerances[k], ' to ', new.tolerances[k]))) END""",
+    fact("timeout-raised", "old.timeout > 0 AND new.timeout > old.timeout", "concat(old.timeout, ' to ', new.timeout)", **_NAMED),
+    fact("expected-value-changed", "old IS NOT NULL AND other IS NOT NULL", "concat(old.expected[other], ' to ', new.expected[other])", **_NAMED),
+    fact("failure-swallowed", "new.swallowed > coalesce(old.swallowed, 0)", "new.swallowed - coalesce(old.swallowed, 0)", **_NAMED),
+    fact("subject-mocked", "size(array_except(new.mocked, coalesce(old.mocked, array()))) > 0", "array_except(new.mocked, coalesce(old.mocked, array()))[0]", **_NAMED),
+)
+
+
 def change_facts(files: DataFrame) -> DataFrame:
-    """All facts of all changes."""
-    f = file_features(files).persist()  # the Python stage runs once for all rules
-    m = test_matches(f)
+    """All facts of all changes. Rules about a file or a test are arrays of facts in one projection each."""
+    f = file_features(files).persist()  # the Python stage runs once for all rules; the session frees it with its last reader
     weakness = "CASE rule " + " ".join(f"WHEN '{k}' THEN 'BGW-{w}'" for k, (w, _) in RULES.items()) + " END"
     kind = "CASE WHEN rule IN (" + ", ".join(f"'{k}'" for k, (_, x) in RULES.items() if x == "observation") + ") THEN 'observation' ELSE 'fact' END"
     is_test = "(path LIKE '%.py' AND (regexp_like(path, r'(^|/)(conftest|test_[^/]*|[^/]*_test)\\.py$') OR regexp_like(path, r'(^|/)tests?/')))"
     return files.sparkSession.sql(
         f"""WITH s AS (SELECT *, {is_test} AS is_test, path LIKE '%.py' AS python FROM {{sides}}),
-        t AS (SELECT * FROM s WHERE is_test), p AS (SELECT * FROM s WHERE python),
-        kept AS (SELECT DISTINCT change, x.name AS name FROM t LATERAL VIEW explode(new.tests) e AS x UNION SELECT change, x.bare FROM t LATERAL VIEW explode(new.tests) e AS x),
-        was AS (SELECT change, path, new.present AS here, x.name, x.bare FROM t LATERAL VIEW explode(old.tests) e AS x WHERE path NOT LIKE '%conftest.py'),
-        gone AS (SELECT w.* FROM was w LEFT ANTI JOIN kept k ON k.change = w.change AND k.name = w.name),
-        lost AS (SELECT g.* FROM gone g LEFT ANTI JOIN kept k ON k.change = g.change AND k.name = g.bare),
-        d AS (SELECT * FROM {{m}} WHERE old IS NULL OR old.tree <> new.tree),
-        o AS (SELECT * FROM d WHERE old IS NOT NULL),
+        t AS (SELECT * FROM s WHERE is_test),
+        kept AS (SELECT DISTINCT change, name FROM t LATERAL VIEW explode(new.tests) e AS x LATERAL VIEW explode(array(x.name, x.bare)) n AS name),
+        was AS (SELECT change, path, x.name, x.bare FROM t LATERAL VIEW explode(old.tests) e AS x WHERE path NOT LIKE '%conftest.py'),
+        lost AS (SELECT w.* FROM was w LEFT ANTI JOIN kept k ON k.change = w.change AND (k.name = w.name) LEFT ANTI JOIN kept b ON b.change = w.change AND b.name = w.bare),
+        d AS (SELECT *, array_min(filter(map_keys(new.expected), x -> old.expected[x] <> new.expected[x])) AS other FROM {{m}} WHERE old IS NULL OR old.tree <> new.tree),
         raw AS (
         SELECT change, path, 'tests-removed' AS rule, '' AS subject, CAST(NULL AS INT) AS line, concat(count(*), ' gone, such as ', array_join(slice(array_sort(collect_list(name)), 1, 3), ', ')) AS detail FROM lost GROUP BY change, path
-        UNION ALL SELECT change, path, 'skips-added', '', new.first_lines['skips'], concat(new.skips - old.skips, ' added') FROM t WHERE new.skips > old.skips
-        UNION ALL SELECT change, path, 'conditional-skips-added', '', new.first_lines['skips'], concat(new.conditional_skips - old.conditional_skips, ' added') FROM t WHERE new.conditional_skips > old.conditional_skips
-        UNION ALL SELECT change, path, 'trivial-checks-added', '', new.first_lines['trivial-checks-added'], concat(size(new.trivial) - size(old.trivial), ' added') FROM t WHERE size(new.trivial) > size(old.trivial)
-        UNION ALL SELECT change, path, 'tests-without-checks', '', first_line, concat(size(names), ' such as ', names[0]) FROM (SELECT change, path, new.first_lines['tests-without-checks'] AS first_line,
-            array_sort(transform(filter(new.tests, x -> x.checks = 0 AND NOT exists(old.tests, y -> y.bare = x.bare)), x -> x.name)) AS names FROM t) WHERE size(names) > 0
-        UNION ALL SELECT change, path, 'report-hook-added', '', new.first_lines['report-hook-added'], array_join(array_except(new.hooks, old.hooks), ', ') FROM t
-            WHERE regexp_like(path, r'(^|/)conftest\\.py$') AND (size(array_except(new.hooks, old.hooks)) > 0 OR (new.patches_reports AND NOT old.patches_reports))
-        UNION ALL SELECT change, path, 'check-weakened', new.name, new.line, concat(old.strength, ' to ', new.strength) FROM o WHERE old.strength LIKE 'S%' AND new.strength LIKE 'W%'
-        UNION ALL SELECT change, path, 'tolerance-loosened', new.name, new.line, concat(k, ' from ', old.tolerances[k], ' to ', v) FROM o LATERAL VIEW explode(new.tolerances) e AS k, v WHERE v > old.tolerances[k]
-        UNION ALL SELECT change, path, 'timeout-raised', new.name, new.line, concat(old.timeout, ' to ', new.timeout) FROM o WHERE old.timeout > 0 AND new.timeout > old.timeout
-        UNION ALL SELECT change, path, 'expected-value-changed', new.name, new.line, concat(old.expected[k], ' to ', new.expected[k]) FROM (SELECT *,
-            array_min(filter(map_keys(new.expected), x -> old.expected[x] <> new.expected[x])) AS k FROM o) WHERE k IS NOT NULL
-        UNION ALL SELECT change, path, 'failure-swallowed', new.name, new.line, CAST(new.swallowed - coalesce(old.swallowed, 0) AS STRING) FROM d WHERE new.swallowed > coalesce(old.swallowed, 0)
-        UNION ALL SELECT change, path, 'subject-mocked', new.name, new.line, names[0] FROM (SELECT *, array_except(new.mocked, coalesce(old.mocked, array())) AS names FROM d) WHERE size(names) > 0
-        UNION ALL SELECT change, path, 'checks-removed', '', min(new.line), concat(sum(old.checks - new.checks), ' removed') FROM o WHERE new.checks < old.checks GROUP BY change, path
-        UNION ALL SELECT change, path, 'timer-reassigned', '', new.first_lines['timer-reassigned'], array_join(array_except(new.timers, old.timers), ', ') FROM p WHERE size(array_except(new.timers, old.timers)) > 0
-        UNION ALL SELECT change, path, 'exit-added', '', new.first_lines['exit-added'], concat(new.exits - old.exits, ' added') FROM p WHERE NOT is_test AND new.exits > old.exits
-        UNION ALL SELECT change, path, 'always-equal-added', '', new.first_lines['always-equal-added'], concat(new.always_equal - old.always_equal, ' added') FROM p WHERE NOT is_test AND new.always_equal > old.always_equal
-        UNION ALL SELECT change, path, 'replaced-by-stub', '', new.first_lines['replaced-by-stub'], concat(size(names), ' such as ', names[0]) FROM (SELECT *,
-            array_intersect(array_except(new.stubs, old.stubs), old.functions) AS names FROM p) WHERE NOT is_test AND old.present AND size(names) > 0
-        UNION ALL SELECT change, path, 'selection-changed', k, 1, concat(coalesce(old.selection[k], '(unset)'), ' to ', coalesce(new.selection[k], '(unset)')) FROM s LATERAL VIEW explode(array_union(map_keys(old.selection), map_keys(new.selection))) e AS k
-            WHERE NOT python AND NOT (old.selection[k] <=> new.selection[k]))
-        SELECT change, rule, {weakness} AS weakness, {kind} AS kind, path, subject, CASE WHEN rule = 'tests-removed' AND line IS NULL THEN NULL ELSE coalesce(line, 1) END AS line, detail FROM raw""",
-        sides=_sides(f),
-        m=m,
+        UNION ALL SELECT change, path, 'checks-removed', '', min(new.line), concat(sum(old.checks - new.checks), ' removed') FROM d WHERE new.checks < old.checks GROUP BY change, path
+        UNION ALL SELECT change, path, {every(*OF_FILES)} FROM (SELECT *, array_intersect({added('stubs')}, old.functions) AS stubbed,
+            array_sort(transform(filter(new.tests, x -> x.checks = 0 AND NOT exists(old.tests, y -> y.bare = x.bare)), x -> x.name)) AS bare_tests FROM s)
+        UNION ALL SELECT change, path, {every(*OF_TESTS)} FROM d)
+        SELECT change, rule, {weakness} AS weakness, {kind} AS kind, path, subject, CASE WHEN rule = 'tests-removed' THEN NULL ELSE coalesce(line, 1) END AS line, detail FROM raw""",
+        sides=_sides(f).persist(),
+        m=test_matches(f).persist(),
     )
 
 

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 
 from scorewright.functions.intervals import wilson
 
-LEVELS, OUTCOMES = ("proven", "lead"), ("stands", "disputed", "withdrawn", "contradicted")
-FALSE = ("withdrawn", "contradicted")
+# The words of a finding's fate.
+LEVELS = ("proven", "proven-experimental")
+OUTCOMES = ("stands", "disputed", "withdrawn-after-dispute", "contradicted-by-fixture")
+FALSE = ("withdrawn-after-dispute", "contradicted-by-fixture")
 
 
 def precision(outcomes: DataFrame, level: str = "proven") -> DataFrame:

@@ -96,7 +96,7 @@ def comparisons(rows: DataFrame) -> DataFrame:
     spread = _spread(_labelled(both, rows), "first, second")
     lo, hi = normal("s.mean", "s.se")
     return spark.sql(
-        f"""SELECT a.model AS first, b.model AS second, coalesce(s.n, 0) AS tasks, s.mean AS difference, {lo} AS low, {hi} AS high, {detectable("s.se")} AS detectable
+        f"""SELECT a.model AS first, b.model AS second, coalesce(s.n, 0) AS tasks, s.mean AS difference, {lo} AS low, {hi} AS high, {detectable("s.se")} AS detectable, coalesce({lo} > 0 OR {hi} < 0, false) AS distinguishable
             FROM {{m}} a JOIN {{m}} b ON a.model < b.model LEFT JOIN {{s}} s ON s.first = a.model AND s.second = b.model""",
         m=rows.select("model").distinct(),
         s=spread,

@@ -83,7 +83,7 @@ m AS (SELECT first, second, avg(v) AS mu, count(*) AS n, CASE WHEN count(*) > 1
 x AS (SELECT first, second, sum(s * s - q) AS cross_ FROM (SELECT first, second, label, sum(v - mu) AS s, sum((v - mu) * (v - mu)) AS q FROM d JOIN m USING (first, second) GROUP BY ALL) GROUP BY ALL),
 s AS (SELECT *, sqrt(greatest(0, var / n + CASE WHEN clustered THEN cross_ / (n::DOUBLE * n) ELSE 0 END)) AS se FROM m JOIN x USING (first, second) CROSS JOIN f),
 k AS (SELECT DISTINCT model FROM r)
-SELECT a.model AS first, b.model AS second, coalesce(s.n, 0)::BIGINT AS tasks, round(mu, 6) AS difference, round(mu - {Z} * se, 6) AS low, round(mu + {Z} * se, 6) AS high, round({MDE} * se, 6) AS detectable
+SELECT a.model AS first, b.model AS second, coalesce(s.n, 0)::BIGINT AS tasks, round(mu, 6) AS difference, round(mu - {Z} * se, 6) AS low, round(mu + {Z} * se, 6) AS high, round({MDE} * se, 6) AS detectable, coalesce(mu - {Z} * se > 0 OR mu + {Z} * se < 0, FALSE) AS distinguishable
 FROM k a JOIN k b ON a.model < b.model LEFT JOIN s ON s.first = a.model AND s.second = b.model"""
 
 
@@ -143,7 +143,7 @@ def power_findings(spark, sf_dir):
 
 # --- error rates
 
-_FALSE = "outcome IN ('withdrawn', 'contradicted')"
+_FALSE = "outcome IN ('withdrawn-after-dispute', 'contradicted-by-fixture')"
 _PRECISION = f"""SELECT battery, probe, count(*) FILTER ({_FALSE})::BIGINT AS n_false, count(*) FILTER (outcome <> 'disputed')::BIGINT AS resolved, count(*) FILTER (outcome = 'disputed')::BIGINT AS disputed,
     count(*) FILTER (dismissed)::BIGINT AS dismissed, count(*)::BIGINT AS reported FROM v_outcomes WHERE level = 'proven' GROUP BY GROUPING SETS ((battery), (battery, probe))"""
 
@@ -399,7 +399,7 @@ def grader_disruptions(spark, sf_dir):
     "answer_leakage",
     r"""WITH tasks AS (SELECT doc_id AS task_id, text AS prompt, CASE WHEN doc_id % 3 = 0 THEN array_to_string(string_split(text, ' ')[3:7], ' ') ELSE b.t END AS reference FROM documents d
       LEFT JOIN (SELECT item_id, text AS t FROM benchmark) b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)),
-    n AS (SELECT task_id, trim(regexp_replace(lower(prompt), '\s+', ' ', 'g')) AS p, trim(regexp_replace(lower(coalesce(reference, '')), '\s+', ' ', 'g')) AS r FROM tasks)
+    n AS (SELECT task_id, trim(regexp_replace(replace(lower(prompt), 'ß', 'ss'), '\s+', ' ', 'g')) AS p, trim(regexp_replace(replace(lower(coalesce(reference, '')), 'ß', 'ss'), '\s+', ' ', 'g')) AS r FROM tasks)
     SELECT task_id, r AS reference FROM n WHERE contains(' ' || p || ' ', ' ' || r || ' ') AND p <> r AND length(regexp_replace(r, '[^\p{L}\p{N}]', '', 'g')) >= 4
       AND NOT EXISTS (SELECT 1 FROM n o WHERE o.task_id <> n.task_id AND o.r <> n.r AND contains(' ' || o.p || ' ', ' ' || n.r || ' '))""",
 )
@@ -469,3 +469,6 @@ def refusal_flags(spark, sf_dir):
     OR regexp_matches(message, '(?i)\\b(all (the )?tests (now )?pass(es|ing)?|tests (now )?pass(ing)?)\\b') AS claims FROM v_commits""")
 def success_claims(spark, sf_dir):
     return view(spark, sf_dir, "v_commits").selectExpr("id", f"{ids.success_claim('message')} AS claims")
+
+
+from . import code_queries  # noqa: E402, F401  registers its queries

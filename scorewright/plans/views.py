@@ -12,8 +12,8 @@ VIEWS = {
     "v_results_bin": """SELECT doc_id AS line, CAST(doc_id AS VARCHAR(20)) AS task_id, 'quality' AS model, CAST(quality AS DOUBLE) AS score, CAST(1.0 AS DOUBLE) AS max_score,
         CAST(NULL AS VARCHAR(20)) AS cluster, CAST(0 AS BIGINT) AS sample FROM labels
         UNION ALL SELECT doc_id, CAST(doc_id AS VARCHAR(20)), 'toxic', CAST(toxic AS DOUBLE), CAST(1.0 AS DOUBLE), CAST(NULL AS VARCHAR(20)), CAST(0 AS BIGINT) FROM labels""",
-    "v_outcomes": """SELECT CAST(event_id AS VARCHAR(20)) AS finding, event_type AS probe, user_id % 3 + 1 AS battery, CASE WHEN event_id % 11 = 0 THEN 'lead' ELSE 'proven' END AS level,
-        CASE WHEN value < 60 THEN 'stands' WHEN value < 90 THEN 'disputed' WHEN value < 150 THEN 'withdrawn' ELSE 'contradicted' END AS outcome, event_id % 13 = 0 AS dismissed FROM events""",
+    "v_outcomes": """SELECT CAST(event_id AS VARCHAR(20)) AS finding, event_type AS probe, user_id % 3 + 1 AS battery, CASE WHEN event_id % 11 = 0 THEN 'proven-experimental' ELSE 'proven' END AS level,
+        CASE WHEN value < 60 THEN 'stands' WHEN value < 90 THEN 'disputed' WHEN value < 150 THEN 'withdrawn-after-dispute' ELSE 'contradicted-by-fixture' END AS outcome, event_id % 13 = 0 AS dismissed FROM events""",
     "v_planted": """SELECT 'BGW-' || CAST(p_size AS VARCHAR(20)) AS weakness, CAST(p_partkey AS VARCHAR(20)) AS instance, p_partkey % 10 < 8 AS tried, p_partkey % 10 < 5 AS accepted, p_partkey % 10 < 2 AS proven FROM part""",
     "v_tasks": """SELECT CAST(c_custkey AS VARCHAR(20)) AS task_id, c_custkey AS ordinal, CASE c_custkey % 8 WHEN 0 THEN 'program' WHEN 1 THEN 'io' WHEN 2 THEN 'workspace' WHEN 3 THEN 'container'
         WHEN 4 THEN 'history' WHEN 5 THEN 'numeric' WHEN 6 THEN 'proof' ELSE 'query' END AS shape FROM customer""",

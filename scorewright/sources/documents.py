@@ -1,4 +1,4 @@
-"""Small reference documents: decisions, suites, conformance results, script metadata and reproduction reports."""
+"""Small documents: decisions and conformance results."""
 
 from __future__ import annotations
 
@@ -10,7 +10,8 @@ import tomllib
 from pyspark.sql import DataFrame, SparkSession
 
 from scorewright.functions.ids import PATTERNS
-from scorewright.operators.evidence import EXIT_CODES, MIN_RUNS
+from scorewright.sources.records import conformance
+from scorewright.sources.shapes import parse
 
 
 def toml(text: str) -> dict:
@@ -44,51 +45,10 @@ def format_decisions(rows: list) -> str:
     return "".join(out)
 
 
-def fixtures(spark: SparkSession, text: str) -> DataFrame:
-    """id, weakness, defect of a conformance suite."""
-    return spark.createDataFrame([(f["id"], f["weakness"], f["defect"]) for f in toml(text)["fixture"]], "id string, weakness string, defect boolean")
-
-
-def conformance_results(spark: SparkSession, text: str) -> DataFrame:
-    """fixture, status, flagged of a results document; flagged goes with a fixture that ran, and nothing is reported twice."""
-    try:
-        data = json.loads(text)
-        rows = [(r["fixture"], r["status"], r.get("flagged"), set(r) - {"fixture", "status", "flagged", "message"}) for r in data["results"]]
-    except (ValueError, KeyError, TypeError, RecursionError) as x:
-        raise ValueError("not a conformance results document") from x
-    for f, status, flagged, extra in rows:
-        if extra or status not in ("ran", "error", "unsupported") or (flagged is not None) != (status == "ran") or len(set(flagged or [])) != len(flagged or []):
-            raise ValueError(f"a malformed result for {f!r}")
-    if len({r[0] for r in rows}) < len(rows):
-        raise ValueError("a fixture is reported twice")
-    return spark.createDataFrame([r[:3] for r in rows], "fixture string, status string, flagged array<string>")
-
-
-def script_metadata(text: str) -> dict | None:
-    """The inline metadata block of a script, or None without one; two blocks are an error."""
-    found = re.findall(r"(?m)^# /// script$\n((?:^#(?: .*)?$\n)+?)^# ///$", text)
-    if len(found) > 1:
-        raise ValueError("two metadata blocks")
-    return toml("".join(line[2:] if line.startswith("# ") else line[1:] for line in found[0].splitlines(keepends=True))) if found else None
-
-
-def reproduction(stdout: str, exit_code: int) -> dict:
-    """The report on a script's last line that holds something; its outcome and exit code must be what its runs show."""
-    lines = [x for x in stdout.splitlines() if x.strip()]
-    try:
-        r = json.loads(lines[-1])
-        runs, base = ([x["passed"] for x in r[k]] for k in ("runs", "baseline_runs"))
-    except (IndexError, ValueError, KeyError, TypeError, RecursionError) as x:
-        raise ValueError("no report on the last line") from x
-    error = r.get("error", "")
-    if error or min(len(runs), len(base)) < MIN_RUNS:
-        outcome = "error"
-    elif not any(base):
-        outcome = "baseline-failed"
-    elif len(set(base)) > 1 or len(set(runs)) > 1:
-        outcome = "flaky"
-    else:
-        outcome = "reproduced" if runs[0] else "not-reproduced"
-    if r.get("outcome") != outcome or exit_code != EXIT_CODES[outcome] or (outcome == "error" and not error.strip()):
-        raise ValueError(f"the report and its exit code do not say what its runs show, {outcome}")
-    return r | {"outcome": outcome}
+def conformance_results(spark: SparkSession, text: str, base: str | None = None) -> DataFrame:
+    """fixture, status, flagged, level, version, tool, tool_version of a results document."""
+    data = parse(text)
+    conformance(base).check(data, "results")
+    head = (data["suite"]["level"], data["suite"]["version"], data["tool"]["name"], data["tool"]["version"])
+    rows = [(r["fixture"], r["status"], r.get("flagged"), *head) for r in data["results"]]
+    return spark.createDataFrame(rows, "fixture string, status string, flagged array<string>, level string, version int, tool string, tool_version string")

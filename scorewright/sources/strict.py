@@ -98,7 +98,7 @@ class Spec:
 
 TEXT, FLAG = Field("text"), Field("boolean")
 RESULTS = Spec({"task_id": TEXT, "model": TEXT, "score": Field("number", nullable=True), "max_score": Field("number", required=False, default=1.0, above=0), "cluster": Field("text", required=False), "sample": Field("integer", required=False, least=0)}, extras=True, empty=False)
-OUTCOMES = Spec({"finding": Field("text", pattern=PATTERNS["finding"]), "probe": Field("text", pattern=PATTERNS["probe"]), "battery": Field("integer", least=1), "level": Field("text", among=("proven", "proven-experimental")), "outcome": Field("text", among=("stands", "disputed", "withdrawn", "contradicted")), "dismissed": FLAG})
+OUTCOMES = Spec({"finding": Field("text", pattern=PATTERNS["finding"]), "probe": Field("text", pattern=PATTERNS["probe"]), "battery": Field("integer", least=1), "level": Field("text", among=("proven", "proven-experimental")), "outcome": Field("text", among=("stands", "disputed", "withdrawn-after-dispute", "contradicted-by-fixture")), "dismissed": FLAG})
 PLANTED = Spec({"weakness": Field("text", pattern=PATTERNS["weakness"]), "instance": TEXT, "tried": FLAG, "accepted": FLAG, "proven": FLAG, "method": Field("text", required=False)}, implies=(("tried", "accepted"), ("accepted", "proven")))
 TYPES = {"text": "string", "integer": "long", "number": "double", "boolean": "boolean"}
 
@@ -114,6 +114,11 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def read_lines(spark: SparkSession, path: str, spec: Spec) -> DataFrame:
     """(file, line, error, fields): blank lines are left out; error is null where the line is sound."""
+    return checked(numbered_lines(spark, path), spec)
+
+
+def checked(lines: DataFrame, spec: Spec) -> DataFrame:
+    """The same for lines (file, line, text) from anywhere."""
     names = list(spec.fields)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -126,7 +131,7 @@ def read_lines(spark: SparkSession, path: str, spec: Spec) -> DataFrame:
             yield out.astype({n: "Int64" for n, f in spec.fields.items() if f.kind == "integer"})
 
     kind = "file string, line long, error string, " + ", ".join(f"{n} {TYPES[f.kind]}" for n, f in spec.fields.items())
-    return numbered_lines(spark, path).where(F.length(F.trim(F.col("text"), F.lit(" \t\r\x0b\x0c"))) > 0).mapInPandas(run, kind)
+    return lines.select("file", "line", "text").where(F.length(F.trim(F.col("text"), F.lit(" \t\r\x0b\x0c"))) > 0).mapInPandas(run, kind)
 
 
 def read_sound(spark: SparkSession, path: str, spec: Spec) -> DataFrame:

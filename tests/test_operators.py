@@ -53,7 +53,7 @@ def test_pairs_without_shared_tasks_and_too_small(spark):
 
 
 def test_dispute_counts_neither_way(spark):
-    rows = [("f", "p", 1, "proven", o, False) for o in ("stands", "disputed", "withdrawn")]
+    rows = [("f", "p", 1, "proven", o, False) for o in ("stands", "disputed", "withdrawn-after-dispute")]
     df = spark.createDataFrame(rows, "finding string, probe string, battery int, level string, outcome string, dismissed boolean")
     r = error_rates.precision(df).where("probe IS NULL").first()
     assert (r.n_false, r.resolved, r.disputed, r.reported) == (1, 2, 1, 3)

@@ -5,10 +5,11 @@ import subprocess
 
 import pytest
 
-from scorewright import cli
-from scorewright.operators import change_facts
+from scorewright import cli, plugins
+from scorewright.functions import paths
+from scorewright.operators import change_facts, error_rates, scoring
 from scorewright.plans import reports
-from scorewright.sources import documents, git, strict
+from scorewright.sources import dimensions, documents, git, records, strict
 from scorewright.streaming.running import running_scores
 
 GOOD = {"task_id": "t", "model": "m", "score": 1}
@@ -64,13 +65,224 @@ def test_documents(spark):
     for bad in (text.replace("2024-02-01", "2023-02-01"), text + text.split("\n", 1)[1], text.replace("ignore", "hide"), "version = 2", "="):
         with pytest.raises(ValueError):
             documents.decisions(spark, bad)
-    run = {"passed": True}
-    report = {"runs": [run] * 3, "baseline_runs": [run] * 3, "outcome": "reproduced"}
-    assert documents.reproduction("noise\n" + json.dumps(report) + "\n\n", 0)["outcome"] == "reproduced"
-    for out, code in ((json.dumps(report), 1), (json.dumps(report | {"outcome": "flaky"}), 2), ("", 0), ("[]", 0)):
+
+
+BASE, DIGEST = "https://example.org/schema", "sha256:" + "0" * 64
+RUN = {"reward": 1.0, "passed": True}
+REPORT = {"$schema": f"{BASE}/reproduction-result/v1", "finding": "BF-0123456789", "submission": {"kind": "source", "sha256": DIGEST}, "runs": [RUN] * 3, "baseline_runs": [RUN] * 3, "outcome": "reproduced"}
+
+
+def test_reproductions():
+    assert records.read_reproduction("noise\n" + json.dumps(REPORT) + "\n\n", 0, BASE)["outcome"] == "reproduced"
+    no = {"reward": 0.0, "passed": False}
+    assert records.read_reproduction(json.dumps(REPORT | {"runs": [RUN, no, RUN], "outcome": "flaky"}), 2, BASE)["outcome"] == "flaky"
+    for out, code in ((json.dumps(REPORT), 1), (json.dumps(REPORT | {"outcome": "flaky"}), 2), (json.dumps(REPORT | {"extra": 1}), 0), (json.dumps(REPORT | {"finding": "x"}), 0), (json.dumps(REPORT | {"runs": [RUN] * 2, "outcome": "error"}), 4), (json.dumps(REPORT | {"runs": [RUN | {"x": 1}] * 3}), 0), ("", 0), ("[]", 0), ("NaN", 0)):
+        with pytest.raises(ValueError):
+            records.read_reproduction(out, code, BASE)
+
+
+SCRIPT = f"""# /// script
+# requires-python = ">=3.11"
+# [tool.own]
+# schema = "{BASE}/reproduction/v1"
+# finding = "BF-0123456789"
+# probe = "own/empty@1"
+# runs = 3
+# [tool.own.submission]
+# kind = "source"
+# sha256 = "{DIGEST}"
+# ///
+import subprocess
+print("{BASE}/reproduction-result/v1")
+"""
+
+
+@pytest.mark.parametrize(
+    "old,new,problem",
+    [("", "", None), ("# requires-python", "# other", "requires-python"), ("reproduction/v1", "reproduction/v2", "schema"), ("0123456789", "0123456780", "finding"), ("own/empty@1", "own/empty@2", "probe"), ("0" * 64, "1" * 64, "submission"), ("runs = 3", "runs = 2", "runs"), ("import subprocess", "import own, subprocess", "imports own"), ("import subprocess", "import subprocess, socket", "network"), ("import subprocess", "import json", "process"), ("result/v1", "result/v9", "result"), ("print(", "print((", "Python"), ("# ///\nimport", "import", "metadata")],
+)
+def test_scripts(old, new, problem):
+    found = records.script_problems(SCRIPT.replace(old, new) if old else SCRIPT, {"id": "BF-0123456789", "probe": "own/empty@1", "submission": {"kind": "source", "sha256": DIGEST}}, BASE, "own")
+    assert (found == []) if problem is None else any(problem in f for f in found), found
+
+
+def test_records_from_files(spark, tmp_path):
+    good = {"$schema": f"{BASE}/finding/v1", "id": "BF-0123456789", "weakness": "BGW-1", "probe": "a/b@1", "level": "observation", "task": {"id": "t", "shape": "io"}, "battery": 1}
+    (tmp_path / "f.jsonl").write_text(json.dumps(good) + "\n\n" + json.dumps(good | {"level": "lead"}) + "\n{\n")
+    rows = records.findings(records.documents(spark, str(tmp_path / "f.jsonl"), False), BASE).orderBy("line").collect()
+    assert [(r.line, r.error is None, r.shape) for r in rows] == [(1, True, "io"), (3, False, None), (4, False, None)]
+    (tmp_path / "one.json").write_text(json.dumps(good, indent=1))
+    assert [r.id for r in records.findings(records.documents(spark, str(tmp_path / "one.json"), True), BASE).collect()] == ["BF-0123456789"]
+
+
+LIST = """version = 1
+[families]
+a = "First"
+[[weakness]]
+id = "BGW-12"
+name = "Twelve"
+family = "a"
+mechanism = "It happens."
+shapes = ["program"]
+grounds = ["structural"]
+evidence = ["fact"]
+provides = []
+fix = "Mend it."
+sources = ["https://example.org/12"]
+[[weakness]]
+id = "BGW-9"
+name = "Nine"
+family = "a"
+mechanism = "It happens too."
+shapes = ["io", "program"]
+grounds = []
+evidence = ["statistic"]
+provides = ["fact"]
+fix = "Mend it too."
+sources = ["https://example.org/9"]
+status = "deprecated"
+[crosswalk.other]
+title = "Other"
+source = "https://example.org"
+map = { x = ["BGW-9"], y = [] }
+"""
+PROBES = """[[probe]]
+id = "own/empty@1"
+operator = "drop_side_effect"
+weakness = ["BGW-9", "BGW-12"]
+title = "Empty"
+shapes = ["program"]
+ground = "structural"
+expect = "reject"
+maturity = "experimental"
+battery = 1
+sources = ["https://example.org"]
+attribution = [{ weakness = "BGW-12", when_rejected = "own/twice@1", reason = "so" }]
+[probe.template]
+solution = "reference-emptied"
+files = { "{root}/x.py" = "x" }
+parameters = ["root"]
+[[probe]]
+id = "own/twice@1"
+operator = "twice"
+weakness = ["BGW-9"]
+title = "Twice"
+shapes = ["program"]
+expect = "consistent"
+maturity = "stable"
+battery = 1
+sources = ["https://example.org"]
+template = { solution = "reference" }
+"""
+
+
+def test_dimensions(spark):
+    assert [r.id for r in dimensions.weaknesses(spark, LIST).collect()] == ["BGW-9", "BGW-12"]
+    assert {(r.category, tuple(r.weakness)) for r in dimensions.crosswalks(spark, LIST).collect()} == {("x", ("BGW-9",)), ("y", ())}
+    known = {"BGW-9", "BGW-12"}
+    rows = dimensions.probes(spark, PROBES, known).collect()
+    assert [(r.probe, [tuple(x) for x in r.rules]) for r in rows] == [("own/empty@1", [("BGW-12", "own/twice@1")]), ("own/twice@1", [])]
+    page = dimensions.weakness_markdown(LIST)
+    assert page.index("### BGW-9") < page.index("### BGW-12") and "**Nine** (deprecated). It happens too." in page and "| y | none (not a grader weakness) |" in page
+    for old, new in (("BGW-12", "BGW-9"), ('family = "a"', 'family = "b"'), ("https://example.org/9", "http://example.org/9"), ('["statistic"]', "[]"), ('x = ["BGW-9"]', 'x = ["BGW-8"]'), ("version = 1", "version = 0"), ("[families]", "[families")):
+        with pytest.raises(ValueError):
+            dimensions.weaknesses(spark, LIST.replace(old, new))
+    for old, new in (('operator = "twice"', 'operator = "drop_side_effect"'), ('when_rejected = "own/twice@1"', 'when_rejected = "own/empty@1"'), ('weakness = "BGW-12"', 'weakness = "BGW-9"'), ('ground = "structural"\n', ""), ("{root}", "{other}"), ('expect = "consistent"', 'expect = "reject"'), ('"BGW-9", "BGW-12"', '"BGW-8", "BGW-12"')):
+        with pytest.raises(ValueError):
+            dimensions.probes(spark, PROBES.replace(old, new), known)
+    suite = '[suite]\nlevel = "BCL-1"\nversion = 1\n[[fixture]]\nid = "bcl-1/a-b/defect"\nweakness = "BGW-9"\nshape = "io"\ndefect = true\n'
+    assert dimensions.fixtures(spark, suite, "BCL-1").first().defect
+    with pytest.raises(KeyError):
+        dimensions.fixtures(spark, suite, "BCL-2")
+
+
+def test_conformance_report(spark, tmp_path, capsys):
+    suite = '[suite]\nlevel = "BCL-1"\nversion = 1\n' + "".join(f'[[fixture]]\nid = "bcl-1/a/{k}"\nweakness = "BGW-9"\nshape = "io"\ndefect = {str(k == "defect").lower()}\n' for k in ("defect", "correct"))
+    ran = lambda k, *flags: {"fixture": f"bcl-1/a/{k}", "status": "ran", "flagged": list(flags)}
+    doc = {"$schema": f"{BASE}/conformance-results/v1", "suite": {"level": "BCL-1", "version": 1}, "tool": {"name": "t", "version": "1"}, "results": [ran("defect", "BGW-9"), ran("correct")]}
+    s, f = tmp_path / "s.toml", tmp_path / "r.json"
+    s.write_text(suite), f.write_text(json.dumps(doc))
+    assert cli.main(["conformance", str(s), str(f)]) == 0 and "achieved: every defect was flagged" in capsys.readouterr().out
+    f.write_text(json.dumps(doc | {"results": [{"fixture": "bcl-1/a/defect", "status": "skipped"}, ran("correct", "BGW-9")]}))
+    assert cli.main(["conformance", str(s), str(f), "--json"]) == 1 and json.loads(capsys.readouterr().out)["outcomes"][0]["not_run"] == ["bcl-1/a/defect"]
+    for bad in (doc | {"results": [ran("defect"), ran("defect")]}, doc | {"results": [{"fixture": "bcl-1/a/defect", "status": "unsupported"}]}, doc | {"results": [{"fixture": "bcl-1/a/defect", "status": "ran"}]}, doc | {"tool": {"name": "t"}}, doc | {"results": [ran("defect", "weak")]}):
+        f.write_text(json.dumps(bad))
+        assert cli.main(["conformance", str(s), str(f)]) == 2
+
+
+def test_texts(spark):
+    outcomes = spark.createDataFrame([("f", "p", 1, "proven", o, d) for o, d in (("stands", False), ("disputed", False), ("withdrawn-after-dispute", True))], "finding string, probe string, battery int, level string, outcome string, dismissed boolean")
+    planted = spark.createDataFrame([("BGW-2", "i", True, True, False)], "weakness string, instance string, tried boolean, accepted boolean, proven boolean")
+    text = reports.error_rate_text(error_rates.precision(outcomes), error_rates.recall(planted))
+    assert "battery 1 · every probe: 500 false accusations per 1,000 (95% CI 95–905), 1 of 2; 1 under open dispute, counted neither way; dismissed 1 of 3" in text and "BGW-2: 1 planted · tried 1 (21–100%)" in text
+    tasks = spark.createDataFrame([("t", "io", 1), ("u", "program", 2), ("v", "io", 3)], "task_id string, shape string, ordinal int")
+    attempts = spark.createDataFrame([("t", "op", True, False, False), ("u", "op", True, True, False), ("v", "op", True, True, True)], "task_id string, operator string, known_wrong boolean, accepted boolean, scale_exceeded boolean")
+    controls = spark.createDataFrame([("t", "oracle", True, True, False, 1), ("t", "reformatted", False, True, False, 2)], "task_id string, relation string, baseline boolean, accepted boolean, scale_exceeded boolean, ordinal int")
+    categories = spark.createDataFrame([("op", "weak_tests")], "operator string, category string")
+    card = reports.scorecard_text(scoring.scorecard(tasks, attempts, controls, categories), scoring.exclusions(tasks, attempts, controls)).split("\n")
+    assert card[0].startswith("program: 1 task scored") and card[3].startswith("io: 1 task") and card[6].startswith("overall: 2 tasks") and card[-1] == "not measured: v (io): the grader paid past full marks"
+
+
+class Mine(plugins.Operator):
+    id = "mine"
+    shapes = ("io",)
+
+    def apply(self, task):
+        yield {"text": "print(1)", "ground": "invariant"}
+        raise RuntimeError("no more")
+
+
+class Other(plugins.Operator):
+    plugin_api = 2
+
+
+class Entry:
+    def __init__(self, name, dist, thing):
+        self.name, self.dist, self.thing = name, type("Dist", (), {"name": dist}), thing
+
+    def load(self):
+        if isinstance(self.thing, Exception):
+            raise self.thing
+        return self.thing
+
+
+def test_extensions(spark):
+    found = [Entry("a", "zeta", Other), Entry("mine", "zeta", Other), Entry("mine", "alpha", Mine), Entry("b", "alpha", ValueError("x")), Entry("c", "alpha", print), Entry("d", "alpha", int)]
+    with pytest.warns(UserWarning) as said:
+        assert plugins.load(plugins.OPERATORS, found, plugins.Operator) == {"mine": Mine}
+    assert len(said) == 5 and plugins.load(plugins.COMMANDS) == {} and len(plugins.GROUPS) == 6
+    with pytest.raises(ValueError):
+        plugins.load("other.things")
+    with pytest.warns(UserWarning):
+        made = list(plugins.extended({"mine": Mine})("x", "io"))
+    assert [(c.operator, c.text, c.ground) for c in made] == [("mine", "print(1)", "invariant")] and list(plugins.extended({"mine": Mine})("x", "program")) == []
+
+
+@pytest.mark.parametrize("path,fault", [("a/b.py", False), ("", True), ("/a", True), ("a/../b", True), ("a//b", True), ("a/", True), ("C:x", True), ("a\\b", True), ("{p}/x", False), ("{q}/x", True), (".../x", False), ("./x", True)])
+def test_paths(spark, path, fault):
+    assert (paths.path_problem(path, {"p"}) is not None) == fault
+    assert (spark.createDataFrame([(path, ["p"])], "path string, p array<string>").selectExpr(paths.path_fault("path", "p")).first()[0] is not None) == fault
+
+
+def test_large_files_and_odd_revisions(spark, tmp_path):
+    repo = tmp_path / "r"
+    repo.mkdir()
+    run = lambda *a: subprocess.run(["git", "-C", str(repo), "-c", "user.name=a", "-c", "user.email=a@b.c", *a], check=True, capture_output=True)
+    run("init", "-q")
+    (repo / "test_big.py").write_text("def test_x():\n    assert f() == 1\n" + "# filler\n" * 300_000)
+    (repo / "test_ä b.py").write_text("def test_y():\n    assert f() == 1\n")
+    run("add", "."), run("commit", "-qm", "start")
+    (repo / "test_big.py").write_text("x = 1\n")
+    (repo / "test_ä b.py").write_text("def test_y():\n    assert f()\n")
+    spark.dataSource.register(git.GitChange)
+    rows = {r.path: r for r in spark.read.format("git_change").options(repo=str(repo), since="HEAD").load().collect()}
+    assert rows["test_big.py"].fault == "too large" and rows["test_big.py"].after is None and rows["test_ä b.py"].before.endswith("== 1\n")
+    for odd in ("--all", "-h", "nothing"):
         with pytest.raises(ValueError):
-            documents.reproduction(out, code)
-    assert documents.script_metadata('# /// script\n# dependencies = ["x"]\n# ///\n') == {"dependencies": ["x"]} and documents.script_metadata("x") is None
+            git.resolve(str(repo), odd)
+    report = reports.verify_report(spark.read.format("git_change").options(repo=str(repo), since="HEAD").load(), None, git.resolve(str(repo), "HEAD"), [])
+    assert [f["rule"] for f in report["facts"]] == ["check-weakened"] and "test_big.py (not UTF-8, too large or unreadable)" in report["not_checked"]
+    assert "1 fact and 0 observations" in reports.verify_text(report)
 
 
 def test_git_change_and_exit_codes(spark, tmp_path):
