@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, checkpoint, hash128, read_table
 
+#: At most so many keys (16 bytes each) are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -49,9 +51,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hits = checkpoint(lines.join(common, ["__h1", "__h2"]))
     # Of the few keys left, documents are counted: first once a document, then by key.
     sure = hits.select("__h1", "__h2", "__id").distinct().groupBy("__h1", "__h2").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= min_docs)
+    sure = checkpoint(sure.select("__h1", "__h2"))
     drops = (
         hits.where(~F.col("__id").eqNullSafe(F.col("__last")))
-        .join(sure.select("__h1", "__h2"), ["__h1", "__h2"], "left_semi")
+        .join(F.broadcast(sure) if sure.count() <= BROADCAST_ROWS else sure, ["__h1", "__h2"], "left_semi")
         .groupBy(F.col("__id").alias("__drop_id"), F.col("__text").alias("__drop_text"))
         .agg(F.collect_set("__pos").alias("__drops"))
     )
