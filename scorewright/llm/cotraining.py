@@ -1,9 +1,15 @@
-"""A quality classifier by co-training: a view of the text and a view of the page's metadata teach each other."""
+"""A quality classifier by co-training: a view of the text and a view of the page's metadata teach each other.
+
+Every document takes part in every round. Features are written once; a pass over them applies the models of all rounds so far,
+which also says which documents the views have labelled for each other, so no state is kept. What comes to the driver has
+the model's size: counts by hashed word, a histogram of each view's scores, and rows of fixed width of a bounded
+sample of labelled documents.
+"""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -11,17 +17,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import checkpoint, read_table
 
-#: The classifier is fitted on at most so many labelled rows and so many unlabelled ones, those with the smallest hashes of their ids. Scoring covers all rows.
-MAX_LABELLED, MAX_POOL = 8_000, 8_000
+#: Regressions are fitted on at most about so many labelled rows, and so many that a view has labelled, those with the smallest
+#: hashes. Word counts, confidence and scores cover all rows.
+MAX_LABELLED = 8_000
 ROUNDS = 3
-#: A view passes on the labels of which it is at least so sure, at most SHARE of the pool in a round, in the classes' proportion.
-SURE, SHARE = 0.95, 0.1
-HASH_BITS = 18
+#: In a round a view passes on the surest SHARE of all unlabelled documents, in the classes' proportion, and of a class only if,
+#: of held-out labelled documents as sure, at least SURE are of it.
+SHARE, SURE = 0.1, 0.95
+#: Held-out documents that must be as sure before their share says anything.
+LEAST_HELD = 5
+HASH_BITS, BINS = 18, 2048
 #: A word's likelihood ratio between the classes; under chance one word in a hundred thousand reaches it.
 MIN_G2 = 20.0
-META_BUCKETS = 64
+NAMES, PAIRS, SIZES = 64, 256, 16
 U = np.uint64
 _rng = np.random.default_rng(7)
 BYTE, PLACE = (_rng.integers(1, 2**63, n).astype(U) | U(1) for n in (256, 64))
@@ -31,7 +41,8 @@ CLASSES = [np.array([test(chr(b)) and b < 128 for b in range(256)]) for test in
 
 
 def words(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(doc, hashed word) of every word of a batch, a run of letters in lower case, and dense features, a row for each text."""
+    """(doc, hashed word) of every distinct word of each text, a run of letters in lower case, and dense features, a row for
+    each text: shares and rates only, as the length belongs to the other view."""
     text = text.cast(pa.large_binary()).fill_null(b"")
     offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
     raw = np.frombuffer(text.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
@@ -50,27 +61,27 @@ def words(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     h = ((h ^ (h >> U(29))) * U(0x9E3779B97F4A7C15)) >> U(64 - HASH_BITS)
     doc = np.searchsorted(offsets, at, side="right") - 1
     n = np.maximum(size, 1)
-    dense = [np.log1p(size), np.bincount(doc, minlength=len(size)) / n]
+    many = np.bincount(doc, minlength=len(size))
+    dense = [many / n]
     for c in CLASSES:
         total = np.concatenate([[0], np.cumsum(c[raw])])
         dense.append((total[offsets[1:]] - total[offsets[:-1]]) / n)
-    many = np.bincount(doc, minlength=len(size))
     pair = np.unique(doc.astype(np.int64) << HASH_BITS | h.astype(np.int64))
-    dense.append(np.bincount(pair >> HASH_BITS, minlength=len(size)) / np.sqrt(np.maximum(many, 1)))
     dense.append(np.bincount(pair >> HASH_BITS, minlength=len(size)) / np.maximum(many, 1))
     return pair >> HASH_BITS, pair & ((1 << HASH_BITS) - 1), np.stack(dense, axis=1)
 
 
-def metadata(lang: list, source: list, n_chars: np.ndarray) -> np.ndarray:
-    """One-hot hashes of language and source, and the length; a null is a value of its own."""
-    import zlib
+DENSE = 2 + len(CLASSES)
 
-    out = np.zeros((len(lang), 2 * META_BUCKETS + 2))
-    for i, (x, s) in enumerate(zip(lang, source, strict=True)):
-        out[i, zlib.crc32(repr(x).encode()) % META_BUCKETS] = 1
-        out[i, META_BUCKETS + zlib.crc32(repr(s).encode()) % META_BUCKETS] = 1
-    out[:, -2] = np.log1p(np.nan_to_num(np.maximum(n_chars, 0)))
-    out[:, -1] = out[:, -2] ** 2
+
+def metadata(lang: np.ndarray, source: np.ndarray, pair: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """One-hot hashes of language, source and both together, and the length as steps and as a curve."""
+    rows = np.arange(len(lang))
+    out = np.zeros((len(lang), 2 * NAMES + PAIRS + SIZES + 2))
+    length = np.log2(1 + np.maximum(np.nan_to_num(size), 0))
+    for at, width, x in ((0, NAMES, lang), (NAMES, NAMES, source), (2 * NAMES, PAIRS, pair), (2 * NAMES + PAIRS, SIZES, length)):
+        out[rows, at + x.astype(np.int64) % width if x is not length else at + np.minimum(length, SIZES - 1).astype(np.int64)] = 1
+    out[:, -2], out[:, -1] = length, length**2
     return out
 
 
@@ -89,7 +100,7 @@ class Logistic:
         hold = np.full(z.shape[1], ridge)
         hold[-1] = 1e-3
         for _ in range(25):
-            p = 1 / (1 + np.exp(-np.clip(z @ self.w, -30, 30)))
+            p = sigmoid(z @ self.w)
             g = z.T @ (p - y) + hold * self.w
             step = np.linalg.solve((z * (p * (1 - p) + 1e-6)[:, None]).T @ z + np.diag(hold), g)
             self.w -= step
@@ -98,177 +109,284 @@ class Logistic:
         return self
 
     def logit(self, x: np.ndarray) -> np.ndarray:
-        z = np.clip((x - self.mean) / self.scale, -20, 20)
-        return z @ self.w[:-1] + self.w[-1]
-
+        return np.clip((x - self.mean) / self.scale, -20, 20) @ self.w[:-1] + self.w[-1]
 
-@dataclass
-class Sample:
-    """Bounded rows on the driver: word pairs by row, dense text features and metadata."""
 
-    doc: np.ndarray
-    word: np.ndarray
-    dense: np.ndarray
-    meta: np.ndarray
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
 @dataclass
-class TextView:
-    """Words with a significant log-odds between the classes, summed over the distinct ones of a text, then a
-    logistic regression on that sum and the dense features. The sum is made for each half of the rows from the other."""
-
-    word: np.ndarray = field(default_factory=lambda: np.zeros(1 << HASH_BITS, np.float32))
-    top: Logistic = field(default_factory=Logistic)
-
-    @staticmethod
-    def weights(s: Sample, rows: np.ndarray, y: np.ndarray) -> np.ndarray:
-        which = np.full(len(s.dense), -1)
-        which[rows] = y
-        mine = which[s.doc]
-        n1, n0 = int((y == 1).sum()), int((y == 0).sum())
-        a = np.bincount(s.word[mine == 1], minlength=1 << HASH_BITS).astype(float)
-        b = np.bincount(s.word[mine == 0], minlength=1 << HASH_BITS).astype(float)
-        n, m = n1 + n0, a + b
-        cells = [(a, m * n1 / max(n, 1)), (b, m * n0 / max(n, 1)), (n1 - a, (n - m) * n1 / max(n, 1)), (n0 - b, (n - m) * n0 / max(n, 1))]
-        g2 = 2 * sum(np.where(o > 0, o * np.log(np.maximum(o, 1e-9) / np.maximum(e, 1e-9)), 0) for o, e in cells)
-        odds = np.log((a + 0.5) / (n1 + 1)) - np.log((b + 0.5) / (n0 + 1))
-        return np.where(g2 >= MIN_G2, odds, 0).astype(np.float32)
-
-    @staticmethod
-    def total(word: np.ndarray, doc: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
-        w = word[ids]
-        hit = w != 0
-        return np.bincount(doc[hit], w[hit], n)
-
-    def fit(self, s: Sample, rows: np.ndarray, y: np.ndarray) -> TextView:
-        x = np.zeros(len(s.dense))
-        for half in (0, 1):
-            out, into = np.arange(len(rows)) % 2 == half, np.arange(len(rows)) % 2 != half
-            x[rows[into]] = self.total(self.weights(s, rows[out], y[out]), s.doc, s.word, len(s.dense))[rows[into]]
-        self.word = self.weights(s, rows, y)
-        self.top.fit(np.column_stack([x, s.dense])[rows], y)
-        return self
+class Views:
+    """Both views as one round leaves them, calibrated on held-out labels, and how sure each must be to teach the other.
 
-    def logit(self, doc: np.ndarray, word: np.ndarray, dense: np.ndarray) -> np.ndarray:
-        return self.top.logit(np.column_stack([self.total(self.word, doc, word, len(dense)), dense]))
+    word holds the words' log-odds from all that the text view knows, and from either half of it for the other half.
+    """
 
+    word: list[np.ndarray]
+    text: Logistic = field(default_factory=Logistic)
+    meta: Logistic = field(default_factory=Logistic)
+    calibrate: list[Logistic] = field(default_factory=list)
+    #: (at least, at most) for each view; beyond every probability where it may not teach.
+    sure: list[tuple[float, float]] = field(default_factory=list)
+    stack: Logistic = field(default_factory=Logistic)
 
-@dataclass
-class Model:
-    text: TextView
-    meta: Logistic
-    calibrate: list[Logistic]
-    stack: Logistic
-
-    def views(self, doc: np.ndarray, word: np.ndarray, dense: np.ndarray, meta: np.ndarray) -> np.ndarray:
-        raw = self.text.logit(doc, word, dense), self.meta.logit(meta)
+    def total(self, b: Batch, which: int) -> np.ndarray:
+        w = self.word[which][b.word]
+        return np.bincount(b.doc, w, b.n)
+
+    def logits(self, b: Batch) -> np.ndarray:
+        raw = self.text.logit(np.column_stack([self.total(b, 0), b.dense])), self.meta.logit(b.meta)
         return np.column_stack([c.logit(r[:, None]) for c, r in zip(self.calibrate, raw, strict=True)])
 
-    def predict(self, *x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        v = self.views(*x)
-        return sigmoid(v), sigmoid(self.stack.logit(v))
 
+class Batch:
+    """Rows of the features' table as arrays."""
+
+    def __init__(self, batch: pa.RecordBatch, targets: tuple[str, ...]):
+        col = {n: batch.column(k) for k, n in enumerate(batch.schema.names)}
+        self.n = batch.num_rows
+        lists = col["words"]
+        self.word = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        self.doc = np.repeat(np.arange(self.n), pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
+        self.dense = col["dense"].flatten().to_numpy(zero_copy_only=False).reshape(self.n, DENSE)
+        get = lambda c: col[c].to_numpy(zero_copy_only=False)
+        self.names = np.column_stack([get(c).astype(np.float64) for c in ("lang", "source", "pair", "size")]) if self.n else np.zeros((0, 4))
+        self.meta = metadata(*self.names.T)
+        self.order = get("draw").view(U) if self.n else np.zeros(0, U)
+        self.y = {t: get(t).astype(np.float64) for t in targets}
+
+    def held(self) -> np.ndarray:
+        """A fifth of all rows teaches no view."""
+        return self.order % U(5) == 4
+
+    def half(self) -> np.ndarray:
+        return (self.order // U(5) % U(2)).astype(np.int64)
+
+
+def taught(b: Batch, t: str, history: list[Views]) -> np.ndarray:
+    """For each row the labels that the text view and the metadata view learn from, nan for none: its own, or the first that the
+    other view was sure of. Held-out rows teach neither."""
+    own = np.where(b.held(), np.nan, b.y[t])
+    out = np.column_stack([own, own])
+    free = np.isnan(b.y[t])
+    for v in history:
+        if not v.sure:
+            continue
+        p = sigmoid(v.logits(b))
+        for view, other in ((0, 1), (1, 0)):
+            low, high = v.sure[view][1], v.sure[view][0]
+            new = free & np.isnan(out[:, other])
+            out[new & (p[:, view] >= high), other] = 1.0
+            out[new & (p[:, view] <= low), other] = 0.0
+    return out
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
+def passes(features: DataFrame, targets: tuple[str, ...], state: dict[str, list[Views]], schema: str, one: Callable[[Batch, dict], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """features under the models so far, which are broadcast: some MB, whatever the input."""
+    held = features.sparkSession.sparkContext.broadcast(state)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, 2000):
+                yield from one(Batch(whole.slice(k, 2000), targets), held.value)
+
+    return features.mapInArrow(run, schema)
+
+
+def word_counts(features: DataFrame, targets: tuple[str, ...], state: dict[str, list[Views]]) -> dict[str, np.ndarray]:
+    """target -> counts[half, class, word] over every row that the text view learns from, and their number in the last place."""
+    width = (1 << HASH_BITS) + 1
+
+    def one(b: Batch, history: dict) -> Iterator[pa.RecordBatch]:
+        for k, t in enumerate(targets):
+            y, half = taught(b, t, history[t])[:, 0], b.half()
+            known = ~np.isnan(y)
+            cell = np.where(known, 2 * half + np.nan_to_num(y), -1).astype(np.int64)
+            at = np.concatenate([cell[b.doc] * width + b.word, cell * width + width - 1])
+            keys, n = np.unique(at[at >= 0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), k), pa.int32()), pa.array(keys), pa.array(n)], names=["target", "key", "n"])
 
-def confident(p: np.ndarray, base: float, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """(places, labels) of the surest of either class, in the classes' proportion."""
-    up, down = np.flatnonzero(p >= SURE), np.flatnonzero(p <= 1 - SURE)
-    up = up[np.argsort(-p[up], kind="stable")][: math.ceil(most * base)]
-    down = down[np.argsort(p[down], kind="stable")][: math.ceil(most * (1 - base))]
-    return np.concatenate([up, down]), np.concatenate([np.ones(len(up)), np.zeros(len(down))])
-
-
-def co_train(s: Sample, y: np.ndarray) -> Model:
-    """y: labels, nan where there is none. A fifth of the labelled rows teaches no view; it calibrates both and their stack."""
-    known, pool = np.flatnonzero(~np.isnan(y)), np.flatnonzero(np.isnan(y))
-    held, taught = known[4::5], np.delete(known, np.s_[4::5])
-    if len(held) < 10:
-        held = taught = known
-    base = float(y[taught].mean()) if len(taught) else 0.5
-    own = [(taught, y[taught]), (taught, y[taught])]
-    free = [pool, pool]
-    for k in range(ROUNDS + 1):
-        text, meta = TextView().fit(s, *own[0]), Logistic().fit(s.meta[own[1][0]], own[1][1])
-        raw = np.column_stack([text.logit(s.doc, s.word, s.dense), meta.logit(s.meta)])
-        calibrate = [Logistic().fit(raw[held, v : v + 1], y[held]) for v in (0, 1)]
+    got = passes(features, targets, state, "target int, key long, n long", one).groupBy("target", "key").agg(F.sum("n").alias("n")).toPandas()
+    out = {t: np.zeros(4 * width) for t in targets}
+    for k, t in enumerate(targets):
+        mine = got[got["target"] == k]
+        out[t][mine["key"].to_numpy()] = mine["n"].to_numpy()
+    return {t: x.reshape(2, 2, width) for t, x in out.items()}
+
+
+def odds(counts: np.ndarray) -> np.ndarray:
+    """Log-odds of the words between the classes, where they tell them apart; counts[class, word], rows last."""
+    (b, n0), (a, n1) = ((c[:-1], c[-1]) for c in counts)
+    n, m = n1 + n0, a + b
+    cells = [(a, m * n1 / max(n, 1)), (b, m * n0 / max(n, 1)), (n1 - a, (n - m) * n1 / max(n, 1)), (n0 - b, (n - m) * n0 / max(n, 1))]
+    g2 = 2 * sum(np.where(o > 0, o * np.log(np.maximum(o, 1e-9) / np.maximum(e, 1e-9)), 0) for o, e in cells)
+    return np.where(g2 >= MIN_G2, np.log((a + 0.5) / (n1 + 1)) - np.log((b + 0.5) / (n0 + 1)), 0).astype(np.float32)
+
+
+def sampled(features: DataFrame, targets: tuple[str, ...], state: dict[str, list[Views]], drawn: tuple[float, float]):
+    """target -> arrays of the bounded sample: words' sum across halves and from all, dense, names, own label, both views' labels, held.
+
+    drawn are the shares of labelled and of unlabelled rows that are taken, by hash.
+    """
+    limit = [U(min(int(x * 2**64), 2**64 - 1)) for x in drawn]
+    width = 2 + DENSE + 4 + 3 + 1
+
+    def one(b: Batch, history: dict) -> Iterator[pa.RecordBatch]:
+        draw = near_random(b.order)
+        for k, t in enumerate(targets):
+            v, two = history[t][-1], taught(b, t, history[t][:-1])
+            own = b.y[t]
+            take = np.flatnonzero(np.where(np.isnan(own), ~np.isnan(two).all(axis=1) & (draw <= limit[1]), draw <= limit[0]))
+            cross = np.where(b.half() == 0, v.total(b, 2), v.total(b, 1))
+            x = np.column_stack([cross, v.total(b, 0), b.dense, b.names, own, two, b.held()])[take]
+            rows = pa.ListArray.from_arrays(pa.array(np.arange(len(take) + 1, dtype=np.int32) * width), pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(take), k), pa.int32()), pa.array(b.order[take].view(np.int64)), rows], names=["target", "draw", "x"])
+
+    got = passes(features, targets, state, "target int, draw long, x array<double>", one).toPandas().sort_values(["target", "draw"], kind="stable")
+    return {t: np.stack(got[got["target"] == k]["x"].to_list()) if (got["target"] == k).any() else np.zeros((0, width)) for k, t in enumerate(targets)}
+
+
+def near_random(x: np.ndarray) -> np.ndarray:
+    """Another hash of the rows' hash, so that the sample is of all halves and fifths alike."""
+    x = (x ^ (x >> U(31))) * U(0xD6E8FEB86659FD93)
+    return x ^ (x >> U(32))
+
+
+def fit(v: Views, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Fit the views on the sample; (calibrated logits, labels) of its held-out rows."""
+    cross, whole, dense, names = x[:, 0], x[:, 1], x[:, 2 : 2 + DENSE], x[:, 2 + DENSE : 6 + DENSE]
+    own, for_text, for_meta, held = x[:, -4], x[:, -3], x[:, -2], x[:, -1] > 0
+    meta = metadata(*names.T)
+    a, b = ~np.isnan(for_text), ~np.isnan(for_meta)
+    v.text.fit(np.column_stack([cross, dense])[a], for_text[a])
+    v.meta.fit(meta[b], for_meta[b])
+    raw = np.column_stack([v.text.logit(np.column_stack([whole, dense])), v.meta.logit(meta)])
+    out = held & ~np.isnan(own)
+    if out.sum() < 10 or len(set(own[out])) < 2:
+        out = ~np.isnan(own)
+    v.calibrate = [Logistic().fit(raw[out, k : k + 1], own[out]) for k in (0, 1)]
+    return np.column_stack([c.logit(raw[out, k : k + 1]) for k, c in enumerate(v.calibrate)]), own[out]
+
+
+def histograms(features: DataFrame, targets: tuple[str, ...], state: dict[str, list[Views]]) -> dict[str, np.ndarray]:
+    """target -> counts[view, bin of the probability] over all unlabelled rows that the other view has no label for yet."""
+
+    def one(b: Batch, history: dict) -> Iterator[pa.RecordBatch]:
+        for k, t in enumerate(targets):
+            p, two, free = sigmoid(history[t][-1].logits(b)), taught(b, t, history[t][:-1]), np.isnan(b.y[t])
+            at = np.concatenate([view * BINS + np.minimum(p[:, view] * BINS, BINS - 1).astype(np.int64)[free & np.isnan(two[:, 1 - view])] for view in (0, 1)])
+            keys, n = np.unique(at, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), k), pa.int32()), pa.array(keys), pa.array(n)], names=["target", "key", "n"])
+
+    got = passes(features, targets, state, "target int, key long, n long", one).groupBy("target", "key").agg(F.sum("n").alias("n")).collect()
+    out = {t: np.zeros(2 * BINS) for t in targets}
+    for r in got:
+        out[targets[r.target]][r.key] = r.n
+    return {t: x.reshape(2, BINS) for t, x in out.items()}
+
+
+def confidence(counts: np.ndarray, most: float, base: float, p: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """(at least, at most): the probabilities from which a view teaches that a document is of the class, or is not.
+
+    They are the quantiles that leave most documents in the classes' proportion, in whole bins, and hold only where held-out
+    documents as sure bear them out.
+    """
+    down = np.cumsum(counts)
+    up = np.cumsum(counts[::-1])
+    n_up, n_down = int(np.searchsorted(up, most * base, side="right")), int(np.searchsorted(down, most * (1 - base), side="right"))
+    high, low = 1 - n_up / BINS, n_down / BINS - 1e-12
+    for found, label in ((p >= high, 1), (p <= low, 0)):
+        right = (y[found] == label).mean() if found.sum() >= LEAST_HELD else 0.0
+        if right < SURE and label:
+            high = 2.0
+        elif right < SURE:
+            low = -1.0
+    return (high if n_up else 2.0), (low if n_down else -1.0)
+
+
+def co_train(features: DataFrame, targets: tuple[str, ...], max_labelled: int = MAX_LABELLED) -> tuple[dict[str, Views | float], list[dict]]:
+    """The views of each target, or the labels' mean where they are not of both classes, and what each round passed on."""
+    seen = features.agg(F.count(F.lit(1)).alias("rows"), *(e for t in targets for e in (F.count(t).alias(f"{t}_n"), F.sum(t).alias(f"{t}_sum")))).first()
+    known = {t: seen[f"{t}_n"] for t in targets}
+    mean = {t: float(seen[f"{t}_sum"]) / known[t] if known[t] else 0.5 for t in targets}
+    both = tuple(t for t in targets if 0 < mean[t] < 1 and known[t] > 1)
+    state: dict[str, list[Views]] = {t: [] for t in both}
+    log: list[dict] = []
+    most = {t: SHARE * (seen["rows"] - known[t]) for t in both}
+    drawn = (max_labelled / max([known[t] for t in both] or [1]), max_labelled / max(seen["rows"] * SHARE * ROUNDS * 2, 1))
+    for k in range(ROUNDS + 1 if both else 0):
+        counts = word_counts(features, both, state)
+        for t in both:
+            state[t].append(Views([odds(counts[t].sum(axis=0)), odds(counts[t][0]), odds(counts[t][1])]))
+        rows = sampled(features, both, state, drawn)
+        held = {t: fit(state[t][-1], rows[t]) for t in both}
         if k == ROUNDS:
+            for t in both:
+                state[t][-1].stack.fit(*held[t])
             break
-        for v, other in ((0, 1), (1, 0)):
-            p = sigmoid(calibrate[v].logit(raw[free[other], v : v + 1]))
-            at, label = confident(p, base, math.ceil(SHARE * len(pool)))
-            own[other] = np.concatenate([own[other][0], free[other][at]]), np.concatenate([own[other][1], label])
-            free[other] = np.delete(free[other], at)
-    view = np.column_stack([c.logit(raw[held, v : v + 1]) for v, c in enumerate(calibrate)])
-    return Model(text, meta, calibrate, Logistic().fit(view, y[held]))
-
-
-def sample(docs: DataFrame, labels: DataFrame, targets: tuple[str, ...], max_labelled: int, max_pool: int) -> tuple[Sample, dict[str, np.ndarray]]:
-    """Features of the bounded sample, on the driver. Ids are chosen first, so only chosen texts are read into features."""
-    named = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(*(F.max(t).alias(t) for t in targets)).where(" AND ".join(f"{t} IS NOT NULL" for t in targets))
-    order = F.xxhash64("doc_id"), F.col("doc_id")
-    ids = docs.where("doc_id IS NOT NULL").select("doc_id")
-    some = ids.join(named, "doc_id").orderBy(*order).limit(max_labelled)
-    rest = ids.join(named.select("doc_id"), "doc_id", "left_anti").orderBy(*order).limit(max_pool).select("doc_id", *(F.lit(None).cast("int").alias(t) for t in targets))
-    chosen = some.union(rest).toPandas().drop_duplicates("doc_id")
-    spark = docs.sparkSession
-    few = F.broadcast(spark.createDataFrame([(int(x),) for x in chosen["doc_id"]], "doc_id long"))
+        bins = histograms(features, both, state)
+        for t in both:
+            p = sigmoid(held[t][0])
+            state[t][-1].sure = [confidence(bins[t][view], most[t], mean[t], p[:, view], held[t][1]) for view in (0, 1)]
+            for view in (0, 1):
+                high, low = state[t][-1].sure[view]
+                edges = np.arange(BINS) / BINS
+                log.append({"round": k, "target": t, "view": ("text", "meta")[view], "up": float(bins[t][view][edges >= high - 1e-9].sum()), "down": float(bins[t][view][edges + 1 / BINS <= low + 1e-9].sum())})
+    return {t: state[t] if t in both else mean[t] for t in targets}, log
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            doc, word, dense = words(batch.column(1))
-            ends = np.searchsorted(doc, np.arange(batch.num_rows + 1))
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(word, pa.int32()))
-            wide = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * dense.shape[1]), pa.array(dense.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists, wide, *batch.columns[2:]], names=["doc_id", "words", "dense", "lang", "source", "n_chars"])
-
-    at = docs.join(few, "doc_id", "left_semi").mapInArrow(run, "doc_id long, words array<int>, dense array<double>, lang string, source string, n_chars double")
-    got = at.toPandas().drop_duplicates("doc_id").sort_values("doc_id").reset_index(drop=True)
-    y = chosen.set_index("doc_id").reindex(got["doc_id"])
-    n = got["words"].map(len).to_numpy() if len(got) else np.zeros(0, int)
-    s = Sample(
-        np.repeat(np.arange(len(got)), n),
-        np.concatenate([*got["words"], np.zeros(0, int)]).astype(np.int64),
-        np.stack(got["dense"].to_list()) if len(got) else np.zeros((0, 10)),
-        metadata(got["lang"].to_list(), got["source"].to_list(), got["n_chars"].to_numpy(float)),
-    )
-    return s, {t: y[t].to_numpy(float) for t in targets}
-
-
-def score(docs: DataFrame, labels: DataFrame, targets: tuple[str, ...] = ("quality", "toxic"), max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL) -> DataFrame:
-    """doc_id and, for each target, <target>_text, <target>_meta (calibrated views) and <target>_score (their combination).
 
-    docs has doc_id, text, lang, source, n_chars; other columns are ignored. Null text is empty, null metadata a
-    value of its own; a row with a null id is scored like any other. Repeated rows get equal scores. Without labels
-    of both classes every score is the labels' mean, one half without any. An empty table gives an empty table.
+def written(docs: DataFrame, labels: DataFrame, targets: tuple[str, ...]) -> DataFrame:
+    """A written table of one row for each of docs: features of both views, and each target's label, null where there is none.
+
+    Of labels with one id the largest counts. draw is a hash of the id and the text, so equal rows fall alike.
     """
+    named = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("__l")).agg(*(F.max(t).alias(t) for t in targets))
     at = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source", F.col("n_chars").cast("double").alias("n_chars"))
-    s, y = sample(at, labels, targets, max_labelled, max_pool)
-    models: dict[str, Model | float] = {}
-    for t in targets:
-        seen = set(y[t][~np.isnan(y[t])])
-        models[t] = co_train(s, y[t]) if len(seen) == 2 else float(next(iter(seen), 0.5))
-    held = at.sparkSession.sparkContext.broadcast(models)  # a few MB, whatever the input
+    at = at.join(F.broadcast(named) if named.count() <= 1_000_000 else named, at["doc_id"] == named["__l"], "left")
+    name = lambda *c: F.pmod(F.xxhash64(*(F.coalesce(x, F.lit("\0")) for x in c)), F.lit(1 << 30)).cast("int")
+    at = at.select("doc_id", "text", name("lang").alias("lang"), name("source").alias("source"), name("lang", "source").alias("pair"), F.col("n_chars").alias("size"), F.xxhash64("doc_id", "text").alias("draw"), *(F.col(t).cast("double").alias(t) for t in targets))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for k in range(0, whole.num_rows, 1000):
                 batch = whole.slice(k, 1000)
-                text = words(batch.column(1))
-                meta = metadata(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_numpy(zero_copy_only=False).astype(float))
-                out = []
-                for m in held.value.values():
+                doc, word, dense = words(batch.column(1))
+                ends = np.searchsorted(doc, np.arange(batch.num_rows + 1))
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(word, pa.int32()))
+                wide = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * DENSE), pa.array(dense.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), lists, wide, *batch.columns[2:]], names=["doc_id", "words", "dense", *batch.schema.names[2:]])
+
+    return checkpoint(at.mapInArrow(run, "doc_id long, words array<int>, dense array<double>, lang int, source int, pair int, size double, draw long, " + ", ".join(f"{t} double" for t in targets)))
+
+
+def score(docs: DataFrame, labels: DataFrame, targets: tuple[str, ...] = ("quality", "toxic"), max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """doc_id and, for each target, <target>_text, <target>_meta (calibrated views) and <target>_score (their combination).
+
+    docs has doc_id, text, lang, source, n_chars; other columns are ignored. Null text is empty, null metadata a
+    value of its own; a row with a null id is scored like any other and has no label. Repeated rows get equal scores, and each
+    counts. Without labels of both classes every score is the labels' mean, one half without any. An empty table gives an
+    empty table.
+    """
+    features = written(docs, labels, targets)
+    models, _ = co_train(features, targets, max_labelled)
+    ids = features.sparkSession.sparkContext.broadcast(models)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, 2000):
+                part = whole.slice(k, 2000)
+                b, out = Batch(part, targets), []
+                for m in ids.value.values():
                     if isinstance(m, float):
-                        out += [np.full(batch.num_rows, m)] * 3
+                        out += [np.full(b.n, m)] * 3
                     else:
-                        view, both = m.predict(*text, meta)
-                        out += [view[:, 0], view[:, 1], both]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x) for x in out)], names=["doc_id", *names])
+                        two = m[-1].logits(b)
+                        out += [sigmoid(two[:, 0]), sigmoid(two[:, 1]), sigmoid(m[-1].stack.logit(two))]
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x) for x in out)], names=["doc_id", *names])
 
     names = [f"{t}_{v}" for t in targets for v in ("text", "meta", "score")]
-    return at.mapInArrow(run, "doc_id long, " + ", ".join(f"{n} double" for n in names))
+    return features.mapInArrow(run, "doc_id long, " + ", ".join(f"{n} double" for n in names))
 
 
 def op1_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:

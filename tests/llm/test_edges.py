@@ -380,6 +380,44 @@ def test_cotraining(spark, docs, empty):
     assert (got[got.toxic == 0].toxic_score < 0.5).mean() > 0.99
 
 
+def test_both_views_teach(spark):
+    """Metadata and text each tell the class of most documents, so labels pass both ways, and the two together beat either."""
+    rng = np.random.default_rng(8)
+    data, labels, truth = [], [], {}
+    for i in range(4000):
+        y = int(rng.random() < 0.5)
+        truth[i] = y
+        source = f"s{rng.integers(0, 4) * 2 + (y if rng.random() < 0.9 else 1 - y)}"
+        own = [f"{'good' if y else 'bad'}{chr(97 + k)}" for k in rng.integers(0, 20, 2)] if rng.random() < 0.8 else []
+        data.append((i, " ".join(own + [f"word{chr(97 + k)}" for k in rng.integers(0, 26, 12)]), "en", source, int(rng.integers(50, 150))))
+        if i % 8 == 0:
+            labels.append((i, y))
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")
+    known = spark.createDataFrame(labels, "doc_id long, quality int")
+    features = cotraining.written(docs, known, ("quality",))
+    try:
+        cotraining.SURE, kept = 0.85, cotraining.SURE
+        _, log = cotraining.co_train(features, ("quality",))
+        out = cotraining.score(docs, known, ("quality",)).where("doc_id % 8 <> 0").toPandas()
+    finally:
+        cotraining.SURE = kept
+    passed = {v: sum(x["up"] + x["down"] for x in log if x["view"] == v) for v in ("text", "meta")}
+    assert min(passed.values()) >= 100, log
+    y = out["doc_id"].map(truth)
+    right = {v: ((out[f"quality_{v}"] >= 0.5) == (y == 1)).mean() for v in ("text", "meta", "score")}
+    assert right["score"] > max(right["text"], right["meta"]) + 0.01, right
+
+
+def test_scores_of_repeated_and_odd_rows(spark):
+    data = [(1, "a good text", "en", "s", 3)] * 2 + [(1, "another text", None, None, None), (None, "a good text", "en", "s", 3), (2, None, "en", "s", None)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 1)], "doc_id long, quality int")
+    assert [r.quality_score for r in cotraining.score(docs, labels, ("quality",)).collect()] == [1.0] * 5
+    three = spark.createDataFrame([(1, 0), (2, 1), (None, 1)], "doc_id long, quality int")
+    got = [(r.doc_id, r.quality_score) for r in cotraining.score(docs, three, ("quality",)).collect()]
+    assert len(got) == 5 and got[0] == got[1] and all(0 <= s <= 1 for _, s in got)
+
+
 def test_pieces(spark, docs, empty):
     import sentencepiece
 
