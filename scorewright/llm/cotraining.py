@@ -28,7 +28,9 @@ ROUNDS = 3
 SHARE, SURE = 0.1, 0.95
 #: Held-out documents that must be as sure before their share says anything.
 LEAST_HELD = 5
-HASH_BITS, BINS = 18, 2048
+HASH_BITS = 18
+#: Steps of the log-odds from -FAR to FAR in which a view's certainty is counted.
+BINS, FAR = 8192, 32.0
 #: A word's likelihood ratio between the classes; under chance one word in a hundred thousand reaches it.
 MIN_G2 = 20.0
 NAMES, PAIRS, SIZES = 64, 256, 16
@@ -116,6 +118,10 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def steps(logit: np.ndarray) -> np.ndarray:
+    return np.clip((logit + FAR) * (BINS / (2 * FAR)), 0, BINS - 1).astype(np.int64)
+
+
 @dataclass
 class Views:
     """Both views as one round leaves them, calibrated on held-out labels, and how sure each must be to teach the other.
@@ -127,8 +133,8 @@ class Views:
     text: Logistic = field(default_factory=Logistic)
     meta: Logistic = field(default_factory=Logistic)
     calibrate: list[Logistic] = field(default_factory=list)
-    #: (at least, at most) for each view; beyond every probability where it may not teach.
-    sure: list[tuple[float, float]] = field(default_factory=list)
+    #: (from, below) in steps for each view; BINS and 0 where it may not teach.
+    sure: list[tuple[int, int]] = field(default_factory=list)
     stack: Logistic = field(default_factory=Logistic)
 
     def total(self, b: Batch, which: int) -> np.ndarray:
@@ -173,12 +179,12 @@ def taught(b: Batch, t: str, history: list[Views]) -> np.ndarray:
     for v in history:
         if not v.sure:
             continue
-        p = sigmoid(v.logits(b))
+        at = steps(v.logits(b))
         for view, other in ((0, 1), (1, 0)):
-            low, high = v.sure[view][1], v.sure[view][0]
+            high, low = v.sure[view]
             new = free & np.isnan(out[:, other])
-            out[new & (p[:, view] >= high), other] = 1.0
-            out[new & (p[:, view] <= low), other] = 0.0
+            out[new & (at[:, view] >= high), other] = 1.0
+            out[new & (at[:, view] < low), other] = 0.0
     return out
 
 
@@ -270,12 +276,12 @@ def fit(v: Views, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def histograms(features: DataFrame, targets: tuple[str, ...], state: dict[str, list[Views]]) -> dict[str, np.ndarray]:
-    """target -> counts[view, bin of the probability] over all unlabelled rows that the other view has no label for yet."""
+    """target -> counts[view, step] over all unlabelled rows that the other view has no label for yet."""
 
     def one(b: Batch, history: dict) -> Iterator[pa.RecordBatch]:
         for k, t in enumerate(targets):
-            p, two, free = sigmoid(history[t][-1].logits(b)), taught(b, t, history[t][:-1]), np.isnan(b.y[t])
-            at = np.concatenate([view * BINS + np.minimum(p[:, view] * BINS, BINS - 1).astype(np.int64)[free & np.isnan(two[:, 1 - view])] for view in (0, 1)])
+            sure, two, free = steps(history[t][-1].logits(b)), taught(b, t, history[t][:-1]), np.isnan(b.y[t])
+            at = np.concatenate([view * BINS + sure[free & np.isnan(two[:, 1 - view]), view] for view in (0, 1)])
             keys, n = np.unique(at, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), k), pa.int32()), pa.array(keys), pa.array(n)], names=["target", "key", "n"])
 
@@ -286,23 +292,18 @@ def histograms(features: DataFrame, targets: tuple[str, ...], state: dict[str, l
     return {t: x.reshape(2, BINS) for t, x in out.items()}
 
 
-def confidence(counts: np.ndarray, most: float, base: float, p: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """(at least, at most): the probabilities from which a view teaches that a document is of the class, or is not.
+def confidence(counts: np.ndarray, most: float, base: float, at: np.ndarray, y: np.ndarray) -> tuple[int, int]:
+    """(from, below): the steps from which a view teaches that a document is of the class, and below which that it is not.
 
-    They are the quantiles that leave most documents in the classes' proportion, in whole bins, and hold only where held-out
-    documents as sure bear them out.
+    They are the quantiles that leave most documents in the classes' proportion, in whole steps, and hold only where held-out
+    documents as sure, of steps at and labels y, bear them out.
     """
     down = np.cumsum(counts)
     up = np.cumsum(counts[::-1])
     n_up, n_down = int(np.searchsorted(up, most * base, side="right")), int(np.searchsorted(down, most * (1 - base), side="right"))
-    high, low = 1 - n_up / BINS, n_down / BINS - 1e-12
-    for found, label in ((p >= high, 1), (p <= low, 0)):
-        right = (y[found] == label).mean() if found.sum() >= LEAST_HELD else 0.0
-        if right < SURE and label:
-            high = 2.0
-        elif right < SURE:
-            low = -1.0
-    return (high if n_up else 2.0), (low if n_down else -1.0)
+    high, low = BINS - n_up, n_down
+    borne = lambda found, label: found.sum() >= LEAST_HELD and (y[found] == label).mean() >= SURE
+    return (high if borne(at >= high, 1) else BINS), (low if borne(at < low, 0) else 0)
 
 
 def co_train(features: DataFrame, targets: tuple[str, ...], max_labelled: int = MAX_LABELLED) -> tuple[dict[str, Views | float], list[dict]]:
@@ -327,12 +328,11 @@ def co_train(features: DataFrame, targets: tuple[str, ...], max_labelled: int =
             break
         bins = histograms(features, both, state)
         for t in both:
-            p = sigmoid(held[t][0])
-            state[t][-1].sure = [confidence(bins[t][view], most[t], mean[t], p[:, view], held[t][1]) for view in (0, 1)]
+            at = steps(held[t][0])
+            state[t][-1].sure = [confidence(bins[t][view], most[t], mean[t], at[:, view], held[t][1]) for view in (0, 1)]
             for view in (0, 1):
                 high, low = state[t][-1].sure[view]
-                edges = np.arange(BINS) / BINS
-                log.append({"round": k, "target": t, "view": ("text", "meta")[view], "up": float(bins[t][view][edges >= high - 1e-9].sum()), "down": float(bins[t][view][edges + 1 / BINS <= low + 1e-9].sum())})
+                log.append({"round": k, "target": t, "view": ("text", "meta")[view], "up": float(bins[t][view][high:].sum()), "down": float(bins[t][view][:low].sum())})
     return {t: state[t] if t in both else mean[t] for t in targets}, log
 
 
