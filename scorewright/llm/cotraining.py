@@ -201,7 +201,8 @@ def passes(features: DataFrame, targets: tuple[str, ...], state: dict[str, list[
 
 
 def word_counts(features: DataFrame, targets: tuple[str, ...], state: dict[str, list[Views]]) -> dict[str, np.ndarray]:
-    """target -> counts[half, class, word] over every row that the text view learns from, and their number in the last place."""
+    """target -> counts[half, class, word] over every row that the text view learns from, of the words that tell the classes apart
+    in a half or in both, and the rows' number in the last place."""
     width = (1 << HASH_BITS) + 1
 
     def one(b: Batch, history: dict) -> Iterator[pa.RecordBatch]:
@@ -213,14 +214,29 @@ def word_counts(features: DataFrame, targets: tuple[str, ...], state: dict[str,
             keys, n = np.unique(at[at >= 0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), k), pa.int32()), pa.array(keys), pa.array(n)], names=["target", "key", "n"])
 
-    got = passes(features, targets, state, "target int, key long, n long", one).groupBy("target", "key").agg(F.sum("n").alias("n")).toPandas()
-    out = {t: np.zeros(4 * width) for t in targets}
+    each = passes(features, targets, state, "target int, key long, n long", one).select("target", (F.col("key") % width).alias("word"), F.floor(F.col("key") / width).alias("cell"), "n")
+    cells = checkpoint(each.groupBy("target", "word").agg(*(F.coalesce(F.sum(F.when(F.col("cell") == c, F.col("n"))), F.lit(0)).cast("double").alias(f"c{c}") for c in range(4))))
+    out = {t: np.zeros((4, width)) for t in targets}
+    for r in cells.where(F.col("word") == width - 1).collect():
+        out[targets[r.target]][:, -1] = r[2:]
     for k, t in enumerate(targets):
-        mine = got[got["target"] == k]
-        out[t][mine["key"].to_numpy()] = mine["n"].to_numpy()
+        n = out[t][:, -1]
+        telling = F.lit(False)
+        for own in ((0, 1), (2, 3), (0, 1, 2, 3)):
+            b, a = (sum(F.col(f"c{c}") for c in own if c % 2 == y) for y in (0, 1))
+            telling = telling | (likelihood(a, b, float(sum(n[c] for c in own if c % 2)), float(sum(n[c] for c in own if c % 2 == 0))) >= MIN_G2 * 0.999)
+        for r in cells.where((F.col("target") == k) & (F.col("word") < width - 1) & telling).collect():
+            out[t][:, r.word] = r[2:]
     return {t: x.reshape(2, 2, width) for t, x in out.items()}
 
 
+def likelihood(a: F.Column, b: F.Column, n1: float, n0: float) -> F.Column:
+    """A word's likelihood ratio in SQL, so that only words that tell the classes apart leave the cluster."""
+    n, m = max(n1 + n0, 1.0), a + b
+    cell = lambda o, e: F.when((o > 0) & (e > 0), o * F.ln(o / e)).otherwise(F.lit(0.0))
+    return 2 * (cell(a, m * n1 / n) + cell(b, m * n0 / n) + cell(n1 - a, (n - m) * n1 / n) + cell(n0 - b, (n - m) * n0 / n))
+
+
 def odds(counts: np.ndarray) -> np.ndarray:
     """Log-odds of the words between the classes, where they tell them apart; counts[class, word], rows last."""
     (b, n0), (a, n1) = ((c[:-1], c[-1]) for c in counts)
@@ -322,6 +338,8 @@ def co_train(features: DataFrame, targets: tuple[str, ...], max_labelled: int =
             state[t].append(Views([odds(counts[t].sum(axis=0)), odds(counts[t][0]), odds(counts[t][1])]))
         rows = sampled(features, both, state, drawn)
         held = {t: fit(state[t][-1], rows[t]) for t in both}
+        for t in both:
+            del state[t][-1].word[1:]  # the halves' own weights have served
         if k == ROUNDS:
             for t in both:
                 state[t][-1].stack.fit(*held[t])
