@@ -9,7 +9,7 @@ interleave letter by letter, without sorting suffixes of different shards agains
 LENGTH / STEP refinements order all suffixes by LENGTH bytes; places where blocks split on the way are the common
 prefixes, and the blocks left are the repeated intervals. An interval's least document takes the string.
 
-Texts are held in blocks of a few MB, compressed; between stages move the blocks, hashes, distinct segments and a bit or
+Texts are held in blocks of some MB, compressed; between stages move the blocks, hashes, distinct segments and a bit or
 an id for each: a copy or a passage in a third of all documents is one segment a block.
 """
 
@@ -30,16 +30,19 @@ from .common import checkpoint, read_table
 
 LENGTH, GRAM, STEP = 50, 20, 5
 SPAN = LENGTH - GRAM + 1
-BLOCK = 4_000_000
+#: Rows that move are blocks times parts, so both are as large as an executor's memory allows.
+BLOCK = 16_000_000
 #: Bytes of text for each part of the hash space, and the least number of parts.
-PART, LEAST_PARTS = 8_000_000, 64
+PART, LEAST_PARTS = 24_000_000, 64
 SHARDS = 8
 #: An anchor found more often than this is hot: its windows go to parts one by one, by a hash of the whole window.
 HOT = 10_000
-#: Bytes of segments that are merged at once; anchors are kept whole, and none but a hot one has more.
-BATCH = 1_000_000
+#: Bytes of segments that are merged at once, so few that they stay in the cache; anchors are kept whole.
+BATCH = 100_000
+#: Windows that are looked at together: their places fit in 16 bits.
+PIECE = 1 << 15
 U = np.uint64
-_BYTES = np.random.default_rng(11).integers(1, 2**63, 256).astype(U) | U(1)
+_BYTES = np.random.default_rng(11).integers(1, 2**32, 256).astype(np.uint32) | np.uint32(1)
 _TURN = U(0x9E3779B97F4A7C15)
 LAST = np.iinfo(np.int64).max
 #: Stands for the least document of a segment whose windows have different ones.
@@ -83,19 +86,56 @@ def blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return checkpoint(at.mapInArrow(run, "block long, ids array<long>, none array<boolean>, sizes array<long>, data binary"))
 
 
+def sorted_with_order(x: np.ndarray, bits: int = 40) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of that many bits in order, and their places, equal ones by place."""
+    if len(x) >> (64 - bits):
+        order = np.argsort(x, kind="stable")
+        return x[order], order
+    key = x.astype(U)
+    key <<= U(64 - bits)
+    key |= np.arange(len(x), dtype=U)
+    key.sort()
+    order = (key & U((1 << (64 - bits)) - 1)).view(np.int64)
+    key >>= U(64 - bits)
+    return key.view(x.dtype), order
+
+
+def heads_of(x: np.ndarray) -> np.ndarray:
+    """True where sorted numbers differ from the one before."""
+    out = np.ones(len(x), bool)
+    out[1:] = x[1:] != x[:-1]
+    return out
+
+
 def grams(raw: np.ndarray) -> np.ndarray:
-    """A hash of the GRAM bytes from each place along the last axis."""
-    mix = lambda x: (x ^ (x >> U(29))) * U(0xBF58476D1CE4E5B9)
+    """A hash of 16 bits, the upper half of 32, of the GRAM bytes from each place along the first axis: by it a window chooses its anchor."""
     h = _BYTES[raw]
-    for k in (1, 2, 4, 8):
+    for k, turn in ((1, 0x85EBCA6B), (2, 0xC2B2AE35), (4, 0x27D4EB2F), (8, 0x165667B1)):
         h4 = h if k == 4 else None if k < 4 else h4
-        h = mix(h[..., :-k] * _TURN + h[..., k:])
-    h = mix(h[..., :-4] * _TURN + h4[..., 16:])
-    return h ^ (h >> U(32))
+        x = h[:-k] * np.uint32(turn)
+        x += h[k:]
+        h = x
+    h = h[:-4] * np.uint32(0x9E3779B1)
+    h += h4[16:]
+    h ^= h >> np.uint32(16)
+    h *= np.uint32(0x85EBCA77)
+    h &= np.uint32(0xFFFF0000)
+    return h
+
+
+def hash_at(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A hash of the GRAM bytes from each of these places of contiguous bytes, over the whole range."""
+    eight = np.ndarray((max(len(raw) - 7, 0),), "<u8", raw, strides=(1,))
+    x = eight[at] * _TURN
+    for k in (8, GRAM - 8):
+        x ^= x >> U(32)
+        x += eight[at + k]
+        x *= U(0xBF58476D1CE4E5B9)
+    return spread(x)
 
 
 def spread(g: np.ndarray) -> np.ndarray:
-    """Hashes again, over the whole range: anchors are least hashes, which crowd at its lower end."""
+    """Hashes again, over the whole range."""
     x = g * _TURN
     x = (x ^ (x >> U(32))) * U(0xBF58476D1CE4E5B9)
     return x ^ (x >> U(29))
@@ -104,27 +144,32 @@ def spread(g: np.ndarray) -> np.ndarray:
 def runs(raw: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, start, windows, doc): successive windows inside a document that share their anchor."""
     ends = np.cumsum(sizes)
+    short = np.minimum(sizes, LENGTH - 1)  # the last places of a document start no window
+    whole = np.ones(len(raw), bool)
+    whole[np.repeat(ends - np.cumsum(short), short) + np.arange(short.sum())] = False
     out: list[tuple[np.ndarray, ...]] = []
-    for at in range(0, max(len(raw) - LENGTH + 1, 0), 1 << 16):  # small pieces stay in the cache
-        part = raw[at : at + (1 << 16) + LENGTH - 1]
-        g = grams(part)
-        key = (g >> U(20) << U(20)) | np.arange(len(g), dtype=U)
-        low, width = key, 1
+    for at in range(0, max(len(raw) - LENGTH + 1, 0), PIECE):  # small pieces stay in the cache
+        part = raw[at : at + PIECE + LENGTH - 1]
+        low, width = grams(part), 1
+        low |= np.arange(len(low), dtype=np.uint32)
         while 2 * width <= SPAN:
             low = np.minimum(low[:-width], low[width:])
             width *= 2
         low = np.minimum(low[: len(low) - (SPAN - width)], low[SPAN - width :])
-        start = np.arange(at, at + len(low))
-        doc = np.searchsorted(ends, start, side="right")
-        ok = np.flatnonzero(ends[doc] - start >= LENGTH)
-        if not len(ok):
-            continue
-        anchor, doc = (low[ok] & U((1 << 20) - 1)).astype(np.int64), doc[ok]
-        head = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (ok[1:] != ok[:-1] + 1)]))
-        out.append((spread(g[anchor[head]]) >> U(24), start[ok[head]], np.diff(np.append(head, len(ok))), doc[head]))
+        ok = whole[at : at + len(low)]
+        new = np.ones(len(low) + 1, bool)  # a run ends, by its anchor, before such a place
+        new[1:-1] = low[1:] != low[:-1]
+        head, tail = new[:-1].copy(), new[1:].copy()
+        head[1:] |= ~ok[:-1]
+        tail[:-1] |= ~ok[1:]
+        head, tail = np.flatnonzero(head & ok), np.flatnonzero(tail & ok)
+        if len(head):
+            anchor = (low[head] & np.uint32(0xFFFF)).astype(np.int64)
+            out.append((hash_at(part, anchor) >> U(24), at + head, tail - head + 1))
     if not out:
         return np.zeros(0, U), *(np.zeros(0, np.int64) for _ in range(3))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+    h, start, n = (np.concatenate(x) for x in zip(*out, strict=True))
+    return h, start, n, np.searchsorted(ends, start, side="right")
 
 
 def by_part(h: np.ndarray, parts: int) -> np.ndarray:
@@ -133,7 +178,7 @@ def by_part(h: np.ndarray, parts: int) -> np.ndarray:
 
 
 def opened(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, dict]]:
-    for row in batch.to_pylist():
+    for row in (batch.slice(k, 1).to_pylist()[0] for k in range(batch.num_rows)):
         yield row["block"], np.frombuffer(zlib.decompress(row["data"]), np.uint8), np.array(row["sizes"], np.int64), np.array(row["ids"], np.int64), row
 
 
@@ -144,9 +189,9 @@ def anchors(held: DataFrame, parts: int) -> DataFrame:
         for batch in batches:
             for block, raw, sizes, _, _ in opened(batch):
                 h, _, _, doc = runs(raw, sizes)
-                order = np.argsort(h, kind="stable")
-                h, doc = h[order], doc[order]
-                first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+                h, order = sorted_with_order(h)
+                doc = doc[order]
+                first = np.flatnonzero(heads_of(h))
                 twice = doc[first] != doc[np.append(first[1:], len(h)) - 1] if len(h) else np.zeros(0, bool)
                 counts = np.diff(np.append(first, len(h)))
                 h = h[first]
@@ -172,15 +217,18 @@ def shared(rows: DataFrame, parts: int) -> DataFrame:
         for part, group in grouped(batches):
             own = [unsqueeze(r["hashes"]) for r in group]
             twice = [np.unpackbits(np.frombuffer(r["twice"], np.uint8), count=len(h)).astype(bool) for r, h in zip(group, own, strict=True)]
-            every = np.concatenate(own)
-            order = np.argsort(every, kind="stable")
-            every = every[order]
-            head = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+            every, order = sorted_with_order(np.concatenate(own))
+            new = heads_of(every)
+            head, group_of = np.flatnonzero(new), np.cumsum(new, dtype=np.int32) - 1
             total = lambda x: np.add.reduceat(np.concatenate(x)[order].astype(np.int64), head)  # noqa: E731, B023
             many = (np.diff(np.append(head, len(every))) > 1) | (total(twice) > 0)
             hot = total([unsqueeze(r["counts"]) for r in group]) > HOT
-            at = [np.searchsorted(every[head], h) for h in own]
-            bits, heat = ([np.packbits(x[k]).tobytes() for k in at] for x in (many, hot))
+            ends = np.cumsum(list(map(len, own)))
+            back = np.empty(len(every), bool)
+            bits, heat = [], []
+            for x, out in ((many, bits), (hot, heat)):
+                back[order] = x[group_of]
+                out += [np.packbits(back[e - len(h) : e]).tobytes() for e, h in zip(ends.tolist(), own, strict=True)]
             cols = ([r["block"] for r in group], [part] * len(group), bits, heat)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["block", "part", "bits", "hot"])
 
@@ -189,24 +237,24 @@ def shared(rows: DataFrame, parts: int) -> DataFrame:
 
 def windows_part(raw: np.ndarray, start: np.ndarray, parts: int) -> np.ndarray:
     """The part of each window that starts there, by a hash of all its bytes."""
-    out = np.empty(len(start), np.int64)
-    for at in range(0, len(start), 4096):
-        g = grams(raw[start[at : at + 4096, None] + np.arange(LENGTH)])
-        h = spread(spread(spread(g[:, 0]) + g[:, GRAM]) + g[:, LENGTH - GRAM])
-        out[at : at + 4096] = ((h >> U(24)) * U(parts)) >> U(40)
-    return out
+    h = np.zeros(len(start), U)
+    for k in (0, GRAM, LENGTH - GRAM):
+        h = spread(h) + hash_at(raw, start + k)
+    return (((spread(h) >> U(24)) * U(parts)) >> U(40)).astype(np.int64)
 
 
 def open_runs(row: dict, raw: np.ndarray, sizes: np.ndarray, parts: int) -> tuple[np.ndarray, ...]:
     """(part, start, windows, doc) of the runs whose anchor more than one document has; a hot anchor's are single windows."""
     h, start, n, doc = runs(raw, sizes)
-    u = np.unique(h)
+    every, order = sorted_with_order(h)
+    new = heads_of(every)
+    u, at = every[new], np.empty(len(h), np.int64)
+    at[order] = np.cumsum(new) - 1
     cut, keep, hot = by_part(u, parts), np.zeros(len(u), bool), np.zeros(len(u), bool)
     for x in row["answers"] or ():
         a, b = cut[x["part"]], cut[x["part"] + 1]
         for out, name in ((keep, "bits"), (hot, "hot")):
             out[a:b] = np.unpackbits(np.frombuffer(x[name], np.uint8), count=b - a)
-    at = np.searchsorted(u, h)
     hit = np.flatnonzero(keep[at] & ~hot[at]) if len(h) else np.zeros(0, np.int64)
     each = np.flatnonzero(keep[at] & hot[at]) if len(h) else hit
     nth = np.arange(n[each].sum()) - np.repeat(np.cumsum(n[each]) - n[each], n[each])
@@ -256,17 +304,28 @@ def transform(letters: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.nd
     rank = letters + len(sizes)
     rank[np.cumsum(sizes) - 1] = np.arange(len(sizes))
     left = np.repeat(np.cumsum(sizes), sizes) - 1 - np.arange(n)  # letters up to the string's end
-    step = 1
+    step, bits = 1, n.bit_length()
     while True:
         after = np.minimum(np.arange(n) + np.minimum(step, left), n - 1)
-        key = (rank.astype(U) << U(32)) | rank[after].astype(U)
-        values, rank = np.unique(key, return_inverse=True)
-        if len(values) == n:
+        wide = int(rank.max()).bit_length()
+        if 2 * wide + bits <= 64:
+            key = (rank.astype(U) << U(wide + bits)) | (rank[after].astype(U) << U(bits)) | np.arange(n, dtype=U)
+            key.sort()
+            order = (key & U((1 << bits) - 1)).astype(np.int64)
+            key >>= U(bits)
+        else:
+            key = (rank.astype(U) << U(32)) | rank[after].astype(U)
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+        values = np.cumsum(heads_of(key))
+        rank = np.empty(n, np.int64)
+        rank[order] = values - 1
+        if values[-1] == n:
             break
         step *= 2
-    order = np.empty(n, np.int64)
-    order[rank] = np.arange(n)
-    before = np.where(np.isin(order, np.cumsum(sizes) - sizes, assume_unique=True), 0, letters[order - 1])
+    first = np.zeros(n, bool)
+    first[np.cumsum(sizes) - sizes] = True
+    before = np.where(first[order], 0, letters[order - 1])
     return order, before
 
 
@@ -281,19 +340,21 @@ def interleave(shards: list[np.ndarray], strings: list[int], rounds: int) -> tup
     bwt, ends = np.concatenate(shards), np.repeat(np.arange(len(shards)), strings)
     source = np.repeat(np.arange(len(shards)), list(map(len, shards))).astype(np.uint8)
     n = len(bwt)
-    group, prefix = np.zeros(n, np.int64), np.full(n, rounds)
+    bwt = bwt.astype(np.uint32)
+    group, prefix = np.zeros(n, np.int32), np.full(n, rounds, np.int32)
     prefix[0] = 0
     for k in range(rounds):
-        letter = np.empty(n, np.int64)
+        letter = np.empty(n, np.uint32)
         letter[np.argsort(source, kind="stable")] = bwt
         key = (letter.astype(U) << U(32)) | np.arange(n, dtype=U)
         key.sort()
-        order, letter = (key[len(ends) :] & U(2**32 - 1)).astype(np.int64), (key[len(ends) :] >> U(32)).astype(np.int64)
+        key = key[len(ends) :]
+        order, letter = key.astype(np.uint32), (key >> U(32)).astype(np.uint32)
         new = np.ones(n, bool)
         own = group[order]
         new[len(ends) + 1 :] = (letter[1:] != letter[:-1]) | (own[1:] != own[:-1])
         source = np.concatenate([ends.astype(np.uint8), source[order]])
-        group = np.cumsum(new)
+        group = np.cumsum(new, dtype=np.int32)
         prefix[new & (prefix == rounds)] = k
     return source, prefix
 
@@ -304,8 +365,9 @@ def least_documents(segs: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
     raw = np.frombuffer(b"".join(segs), np.uint8).astype(np.int64)
     base = np.cumsum(size) - size
     value = sum(np.concatenate([raw[k:], np.zeros(k, np.int64)]) << (8 * k) for k in range(STEP))
-    _, code = np.unique(value, return_inverse=True)
-    code += 1  # 0 ends a string
+    value, order = sorted_with_order(value, 8 * STEP)
+    code = np.empty(len(raw), np.int64)
+    code[order] = np.cumsum(heads_of(value))  # from 1; 0 ends a string
     # Five strings of letters for each segment, from its first five places, segments in SHARDS shards.
     seg = np.repeat(np.arange(len(segs)), STEP)
     phase = np.tile(np.arange(STEP), len(segs))
@@ -343,29 +405,31 @@ def least_documents(segs: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
 
 
 def anchor_keys(segs: list[bytes]) -> np.ndarray:
-    """The least hash, which all windows of a segment share, of each segment."""
+    """The hash of the anchor, which all windows of a segment share, of each segment."""
     out = [np.zeros(0, U)]
     for at in range(0, len(segs), 4096):
-        first = np.frombuffer(b"".join(s[:LENGTH] for s in segs[at : at + 4096]), np.uint8).reshape(-1, LENGTH)
-        out.append((grams(first) >> U(20)).min(axis=1))
+        first = np.frombuffer(b"".join(s[:LENGTH] for s in segs[at : at + 4096]), np.uint8)
+        anchor = np.argmin(grams(np.ascontiguousarray(first.reshape(-1, LENGTH).T)), axis=0)
+        out.append(hash_at(first, np.arange(len(anchor)) * LENGTH + anchor) >> U(24))
     return np.concatenate(out)
 
 
 def all_least(segs: list[bytes], docs: np.ndarray) -> tuple[np.ndarray, dict[int, np.ndarray]]:
     """(least, windows): the least document of each segment of a part, or VARIED and by number the least of each of its windows.
 
-    Segments are merged only with those of the same anchor, some anchors at a time.
+    Segments are merged only with those of the same anchor, some anchors at a time; where all have one least document, it is every window's.
     """
     size = np.array(list(map(len, segs)), np.int64)
     least, windows = docs.copy(), {}
     key = anchor_keys(segs)
-    order = np.argsort(key, kind="stable")
-    head = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]])) if len(segs) else np.zeros(0, np.int64)
+    key, order = sorted_with_order(key)
+    head = np.flatnonzero(heads_of(key))
     if not len(head):
         return least, windows
     longest, count = np.maximum.reduceat(size[order], head), np.diff(np.append(head, len(segs)))
+    several = np.minimum.reduceat(docs[order], head) < np.maximum.reduceat(docs[order], head)
     batch, held = [], 0
-    for k in np.flatnonzero((count > 1) & (longest > LENGTH)).tolist() + [-1]:
+    for k in np.flatnonzero((count > 1) & (longest > LENGTH) & several).tolist() + [-1]:
         if batch and (k < 0 or held > BATCH):
             mine = np.concatenate(batch)
             for i, x in zip(mine.tolist(), least_documents([segs[i] for i in mine], docs[mine]), strict=True):
@@ -389,7 +453,7 @@ def intervals(rows: DataFrame, parts: int) -> DataFrame:
             least: list[int] = []
             numbers = []
             for r in group:
-                data, at, own = zlib.decompress(r["data"]), 0, []
+                data, at, own = zlib.decompress(r.pop("data")), 0, []
                 for n, d in zip(r["sizes"], unsqueeze(r["docs"]).tolist(), strict=True):
                     k = known.setdefault(data[at : at + n], len(known))
                     at += n
@@ -416,7 +480,7 @@ def removed(held: DataFrame, parts: int, with_text: bool) -> DataFrame:
             for _, raw, sizes, ids, row in opened(batch):
                 part, start, n, doc = open_runs(row, raw, sizes, parts)
                 found, own = distinct_segments(raw, part, start, n)
-                edge = np.zeros(len(raw) + LENGTH + 1, np.int32)
+                edge = np.zeros(len(raw) + LENGTH + 1, np.int8)  # at most LENGTH windows hold a byte
                 order = np.argsort(part, kind="stable")
                 cut = np.searchsorted(part[order], np.arange(parts + 1))
                 for x in row["results"] or ():
@@ -436,15 +500,21 @@ def removed(held: DataFrame, parts: int, with_text: bool) -> DataFrame:
                     place = start[run_of[less]] + nth[less]
                     np.add.at(edge, place, 1)
                     np.add.at(edge, place + LENGTH, -1)
-                gone = np.cumsum(edge[: len(raw)]) > 0
-                heads = gone.copy()
-                heads[1:] &= ~gone[:-1]
+                gone = np.cumsum(edge[: len(raw)], dtype=np.int8, out=edge[: len(raw)]) > 0
                 ends = np.cumsum(sizes)
                 begins = ends - sizes
-                heads[begins[sizes > 0]] = gone[begins[sizes > 0]]
-                c_gone, c_head = (np.concatenate([[0], np.cumsum(x)]) for x in (gone, heads))
-                kept = [raw[a:b][~gone[a:b]].tobytes() if c_gone[b] > c_gone[a] else raw[a:b].tobytes() for a, b in zip(begins, ends, strict=True)]
-                cols = [[None if z else i for i, z in zip(ids.tolist(), row["none"], strict=True)], sizes, c_gone[ends] - c_gone[begins], c_head[ends] - c_head[begins], [hashlib.sha256(k).hexdigest() for k in kept], kept if with_text else None]
+                some = begins[sizes > 0]
+                heads, tails = gone.copy(), gone.copy()  # the first and last places of removed runs, which documents' bounds part
+                heads[1:] &= ~gone[:-1]
+                tails[:-1] &= ~gone[1:]
+                heads[some] = gone[some]
+                tails[ends[sizes > 0] - 1] = gone[ends[sizes > 0] - 1]
+                heads, tails = np.flatnonzero(heads), np.flatnonzero(tails)
+                lengths = np.concatenate([[0], np.cumsum(tails - heads + 1)])
+                low, high = np.searchsorted(heads, begins), np.searchsorted(heads, ends)
+                n_removed = lengths[high] - lengths[low]
+                kept = [raw[a:b][~gone[a:b]].tobytes() if g else raw[a:b].tobytes() for a, b, g in zip(begins.tolist(), ends.tolist(), n_removed.tolist(), strict=True)]
+                cols = [[None if z else i for i, z in zip(ids.tolist(), row["none"], strict=True)], sizes, n_removed, high - low, [hashlib.sha256(k).hexdigest() for k in kept], kept if with_text else None]
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
                 k = 6 if with_text else 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols[:k], kinds[:k], strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][:k])

@@ -312,6 +312,49 @@ def test_interleave_equals_a_sort():
         assert list(out) == [min(d for t, d in zip(segs, docs, strict=True) if s[k : k + 50] in t) for k in range(len(s) - 49)]
 
 
+def test_suffix_rows_that_move(spark):
+    """Rows that move are blocks times parts: 14 MB of one partition are one block."""
+    data = [(i, chr(97 + i) * 1_000_000) for i in range(14)]
+    held = suffix_dedup.blocks(spark.createDataFrame(data, "doc_id long, text string").coalesce(1), "doc_id", "text")
+    assert held.count() == 1 and suffix_dedup.anchors(held, 3).count() <= 3
+
+
+def test_segments_of_one_document_are_not_merged(monkeypatch):
+    segs = [b"a" * 60 + bytes([98 + k]) * 9 for k in range(3)]
+    segs = [s for s, key in zip(segs, suffix_dedup.anchor_keys(segs), strict=True) if key == suffix_dedup.anchor_keys(segs)[0]]
+    monkeypatch.setattr(suffix_dedup, "least_documents", None)
+    least, windows = suffix_dedup.all_least(segs, np.full(len(segs), 7))
+    assert len(segs) == 3 and list(least) == [7, 7, 7] and not windows
+
+
+def test_runs_hold_every_window_once():
+    rng = np.random.default_rng(4)
+    some = rng.integers(97, 123, 3000).astype(np.uint8)
+    texts = [some, some[:49], some[:50], np.zeros(0, np.uint8), np.full(70_000, 97, np.uint8), some[700:], np.tile(some[:7], 30), rng.integers(97, 99, 40_000).astype(np.uint8)]
+    sizes = np.array(list(map(len, texts)))
+    raw, ends = np.concatenate(texts), np.cumsum(sizes)
+    h, start, n, doc = suffix_dedup.runs(raw, sizes)
+    at = np.concatenate([np.arange(s, s + k) for s, k in zip(start, n, strict=True)])
+    assert list(at) == [s for a, b in zip(ends - sizes, ends, strict=True) for s in range(a, b - 49)] and n.max() <= suffix_dedup.SPAN
+    assert ((start >= (ends - sizes)[doc]) & (start + n + 49 <= ends[doc])).all()
+    found, data = {}, raw.tobytes()
+    for s, x in zip(at.tolist(), np.repeat(h, n).tolist(), strict=True):
+        assert found.setdefault(data[s : s + 50], x) == x
+
+
+def test_sorts_of_packed_numbers_and_of_others():
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 40, 200).astype(np.uint64)
+    for bits in (40, 60):  # 60 leave no room for the places
+        got, order = suffix_dedup.sorted_with_order(x, bits)
+        assert list(order) == list(np.argsort(x, kind="stable")) and list(got) == sorted(x)
+    sizes = np.array([5, 1, 9, 5])
+    letters = rng.integers(1, 4, sizes.sum())
+    letters[np.cumsum(sizes) - 1] = 0
+    (order, before), (order2, before2) = suffix_dedup.transform(letters, sizes), suffix_dedup.transform(letters << 29, sizes)
+    assert list(order) == list(order2) and list(before << 29) == list(before2)
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(9)
     v = rng.standard_normal((40, 16)).astype(np.float32)
