@@ -1,6 +1,6 @@
 """Evaluation statistics and the audit of how scores were aggregated.
 
-rows has line LONG, task_id, model STRING, score DOUBLE or null (errored), max_score DOUBLE, cluster STRING or null,
+rows has line LONG or DECIMAL(38, 0), task_id, model STRING, score DOUBLE or null (errored), max_score DOUBLE, cluster STRING or null,
 sample LONG or null. Everything is aggregates over (model, task), then (model, cluster), then model; no step holds a
 model's or a cluster's tasks together.
 """

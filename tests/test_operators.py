@@ -178,3 +178,23 @@ def test_strength():
 
     grade = lambda body: syntax.strength(ast.parse("def test_a():\n    " + body).body[0])
     assert [grade(b) for b in ("assert x == 1", "assert x in y", "assert x == 1; assert x in y", "pass", "assert x is not None", "assert x", "m.assert_called_once()", "snapshot.assert_match(x)", "assert x == 1 or x")] == ["S1", "S2", "S3", "W1", "W2", "W3", "W4", "W5", "W3"]
+
+
+def test_line_numbers_beyond_bigint(spark, tmp_path):
+    from scorewright.plans.queries import QUERIES
+
+    def lines(folder, *orders):
+        made = [(o, 7, 3, n, 12.34, d, 0.0, "A" if o % 2 else "N") for o in orders for n, d in ((1, 0.05), (1, 0.1))]
+        kind = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_extendedprice double, l_discount double, l_tax double, l_returnflag string"
+        spark.createDataFrame(made, kind).write.parquet(str(tmp_path / folder / "lineitem.parquet"))
+        return str(tmp_path / folder)
+
+    near, far = lines("near", 1, 2), lines("far", 1, 9_000_000)
+    for name in ("counts", "duplicates", "findings", "flags", "one_model", "model_scores", "outside", "pairs"):
+        assert QUERIES[f"power_{name}"](spark, far).count() == QUERIES[f"power_{name}"](spark, near).count(), name
+    assert QUERIES["running_scores"](spark, far).count() == 2
+    at = lambda o: ((o * 100000 + 7) * 1000 + 3) * 100000 + 1234
+    first = lambda d: {(r.model, int(r.first_outside)) for r in QUERIES["power_outside"](spark, d).where("outside > 0").collect()}
+    assert first(far) == {("A", at(1)), ("N", at(9_000_000))} and first(near) == {("A", at(1)), ("N", at(2))}
+    kind = lambda d: dict(QUERIES["power_outside"](spark, d).dtypes)["first_outside"]
+    assert (kind(near), kind(far)) == ("bigint", "decimal(38,0)")
