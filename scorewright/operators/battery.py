@@ -3,43 +3,64 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import partial
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorewright.functions.candidates import candidates
 from scorewright.functions.ids import REFUSALS, canonical_json
 from scorewright.functions.programs import RELATIONS, collision, is_reference, is_state, same_program
+from scorewright.functions.share import bounded, dealt_evenly, kept
 from scorewright.plugins import extended
 
 CANDIDATE = "task_id string, nth int, operator string, detail string, key string, text string, files map<string,string>, commands array<string>, parameters array<string>, ground string, carries boolean, withdrawn boolean"
+_S = pa.string()
+ARROW = pa.schema({"task_id": _S, "nth": pa.int32(), "operator": _S, "detail": _S, "key": _S, "text": _S, "files": pa.map_(_S, _S), "commands": pa.list_(_S), "parameters": pa.list_(_S), "ground": _S, "carries": pa.bool_(), "withdrawn": pa.bool_()})
+CONTROL = pa.schema({"task_id": _S, "nth": pa.int32(), "relation": _S, "text": _S})
+
+
+def proposed(reference: str, shape: str, more: Callable[[str, str], Iterable]) -> list[tuple]:
+    """What CANDIDATE has beside the task, for every proposal to one reference."""
+    out = []
+    refusing = bool(reference) and any(m in reference.casefold().replace("’", "'") for m in REFUSALS)
+    stated = bool(reference) and is_state(reference)
+    for nth, c in enumerate(sorted([*candidates(reference, shape), *more(reference, shape)], key=lambda c: c.operator)):
+        texts = [c.text] if c.text is not None else list(c.files.values())
+        form = {"kind": "workspace", "files": c.files, "commands": c.commands, "parameters": c.parameters}
+        key = f"source:{c.text.strip()}" if c.text is not None else f"workspace:{canonical_json(form).decode()}"
+        carries = c.ground is not None and bool(reference) and any(is_reference(t, reference) for t in texts)
+        withdrawn = c.ground is not None and not carries and (refusing or (stated and c.ground in ("differential", "invariant")))
+        out.append((nth, c.operator, c.detail, key, c.text, None if c.files is None else list(c.files.items()), list(c.commands), list(c.parameters), None if withdrawn else c.ground, carries, withdrawn))
+    return out
+
+
+@kept(256)
+def own_proposals(reference: str, shape: str) -> list[tuple]:
+    return proposed(reference, shape, lambda *_: ())
 
 
 def proposals(tasks: DataFrame, operators: dict[str, type] | None = None) -> DataFrame:
     """tasks: task_id, shape, reference -> every proposal in order, whether it carries the reference, and its ground as withdrawn
     where the reference is a refusal. operators are those of extensions, plugins.load's, beside the library's own."""
-    more = extended(operators or {})
+    more = extended(operators) if operators else None
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for task, shape, reference in b.itertuples(index=False):
-                ref = reference or ""
-                refusing = bool(ref) and any(m in ref.casefold().replace("’", "'") for m in REFUSALS)
-                stated = bool(ref) and is_state(ref)
-                for nth, c in enumerate(sorted([*candidates(ref, shape), *more(ref, shape)], key=lambda c: c.operator)):
-                    texts = [c.text] if c.text is not None else list(c.files.values())
-                    form = {"kind": "workspace", "files": c.files, "commands": c.commands, "parameters": c.parameters}
-                    key = f"source:{c.text.strip()}" if c.text is not None else f"workspace:{canonical_json(form).decode()}"
-                    carries = c.ground is not None and bool(ref) and any(is_reference(t, ref) for t in texts)
-                    withdrawn = c.ground is not None and not carries and (refusing or (stated and c.ground in ("differential", "invariant")))
-                    rows.append((task, nth, c.operator, c.detail, key, c.text, c.files, c.commands, c.parameters, None if withdrawn else c.ground, carries, withdrawn))
-            yield pd.DataFrame(rows, columns=[x.strip().split()[0] for x in "task_id nth operator detail key text files commands parameters ground carries withdrawn".split()])
-
-    return tasks.select("task_id", "shape", "reference").mapInPandas(run, CANDIDATE)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def each() -> Iterator[tuple]:
+            for b in batches:
+                for task, shape, reference in zip(*(b[c].to_pylist() for c in ("task_id", "shape", "reference")), strict=True):
+                    ref = reference or ""
+                    for x in proposed(ref, shape, more) if more else own_proposals(ref, shape):
+                        yield (task, *x)
+
+        # A candidate's texts are about twice its key.
+        for rows in bounded(each(), lambda r: 200 + 2 * len(r[4])):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), ARROW.types, strict=True)], schema=ARROW)
+
+    return dealt_evenly(tasks.select("task_id", "shape", "reference")).mapInArrow(run, CANDIDATE)
 
 
 def battery(tasks: DataFrame, operators: dict[str, type] | None = None) -> DataFrame:
@@ -50,9 +71,8 @@ def battery(tasks: DataFrame, operators: dict[str, type] | None = None) -> DataF
 
 def battery_counts(tasks: DataFrame, operators: dict[str, type] | None = None) -> DataFrame:
     """For each task: candidates, suppressed (carried the reference before a payload had its first candidate) and withdrawn."""
-    every = proposals(tasks, operators)
-    won = every.where("NOT carries").groupBy("task_id", "key").agg(F.min("nth").alias("won"))
-    at = every.join(won, ["task_id", "key"], "left")
+    won = F.min(F.when(~F.col("carries"), F.col("nth"))).over(Window.partitionBy("task_id", "key"))
+    at = proposals(tasks, operators).select("task_id", "key", "nth", "carries", "withdrawn").withColumn("won", won)
     return at.groupBy("task_id").agg(
         F.count_if(~F.col("carries") & (F.col("nth") == F.col("won"))).alias("candidates"),
         F.count_if(F.col("carries") & (F.col("won").isNull() | (F.col("nth") < F.col("won")))).alias("suppressed"),
@@ -68,18 +88,32 @@ def rendered(relation: type, answer: str) -> str | None:
         return None
 
 
+@kept(256)
+def own_controls(reference: str) -> list[tuple]:
+    return controls(reference, sorted(RELATIONS), RELATIONS)
+
+
+def controls(reference: str, names: list[str], every: dict[str, Callable]) -> list[tuple]:
+    """The reference, then what every relation makes of it."""
+    return [(0, "oracle", reference), *((k + 1, n, x) for k, n in enumerate(names) if (x := every[n](reference)) is not None)]
+
+
 def positive_controls(tasks: DataFrame, relations: dict[str, type] | None = None) -> DataFrame:
     """The reference of each task that has one, then each distinct certified rewriting, in the relations' order."""
     every = dict(RELATIONS) | {n: partial(rendered, r) for n, r in (relations or {}).items() if n not in RELATIONS}
     names = sorted(every)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(t, 0, "oracle", r) for t, r in b.itertuples(index=False)]
-            rows += [(t, k + 1, n, x) for t, r in b.itertuples(index=False) for k, n in enumerate(names) if (x := every[n](r)) is not None]
-            yield pd.DataFrame(rows, columns=["task_id", "nth", "relation", "text"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def each() -> Iterator[tuple]:
+            for b in batches:
+                for task, ref in zip(b["task_id"].to_pylist(), b["reference"].to_pylist(), strict=True):
+                    for x in controls(ref, names, every) if relations else own_controls(ref):
+                        yield (task, *x)
+
+        for rows in bounded(each(), lambda r: 100 + len(r[3])):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), CONTROL.types, strict=True)], schema=CONTROL)
 
-    made = tasks.where("reference <> ''").select("task_id", "reference").mapInPandas(run, "task_id string, nth int, relation string, text string")
+    made = dealt_evenly(tasks.where("reference <> ''").select("task_id", "reference")).mapInArrow(run, "task_id string, nth int, relation string, text string")
     same = Window.partitionBy("task_id", F.regexp_replace("text", r"\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")).orderBy("nth")
     return made.withColumn("rank", F.row_number().over(same)).where("rank = 1").drop("rank")
 

@@ -137,6 +137,23 @@ def test_battery(spark):
     assert controls == [("oracle", 0), ("renamed_locals", 3)]
 
 
+def nodes(df, name):
+    return df._jdf.queryExecution().executedPlan().toString().count(name + " ")
+
+
+def test_battery_is_made_once_by_all_cores(spark):
+    tasks = spark.range(0, 30, 1, 1).selectExpr("CAST(id AS STRING) AS task_id", "'program' AS shape", f"concat({SOLVE!r}, '# ', id % 2) AS reference")
+    dealt = [battery.proposals(tasks), battery.positive_controls(tasks)]
+    assert all("REPARTITION_BY_NUM" in d._jdf.queryExecution().executedPlan().toString() for d in dealt)
+    assert dealt[0].rdd.getNumPartitions() >= 4
+    counts = battery.battery_counts(tasks)
+    assert nodes(counts, "MapInArrow") == 1
+    assert {tuple(r)[1:] for r in counts.collect()} == {(5, 0, 0)} and counts.count() == 30
+    assert battery.positive_controls(tasks).groupBy("relation").count().count() == 3
+    once, again = ([(c.operator, c.text) for c in candidates.candidates(SOLVE, "program")] for _ in range(2))
+    assert once == again
+
+
 BEFORE = "def test_x():\n    assert f(1) == 2\n    assert g() == 3\n"
 CASES = {
     "tests-removed": ("tests/test_a.py", BEFORE + "\ndef test_y():\n    assert h() == 1\n", BEFORE),
