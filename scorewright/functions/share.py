@@ -20,6 +20,12 @@ def dealt_evenly(df: DataFrame) -> DataFrame:
     return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism))
 
 
+def read_once(df: DataFrame) -> DataFrame:
+    """df, computed once for all its readers, by the first. A cached frame is not met again in a query that takes it by name, as
+    spark.sql does; this one is held on the executors, in memory or on disk, and a lost executor ends the query."""
+    return df.localCheckpoint(eager=False)
+
+
 def kept(size: int, longest: int = KEPT_CHARACTERS) -> Callable[[Callable], Callable]:
     """Keep what a pure function of texts gave for the last few; nothing of a long one."""
 

@@ -9,10 +9,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorewright.functions import syntax
+from scorewright.functions.share import dealt_evenly, read_once
 
 TEST = "struct<name:string,bare:string,tree:string,line:int,checks:int,strength:string,tolerances:map<string,double>,timeout:double,expected:map<string,string>,swallowed:int,mocked:array<string>>"
 FEATURES = (
@@ -38,7 +39,7 @@ def file_features(files: DataFrame) -> DataFrame:
         for b in batches:
             yield pd.DataFrame([{"change": c, "path": p, "side": s} | syntax.features(p, t) for c, p, s, t in b.itertuples(index=False)], columns=[x.split()[0] for x in FEATURES.split(", ")] if not len(b) else None)
 
-    return sides.select("change", "path", "s.side", "s.text").mapInPandas(run, FEATURES)
+    return dealt_evenly(sides.select("change", "path", "s.side", "s.text")).mapInPandas(run, FEATURES)
 
 
 def not_checked(features: DataFrame) -> DataFrame:
@@ -61,7 +62,8 @@ def test_matches(features: DataFrame) -> DataFrame:
     name = F.element_at(F.split("path", "/"), -1)
     folders = F.slice(F.split("path", "/"), 1, F.size(F.split("path", "/")) - 1)
     is_test = F.endswith("path", F.lit(".py")) & ((name == "conftest.py") | F.startswith(name, F.lit("test_")) | F.endswith(name, F.lit("_test.py")) | F.arrays_overlap(folders, F.array(F.lit("test"), F.lit("tests"))))
-    whole = features.join(not_checked(features), ["change", "path"], "left_anti").where(is_test)
+    read = F.every("parsed").over(Window.partitionBy("change", "path"))
+    whole = features.where(is_test).select("change", "path", "side", "tests", read.alias("read")).where("read")
     each = whole.select("change", "path", "side", F.explode("tests").alias("t"))
     return features.sparkSession.sql(
         """WITH old AS (SELECT change, path, t FROM {e} WHERE side = 'old'), new AS (SELECT change, path, t FROM {e} WHERE side = 'new'),
@@ -70,7 +72,7 @@ def test_matches(features: DataFrame) -> DataFrame:
         SELECT n.change, n.path, coalesce(o.t, a.t, b.t) AS old, n.t AS new FROM new n
         LEFT JOIN old o ON o.change = n.change AND o.path = n.path AND o.t.name = n.t.name
         LEFT JOIN by_name a ON a.change = n.change AND a.name = n.t.name LEFT JOIN by_bare b ON b.change = n.change AND b.bare = n.t.bare""",
-        e=each,
+        e=read_once(each),
     )
 
 
@@ -125,7 +127,7 @@ OF_TESTS = (
 
 def change_facts(files: DataFrame) -> DataFrame:
     """All facts of all changes. Rules about a file or a test are arrays of facts in one projection each."""
-    f = file_features(files).persist()  # the Python stage runs once for all rules; the session frees it with its last reader
+    f = read_once(file_features(files))  # the Python stage runs once for all rules
     weakness = "CASE rule " + " ".join(f"WHEN '{k}' THEN 'BGW-{w}'" for k, (w, _) in RULES.items()) + " END"
     kind = "CASE WHEN rule IN (" + ", ".join(f"'{k}'" for k, (_, x) in RULES.items() if x == "observation") + ") THEN 'observation' ELSE 'fact' END"
     is_test = "(path LIKE '%.py' AND (regexp_like(path, r'(^|/)(conftest|test_[^/]*|[^/]*_test)\\.py$') OR regexp_like(path, r'(^|/)tests?/')))"
@@ -143,8 +145,8 @@ def change_facts(files: DataFrame) -> DataFrame:
             array_sort(transform(filter(new.tests, x -> x.checks = 0 AND NOT exists(old.tests, y -> y.bare = x.bare)), x -> x.name)) AS bare_tests FROM s)
         UNION ALL SELECT change, path, {every(*OF_TESTS)} FROM d)
         SELECT change, rule, {weakness} AS weakness, {kind} AS kind, path, subject, CASE WHEN rule = 'tests-removed' THEN NULL ELSE coalesce(line, 1) END AS line, detail FROM raw""",
-        sides=_sides(f).persist(),
-        m=test_matches(f).persist(),
+        sides=read_once(_sides(f)),
+        m=read_once(test_matches(f)),
     )
 
 

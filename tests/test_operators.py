@@ -190,6 +190,15 @@ def test_change_facts_catch_and_stay_quiet(spark):
         assert rule in found[rule], (rule, found[rule])
 
 
+def test_changes_are_read_once_by_all_cores(spark):
+    files = spark.range(0, 8, 1, 1).selectExpr("CAST(id AS STRING) AS change", "'tests/test_a.py' AS path", f"{BEFORE!r} AS before", f"concat({BEFORE!r}, '# ', id) AS after")
+    features = change_facts.file_features(files)
+    assert features.rdd.getNumPartitions() >= 4
+    matches, facts = change_facts.test_matches(features), change_facts.change_facts(files)
+    assert nodes(matches, "MapInPandas") == nodes(facts, "MapInPandas") == 0  # both come from what was read before
+    assert matches.count() == 8 and facts.count() == 0
+
+
 def test_strength():
     import ast
 
