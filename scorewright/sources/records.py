@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorewright.functions.ids import PATTERNS
+from scorewright.functions.share import dealt_evenly
 from scorewright.sources.shapes import Either, Flag, Items, Malformed, Number, Record, Table, Text, parse, problem
 
 # The words of the formats.
@@ -199,7 +200,7 @@ def read(texts: DataFrame, shape: Record, columns: str, pick: Callable[[dict], t
                 rows.append((file, line, wrong, *((None,) * len(names) if wrong else pick(v))))
             yield pd.DataFrame(rows, columns=["file", "line", "error", *names]).astype(object)
 
-    return texts.mapInPandas(run, f"file string, line long, error string, {columns}")
+    return dealt_evenly(texts.select("file", "line", "text")).mapInPandas(run, f"file string, line long, error string, {columns}")
 
 
 FINDING = "id string, weakness string, probe string, level string, task_id string, shape string, battery long, ground string, passed boolean, baseline_passed boolean, submission string, reason string, record string"

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scorewright.functions.ids import PATTERNS
+from scorewright.functions.share import dealt_evenly
 
 _MISSING = object()
 
@@ -131,7 +132,7 @@ def checked(lines: DataFrame, spec: Spec) -> DataFrame:
             yield out.astype({n: "Int64" for n, f in spec.fields.items() if f.kind == "integer"})
 
     kind = "file string, line long, error string, " + ", ".join(f"{n} {TYPES[f.kind]}" for n, f in spec.fields.items())
-    return lines.select("file", "line", "text").where(F.length(F.trim(F.col("text"), F.lit(" \t\r\x0b\x0c"))) > 0).mapInPandas(run, kind)
+    return dealt_evenly(lines.select("file", "line", "text").where(F.length(F.trim(F.col("text"), F.lit(" \t\r\x0b\x0c"))) > 0)).mapInPandas(run, kind)
 
 
 def read_sound(spark: SparkSession, path: str, spec: Spec) -> DataFrame:

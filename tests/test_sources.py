@@ -176,6 +176,12 @@ template = { solution = "reference" }
 """
 
 
+def test_documents_are_read_by_all_cores(spark):
+    texts = spark.range(0, 8, 1, 1).selectExpr("'f' AS file", "id AS line", "'{}' AS text")
+    for read in (records.registry_records(texts, "https://example.org", set()), records.findings(texts, None), strict.checked(texts, strict.RESULTS)):
+        assert read.rdd.getNumPartitions() >= 4 and read.where("error IS NOT NULL").count() == 8
+
+
 def test_dimensions(spark):
     assert [r.id for r in dimensions.weaknesses(spark, LIST).collect()] == ["BGW-9", "BGW-12"]
     assert {(r.category, tuple(r.weakness)) for r in dimensions.crosswalks(spark, LIST).collect()} == {("x", ("BGW-9",)), ("y", ())}
